@@ -204,7 +204,7 @@ def predict(documents: DataFrame, samples: dict[str, str], id_col: str = "doc_id
     spark = documents.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(samples)
-    rows = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text_in"), *keep)
+    rows = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text_in"), *(F.col(c) for c in keep))
     kept = [f for f in rows.schema if f.name != "text_in"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_blocks, jaccard, langid, perplexity, quality, warc
+from . import chat_format, decontaminate, html_blocks, jaccard, langid, mixing, perplexity, pii, quality, warc
 from .common import held_out, table
 
 
@@ -34,6 +34,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return found.select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"),
+    )
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii_found").alias("n_replaced"), F.array_join("pii_found", ",").alias("types"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.learn(documents, table(spark, sf_dir, "labels"), ~held_out())
@@ -51,14 +64,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_blocks": op1_html_blocks,
     "op2_chat_format": op2_chat_format,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
