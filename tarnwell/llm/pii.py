@@ -66,6 +66,11 @@ HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
 TYPES = tuple(PATTERNS)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: expressions that use it many times stay small."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def kind(e: Column) -> Column:
     """Type of a detected string."""
     digits = F.length(F.regexp_replace(e, r"\D", ""))
@@ -100,11 +105,10 @@ def _pick(letters: str, n: Column) -> Column:
 
 
 def _shaped(e: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Each digit and letter replaced by one of its kind; the rest stays."""
+    """Each digit and letter replaced by one of its kind; the rest stays and uses nothing of the stream."""
     low, up = ("abcdef", "ABCDEF") if hexadecimal else ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-    def one(c: Column, i: Column) -> Column:
-        n = _byte(stream, i)
+    def drawn(c: Column, n: Column) -> Column:
         return (
             F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick(low, n)).when(c.rlike("[A-Z]"), _pick(up, n))
             .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), _pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", n)).otherwise(_pick("абвгдежзиклмнопрстуфхцчшэюя", n)))
@@ -112,6 +116,10 @@ def _shaped(e: Column, stream: Column, hexadecimal: bool = False) -> Column:
             .when(c.rlike(r"\p{Lu}"), _pick("ÀÂÄÉÈÊËÎÏÔÖÙÜÑÇ", n)).when(c.rlike(r"\p{L}"), _pick("àâäéèêëîïôöùüñç", n)).otherwise(c)
         )
 
+    def one(c: Column, i: Column) -> Column:
+        nth = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+        return let(_byte(stream, nth), lambda n: drawn(c, n))
+
     return F.array_join(F.transform(F.regexp_extract_all(e, F.lit(r"(?s)(.)"), F.lit(1)), one), "")
 
 
@@ -129,11 +137,14 @@ def _luhn(digits: Column) -> Column:
 
 def _card(e: Column, stream: Column) -> Column:
     """First digit kept, the others replaced; the last one so that the Luhn check comes out as before."""
-    drawn = F.concat(F.substring(e, 1, 1), _shaped(F.substring(e, F.lit(2), F.length(e) - 1), stream))
-    plain = F.regexp_replace(drawn, r"\D", "")
-    body = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit("0"))
-    valid = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), F.pmod(-_luhn(body), F.lit(10)).cast("string"))
-    return F.when(_luhn(F.regexp_replace(e, r"\D", "")) % 10 == 0, valid).otherwise(drawn)
+
+    def valid(drawn: Column) -> Column:
+        plain = F.regexp_replace(drawn, r"\D", "")
+        last = let(F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit("0")), lambda body: F.pmod(-_luhn(body), F.lit(10)).cast("string"))
+        return F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), last)
+
+    passes = let(F.regexp_replace(e, r"\D", ""), _luhn) % 10 == 0
+    return let(F.concat(F.substring(e, 1, 1), _shaped(F.substring(e, F.lit(2), F.length(e) - 1), stream)), lambda drawn: F.when(passes, valid(drawn)).otherwise(drawn))
 
 
 def _person(e: Column, key: str, attempt: Column) -> Column:
@@ -142,38 +153,40 @@ def _person(e: Column, key: str, attempt: Column) -> Column:
     cyrillic = names.rlike(r"\p{IsCyrillic}")
     female = title.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? $")
     surname = F.element_at(F.split(names, " "), -1)
-    s = _stream(key, F.lit("surname"), F.lower(surname), attempt.cast("string"))
-    g = _stream(key, F.lit("given"), F.lower(names), attempt.cast("string"))
 
-    def of(script: str) -> Column:
+    def of(script: str, s: Column, g: Column) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
         last = F.initcap(F.concat(*(F.element_at(syllables, F.pmod(_byte(s, F.lit(2 * i)), F.lit(16)) + 1) for i in range(4))))
         given = [F.array(*map(F.lit, GIVEN[x, script])) for x in ("f", "m")]
         first = F.when(female, F.element_at(given[0], F.pmod(_byte(g, F.lit(0)), F.size(given[0])) + 1)).otherwise(F.element_at(given[1], F.pmod(_byte(g, F.lit(0)), F.size(given[1])) + 1))
         return F.when(names.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
 
-    return F.concat(title, F.when(cyrillic, of("cyrillic")).otherwise(of("latin")))
+    def both(s: Column, g: Column) -> Column:
+        return F.concat(title, F.when(cyrillic, of("cyrillic", s, g)).otherwise(of("latin", s, g)))
 
+    seeds = (_stream(key, F.lit("surname"), F.lower(surname), attempt.cast("string")), _stream(key, F.lit("given"), F.lower(names), attempt.cast("string")))
+    return let(seeds[0], lambda s: let(seeds[1], lambda g: both(s, g)))
 
-def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
-    """Replacement of a detected string."""
-    k = kind(e)
-    s = _stream(key, k, normal(e, k), attempt.cast("string"))
+
+def _replaced(e: Column, k: Column, s: Column, attempt: Column, key: str) -> Column:
     octets = F.concat_ws(".", *(F.pmod(_byte(s, F.lit(2 * i)), F.lit(254)) + 1 for i in range(4)))
     local, domain = F.split(e, "@")[0], F.split(e, "@")[1]
     sub = F.regexp_extract(domain, r"^(.*\.)?[^.]+\.[^.]+$", 1)
     end = F.concat(F.lit("example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), F.pmod(_byte(s, F.lit(61)), F.lit(3)) + 1))
     mail = F.concat(_shaped(local, s), F.lit("@"), _shaped(sub, F.reverse(s)), F.when(domain == F.upper(domain), F.upper(end)).otherwise(end))
-    prefix = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)
-    phone = F.concat(prefix, _shaped(F.substring(e, F.length(prefix) + 1, F.length(e)), s))
-    iban = F.concat(F.substring(e, 1, 2), _shaped(F.substring(e, F.lit(3), F.length(e)), s))
-    secret = F.when(e.rlike("^[0-9a-fA-F]+$"), _shaped(e, s, True)).otherwise(_shaped(e, s))
+    prefix = F.when(k == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)).when(k == "iban", F.substring(e, 1, 2)).otherwise("")
+    shaped = let(prefix, lambda head: F.concat(head, _shaped(F.substring(e, F.length(head) + 1, F.length(e)), s)))
     return (
-        F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "phone", phone).when(k == "ssn", _shaped(e, s))
-        .when(k == "iban", iban).when(k == "person", _person(e, key, attempt)).otherwise(secret)
+        F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", _card(e, s)).when(k == "person", _person(e, key, attempt))
+        .when(k.isin("phone", "ssn", "iban"), shaped).when(e.rlike("^[0-9a-fA-F]+$"), _shaped(e, s, True)).otherwise(shaped)
     )
 
 
+def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
+    """Replacement of a detected string."""
+    return let(kind(e), lambda k: let(_stream(key, k, normal(e, k), attempt.cast("string")), lambda s: _replaced(e, k, s, attempt, key)))
+
+
 def entities(text: Column) -> Column:
     """Detected strings in order; empty without any, null for a null text."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_blocks, jaccard, langid, mixing, perplexity, pii, quality, warc
 from .common import held_out, table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLE_SQL: dict[str, str] = {}
