@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LATIN = "[a-z0-9][a-z0-9._+#/:-]*"
 CJK = "[㐀-䶿一-鿿豈-﫿]"
@@ -17,7 +18,7 @@ _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 _NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Full compatibility form; for text that has more than full-width forms to fold."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

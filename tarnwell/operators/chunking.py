@@ -20,7 +20,7 @@ def recursive_split(text: Column, size: int = 500, separators: tuple[str, ...] =
     """
 
     def level(pieces: Column, sep: str) -> Column:
-        cut = lambda p: F.filter(F.split(p, f"(?<={re.escape(sep)})"), lambda x: x != "")
+        cut = lambda p: F.regexp_extract_all(p, F.lit(f"(?s).*?{re.escape(sep)}|.+"), F.lit(0))
         return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
 
     pieces = F.array(text)
