@@ -53,6 +53,9 @@ _WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: What a block stands in: nothing that tells, an article, page furniture.
 PLAIN, MAIN, FURNITURE = 0, 1, 2
+#: What a block is: nothing that tells, a heading, a paragraph.
+HEADING, PARAGRAPH = 1, 2
+PARAGRAPH_TAGS = frozenset("p blockquote pre".split())
 
 
 def _purpose(tag: str, attrs: str, within: int, in_article: bool) -> int:
@@ -65,6 +68,7 @@ def _purpose(tag: str, attrs: str, within: int, in_article: bool) -> int:
             name = name.lower()
             if name in ("class", "id", "role"):
                 words.update(w.lower() for w in _WORD_PARTS.findall(value))
+                words.update(re.findall(r"[a-z0-9]+", value.lower()))  # sideBar is a sidebar, too
             elif name in ("hidden", "aria-hidden") and value.strip("\"'").lower() != "false":
                 return FURNITURE
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -77,7 +81,7 @@ def _purpose(tag: str, attrs: str, within: int, in_article: bool) -> int:
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """Flat text blocks in page order: text, words, words in links, purpose, whether a heading."""
+    """Flat text blocks in page order: text, words, words in links, purpose, form."""
     out: list[tuple[str, int, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -88,7 +92,8 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     raw = ""
 
     def put(piece: str) -> None:
-        if piece:
+        inline = stack and stack[-1][0] not in BLOCK_TAGS and stack[-1][0] not in HEAD_TAGS
+        if piece and not (inline and stack[-1][1] == FURNITURE):  # a button or a marked span inside a block
             piece = html.unescape(piece)
             parts.append(piece)
             if links:
@@ -98,8 +103,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if parts:
             words = "".join(parts).split()
             if words:
-                purpose = stack[-1][1] if stack else PLAIN
-                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), purpose, heading))
+                name, purpose = stack[-1] if stack else ("", PLAIN)
+                form = PARAGRAPH if name in PARAGRAPH_TAGS else heading
+                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), purpose, form))
             parts.clear()
             linked.clear()
 
@@ -139,7 +145,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         if tag in BLOCK_TAGS or tag in HEAD_TAGS:
             close()
-            heading = 0 if found[1] else int(len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+            heading = HEADING if not found[1] and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
         if tag == "hr":
             continue
         if not found[1]:
@@ -166,7 +172,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 
 
 FEATURES = (
-    "words", "link_density", "purpose", "heading", "words_before", "link_density_before", "words_after", "link_density_after",
+    "words", "link_density", "purpose", "form", "words_before", "link_density_before", "words_after", "link_density_after",
     "main_elsewhere",
 )
 
@@ -176,10 +182,10 @@ def features(found: list[tuple[str, int, int, int, int]]) -> list[tuple[float, .
     main = float(any(b[3] == MAIN for b in found))
     dense = [b[2] / b[1] for b in found]
     rows = []
-    for i, (_, words, _, purpose, heading) in enumerate(found):
+    for i, (_, words, _, purpose, form) in enumerate(found):
         before = (found[i - 1][1], dense[i - 1]) if i else (0, 1.0)
         after = (found[i + 1][1], dense[i + 1]) if i + 1 < len(found) else (0, 1.0)
-        rows.append((words, dense[i], purpose, heading, *before, *after, main))
+        rows.append((words, dense[i], purpose, form, *before, *after, main))
     return rows
 
 
@@ -188,7 +194,7 @@ def features(found: list[tuple[str, int, int, int, int]]) -> list[tuple[float, .
 # is; elsewhere long blocks with few links are, and so are headings and short blocks between such blocks, when the
 # page marks no article.
 LABELLED = (
-    # words, link, purpose, heading, before, link, after, link, main elsewhere, label
+    # words, link, purpose, form, before, link, after, link, main elsewhere, label
     (1, 0.0, 1, 0, 0, 1.0, 40, 0.0, 1, 1), (2, 0.0, 1, 1, 8, 0.0, 2, 0.0, 1, 1), (9, 0.0, 1, 1, 4, 1.0, 60, 0.0, 1, 1),
     (3, 0.0, 1, 0, 90, 0.0, 12, 0.0, 1, 1), (25, 0.0, 1, 0, 9, 0.0, 80, 0.0, 1, 1), (80, 0.1, 1, 0, 25, 0.0, 6, 0.2, 1, 1),
     (150, 0.0, 1, 0, 1, 0.0, 1, 0.0, 1, 1), (600, 0.02, 1, 0, 3, 0.0, 14, 0.0, 1, 1), (12, 0.3, 1, 0, 70, 0.0, 5, 1.0, 1, 1),
@@ -216,6 +222,12 @@ LABELLED = (
     (1, 0.0, 0, 0, 2, 1.0, 40, 0.0, 0, 0), (6, 0.0, 0, 0, 30, 0.0, 2, 1.0, 0, 0), (5, 0.0, 0, 0, 50, 0.0, 0, 1.0, 0, 0),
     (80, 0.9, 0, 0, 2, 0.0, 2, 0.0, 0, 0), (5, 1.0, 0, 0, 40, 0.0, 40, 0.0, 0, 0), (22, 0.8, 0, 0, 30, 0.0, 40, 0.0, 0, 0),
     (20, 0.0, 0, 0, 9, 0.0, 30, 0.0, 1, 0), (300, 0.0, 0, 0, 30, 0.0, 30, 0.0, 1, 0), (2, 0.0, 0, 0, 50, 0.0, 60, 0.0, 1, 0),
+    (2, 0.0, 0, 2, 25, 0.0, 1, 0.0, 0, 1), (5, 0.0, 0, 2, 40, 0.0, 0, 1.0, 0, 1), (3, 0.0, 0, 2, 4, 0.0, 2, 1.0, 0, 1),
+    (1, 0.0, 0, 2, 30, 0.0, 4, 0.0, 0, 1), (6, 0.1, 0, 2, 2, 1.0, 8, 0.0, 0, 1), (4, 0.0, 0, 2, 3, 0.0, 3, 0.0, 0, 1),
+    (50, 0.1, 0, 2, 4, 1.0, 2, 0.0, 0, 1), (2, 1.0, 0, 2, 30, 0.0, 0, 1.0, 0, 0), (3, 0.7, 0, 2, 50, 0.0, 2, 1.0, 0, 0),
+    (9, 0.9, 0, 2, 3, 1.0, 30, 0.0, 0, 0), (7, 0.0, 0, 2, 60, 0.0, 1, 0.0, 1, 0), (30, 0.0, 0, 2, 2, 1.0, 40, 0.0, 1, 0),
+    (3, 0.0, 0, 2, 2, 0.0, 2, 0.0, 1, 0), (4, 0.0, 1, 2, 3, 1.0, 20, 0.0, 1, 1), (60, 0.0, 1, 2, 9, 0.0, 30, 0.0, 1, 1),
+    (2, 1.0, 1, 2, 40, 0.0, 40, 0.0, 1, 1), (8, 0.0, 2, 2, 30, 0.0, 2, 1.0, 1, 0), (60, 0.0, 2, 2, 40, 0.0, 50, 0.0, 0, 0),
     (33, 0.0, 0, 0, 60, 0.0, 2, 0.0, 1, 0), (9, 0.0, 0, 1, 12, 0.0, 50, 0.0, 1, 0), (70, 0.0, 0, 0, 0, 1.0, 40, 0.0, 1, 0),
 )
 
