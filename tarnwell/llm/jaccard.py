@@ -188,22 +188,29 @@ def bin_keys(documents: DataFrame, width: int, num: int, den: int, text_col: str
 
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
-    """a, b: each node of a bin with the node before it, when the bin's rows are sorted; equal nodes make none."""
+    """a, b: each node of a bin with the least node of the bin, when the bin's rows are sorted; equal nodes make none.
+
+    Bins of one group of near copies mostly have the same least node, so that a group has few different edges.
+    """
     ordered = keys.repartition(F.col("key")).sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
+        last: tuple[int, int] | None = None  # the last bin so far and its least node
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if last is not None:
                 key, node = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], node))
-            last = (int(key[-1]), int(node[-1]))
-            at = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+            first = run_starts(key)
+            least = np.repeat(node[first], np.diff(np.append(first, len(key))))
+            last = (int(key[-1]), int(least[-1]))
+            at = np.flatnonzero(node != least)
             if len(at):
-                pairs = np.unique(np.stack((node[at], node[at + 1]), 1), axis=0) if len(at) > 1 else np.stack((node[at], node[at + 1]), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                order = np.lexsort((node[at], least[at]))
+                a, b = least[at][order], node[at][order]
+                keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
@@ -325,9 +332,14 @@ def _leaf_rows(width: int, num: int, den: int):
         grp, leaf, several = batch["grp"][0].as_py(), batch["leaf"][0].as_py(), batch["leaves"][0].as_py() > 1
         names, pivots = batch["node"].to_pylist(), batch["pivot"].to_pylist()
         sets: list[np.ndarray] = []
+        found: list[int] = []
         data, offsets = text_bytes(batch["t"].combine_chunks() if isinstance(batch["t"], pa.ChunkedArray) else batch["t"])
         for i, j in blocks(offsets):
-            sets += separate(*shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width))
+            members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
+            found += set_names(members, cuts).tolist()
+            sets += separate(members, cuts)
+        own = list({names[k]: k for k in reversed(range(len(names))) if found[k] == names[k]}.values())  # ids may repeat, with other texts
+        names, pivots, sets = [names[k] for k in own], [pivots[k] for k in own], [sets[k] for k in own]
         forest, pairs = Forest(len(sets)), []
         if several:  # the pivot is a row of each leaf
             p = pivots.index(True)
