@@ -128,7 +128,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
     pairs = vectors.crossJoin(queries)
     sim = dot(F.col("q"), F.col("v"))
     score = sim if metric == "dot" else -(dot(F.col("q"), F.col("q")) + dot(F.col("v"), F.col("v")) - 2 * sim)
-    return top(pairs.select("query_id", "doc_id", rounded(score).alias("score")), k).select("query_id", "doc_id", "score", "rank")
+    return top(pairs.select("query_id", "doc_id", (rounded(score) + 0.0).alias("score")), k).select("query_id", "doc_id", "score", "rank")
 
 
 # -- fusion -----------------------------------------------------------------------------------------------------------

@@ -286,7 +286,7 @@ def completed_only(spark, d):
     return log(spark, d).join(done, "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query("adjacent_dups", "SELECT user_id, count_if(dup) AS n_dups FROM (SELECT user_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dup FROM events) GROUP BY 1")
+@query("adjacent_dups", "SELECT user_id, count_if(dup)::BIGINT AS n_dups FROM (SELECT user_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dup FROM events) GROUP BY 1")
 def adjacent_dups(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return log(spark, d).select("user_id", (F.col("event_type") == F.lag("event_type").over(w)).alias("dup")).groupBy("user_id").agg(F.count_if("dup").alias("n_dups"))
@@ -303,7 +303,7 @@ def latency_summary(spark, d):
     return log(spark, d).where("event_type = 'view'").groupBy("user_id").agg(*E.summarize(F.col("value"), 4))
 
 
-@query("load_level_summary", "SELECT user_id % 5 AS level, count(*) AS requests, count_if(event_type <> 'error') AS success, round(count_if(event_type = 'error') / count(*), 4) AS error_rate, count_if(event_type = 'view') AS cache_hits, count_if(event_type = 'click') AS cache_misses FROM events GROUP BY 1")
+@query("load_level_summary", "SELECT user_id % 5 AS level, count(*) AS requests, count_if(event_type <> 'error')::BIGINT AS success, round(count_if(event_type = 'error') / count(*), 4) AS error_rate, count_if(event_type = 'view')::BIGINT AS cache_hits, count_if(event_type = 'click')::BIGINT AS cache_misses FROM events GROUP BY 1")
 def load_level_summary(spark, d):
     kind = F.col("event_type")
     return log(spark, d).groupBy((F.col("user_id") % 5).alias("level")).agg(
@@ -324,7 +324,7 @@ def ab_delta(spark, d):
     return s.select("event_type", F.round((F.col("f") - F.col("b")) / F.col("b") * 100, 2).alias("delta_pct"))
 
 
-@query("judge_summary", "SELECT count(*) AS n, round(avg(quality), 4) AS mean_quality, count_if(toxic = 1) AS n_unsafe, round(avg(CASE WHEN toxic = 1 THEN 1 - quality END), 4) AS safe_refusal FROM labels")
+@query("judge_summary", "SELECT count(*) AS n, round(avg(quality), 4) AS mean_quality, count_if(toxic = 1)::BIGINT AS n_unsafe, round(avg(CASE WHEN toxic = 1 THEN 1 - quality END), 4) AS safe_refusal FROM labels")
 def judge_summary(spark, d):
     return table(spark, d, "labels").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 4).alias("mean_quality"), F.count_if(F.col("toxic") == 1).alias("n_unsafe"), F.round(F.avg(F.when(F.col("toxic") == 1, 1 - F.col("quality"))), 4).alias("safe_refusal"))
 
@@ -356,7 +356,7 @@ def paired_bootstrap(spark, d):
     return E.bootstrap(_diffs(spark, d))
 
 
-@query("sign_test", f"WITH {_BASE}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) SELECT count_if(diff > 0) AS up, count_if(diff < 0) AS down FROM j")
+@query("sign_test", f"WITH {_BASE}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) SELECT count_if(diff > 0)::BIGINT AS up, count_if(diff < 0)::BIGINT AS down FROM j")
 def sign_test(spark, d):
     return E.sign_test(_diffs(spark, d)).select("up", "down")
 

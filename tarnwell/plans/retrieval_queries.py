@@ -47,7 +47,7 @@ hits AS (SELECT r.query_id, r.doc_id, r.rank, len(list_intersect(list_distinct(e
 fr AS (SELECT query_id, answerable, CASE WHEN answerable THEN first_rank END AS first_rank
        FROM ans LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM hits WHERE rel GROUP BY 1) USING (query_id))"""
 
-_HIT = """count_if(answerable) AS n_answerable, round(count_if(answerable AND first_rank <= 1) / greatest(count_if(answerable), 1), 4) AS hit_at_1,
+_HIT = """count_if(answerable)::BIGINT AS n_answerable, round(count_if(answerable AND first_rank <= 1) / greatest(count_if(answerable), 1), 4) AS hit_at_1,
 round(count_if(answerable AND first_rank <= 3) / greatest(count_if(answerable), 1), 4) AS hit_at_3, round(count_if(answerable AND first_rank <= 5) / greatest(count_if(answerable), 1), 4) AS hit_at_5,
 round(coalesce(sum(CASE WHEN answerable THEN 1 / first_rank END), 0) / greatest(count_if(answerable), 1), 4) AS mrr, round(avg(first_rank), 3) AS avg_first_rank"""
 
@@ -328,7 +328,7 @@ def _vectors(spark, d):
 
 
 _VEC_RANK = """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
- FROM (SELECT query_id, vec_id AS doc_id, round({}, 6) AS score FROM embeddings, qv)) WHERE rank <= {}"""
+ FROM (SELECT query_id, vec_id AS doc_id, round({}, 6) + 0.0::DOUBLE AS score FROM embeddings, qv)) WHERE rank <= {}"""
 _DOT = "list_dot_product(q::DOUBLE[], embedding::DOUBLE[])"
 
 
@@ -428,7 +428,7 @@ def distinct_evidence(spark, d):
     return both.where(T.strip(F.col("text")) != "").groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
 
 
-@query("dataset_union_validate", "SELECT side, count(*) AS n, count(DISTINCT item_id) AS n_ids, count_if(trim(text) = '') AS n_blank FROM (SELECT 'base' AS side, item_id, text FROM benchmark UNION ALL SELECT 'extra', item_id + 1000, text FROM benchmark) GROUP BY 1")
+@query("dataset_union_validate", "SELECT side, count(*) AS n, count(DISTINCT item_id) AS n_ids, count_if(trim(text) = '')::BIGINT AS n_blank FROM (SELECT 'base' AS side, item_id, text FROM benchmark UNION ALL SELECT 'extra', item_id + 1000, text FROM benchmark) GROUP BY 1")
 def dataset_union_validate(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", "text")
     both = rows.withColumn("side", F.lit("base")).unionByName(rows.withColumn("item_id", F.col("item_id") + 1000).withColumn("side", F.lit("extra")))
@@ -512,7 +512,7 @@ _RW = ((0, 0.3), (1, 0.5), (2, 0.8))
 
 
 @query("rewrite_ab", f"""WITH {_BASE}, {_PRF}, ws AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) t(cfg, weight)),
-ex AS (SELECT cfg, query_id, unnest({_TOK.format('term')}) AS term, weight AS qtf FROM prf, ws),
+ex AS (SELECT cfg, query_id, unnest({_TOK.format('term')}) AS term, ws.weight AS qtf FROM prf, ws),
 qt2 AS (SELECT cfg, query_id, term, sum(qtf) AS qtf FROM (SELECT cfg, query_id, term, qtf FROM qt, ws UNION ALL SELECT cfg, query_id, term, qtf FROM ex) GROUP BY 1, 2, 3),
 bm2 AS (SELECT cfg, query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qt2 USING (term) JOIN idf USING (term), st GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY cfg, query_id ORDER BY score DESC, doc_id) AS rank FROM bm2 WHERE score > 0),
