@@ -7,11 +7,11 @@
     same in both.  A set sends the hashes of its heavy bins, or of all its bins if not more than d are heavy, and
     also takes part in the class below if its partners may stand there.  Sets with a common bin are candidates; their
     components are the groups.  No link is between two groups.
-3.  Signature trees: the sets of a group, dealt to leaves of about LEAF sets by hash, have nodes that hold the OR of
-    their members' token bitmaps and the range of their sizes.  Traversing two trees together drops pairs of nodes whose
-    maximum possible overlap is too small; pairs of sets that remain are compared exactly.  A group of several leaves
-    has a pivot, its first set: sets that link with it (the core) are connected already, so only pairs of leaves with a set
-    outside the core are traversed, over summaries first, and only surviving pairs of leaves meet.
+3.  Signature trees: a group's sets, in order of size, are cut into leaves of LEAF sets and these into blocks. Nodes hold
+    the OR of their members' token bitmaps and the range of their sizes.  Traversing two trees together drops pairs of
+    nodes, then of sets, whose maximum possible overlap is too small.  Pairs that remain inside a leaf are compared exactly,
+    unless they are connected already.  For groups of several leaves, pairs of leaves are traversed over their tops, then
+    over their sets' bitmaps, and the sets that remain are compared exactly.
 4.  Links make components; every text gets the least id of its component.
 
 Equal sets are never expanded into pairs, and a common passage or line doesn't make candidates, as bins of
@@ -31,15 +31,16 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, joined_hashes, lowered, mixed, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
 from .components import components
 
-LEAF = 256
+LEAF = 4096
+BLOCK = 64
 FANOUT = 8
-BITMAP_BYTES = 512
+BITMAP_BYTES = 256
 CLASS_RATIO = 1.5
 _SEEN = 1_000_000
 
@@ -257,13 +258,13 @@ def may_link(a: Node, b: Node, num: int, den: int) -> bool:
 
 
 def traverse(a: Node, b: Node, num: int, den: int, skip=lambda x, y: False) -> Iterator[tuple[Node, Node]]:
-    """Pairs of leaves below a and b that may link. Each unordered pair once if a is b."""
+    """Pairs of lowest nodes below a and b that may link. Each unordered pair once if a is b, and each with itself."""
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
         if skip(x, y) or not may_link(x, y, num, den):
             continue
-        if x is y:
+        if x is y and x.children:
             for i, p in enumerate(x.children):
                 stack.extend((p, q) for q in x.children[i:])
         elif not x.children and not y.children:
@@ -274,9 +275,36 @@ def traverse(a: Node, b: Node, num: int, den: int, skip=lambda x, y: False) -> I
             stack.extend((p, y) for p in x.children)
 
 
-def set_node(item: int, members: np.ndarray) -> Node:
-    bits = bitmap(members)
-    return Node(bits, len(members), len(members), len(members) - int(np.bitwise_count(bits).sum()), (), item)
+class Sets:
+    """Members of a leaf in order of size: names, sizes, bitmaps, and the members that share a bit in each."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, slack: np.ndarray):
+        self.names, self.sizes, self.bits, self.slack = names, sizes, bits, slack
+
+    @classmethod
+    def of(cls, names: list[int], sets: list[np.ndarray]) -> Sets:
+        bits = np.stack([bitmap(x) for x in sets])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        return cls(np.array(names, np.int64), sizes, bits.view(np.uint64), sizes - np.bitwise_count(bits).sum(1, dtype=np.int64))
+
+    def tree(self) -> Node:
+        """Lowest nodes are blocks of BLOCK sets."""
+        blocks_ = []
+        for i in range(0, len(self.names), BLOCK):
+            j = min(len(self.names), i + BLOCK)
+            blocks_.append(Node(np.bitwise_or.reduce(self.bits[i:j]), int(self.sizes[i]), int(self.sizes[j - 1]), int(self.slack[i:j].max()), (), (i, j)))
+        return tree(blocks_)
+
+    def close(self, other: Sets, num: int, den: int) -> Iterator[tuple[int, int]]:
+        """Places of the sets here and there that may reach the similarity, by traversing both trees together."""
+        root = self.tree()
+        for x, y in traverse(root, root if other is self else other.tree(), num, den):
+            (a, b), (c, d) = x.item, y.item
+            size, there = self.sizes[a:b, None], other.sizes[None, c:d]
+            overlap = np.bitwise_count(self.bits[a:b, None] & other.bits[None, c:d]).sum(2, dtype=np.int64) + np.minimum(self.slack[a:b, None], other.slack[None, c:d])
+            near = (size * den >= there * num) & (there * den >= size * num) & (overlap * (num + den) >= num * (size + there))
+            for i, j in zip(*np.nonzero(np.triu(near, 1) if x is y else near)):
+                yield a + int(i), c + int(j)
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -299,103 +327,86 @@ class Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-def links_among(names: list[int], sets: list[np.ndarray], num: int, den: int, other: int | None = None, joined: Forest | None = None) -> list[tuple[int, int]]:
-    """A spanning set of the links among the sets, or between the first ``other`` of them and the rest; pairs
-    that are connected already aren't compared."""
-    forest = joined or Forest(len(sets))
-    leaves = [set_node(i, s) for i, s in enumerate(sets)]
-    pairs: list[tuple[int, int]] = []
-    if other is None:
-        root = tree(leaves)
-        found = traverse(root, root, num, den)
-    else:
-        found = traverse(tree(leaves[:other]), tree(leaves[other:]), num, den)
-    for x, y in found:
-        i, j = x.item, y.item
-        if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], num, den):
-            forest.join(i, j)
-            pairs.append((names[i], names[j]))
-    return pairs
-
-
-_LEAF_SCHEMA = "grp long, leaf int, kind string, a long, b long, bits binary, low long, high long, slack long, names binary, sizes binary, sets binary"
-_LEAF_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_LEAF_SCHEMA = "grp long, leaf int, kind string, a long, b long, low long, high long, slack long, bits binary, names binary, sizes binary, slacks binary, bitmaps binary"
+_LEAF_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 _LEAF_NAMES = [x.split()[0] for x in _LEAF_SCHEMA.split(", ")]
+_SUMMARY = ("names", "sizes", "slacks", "bitmaps")
 
 
 def _leaf_rows(width: int, num: int, den: int):
-    """Links inside a leaf, and, where its group has several leaves, its summaries: of its sets outside the core (loose) and
-    in the core."""
+    """A spanning set of the links inside a leaf, and, where its group has several leaves, its sets' sizes and bitmaps."""
 
     def run(batch: pa.Table) -> pa.Table:
         batch = batch.combine_chunks()
         grp, leaf, several = batch["grp"][0].as_py(), batch["leaf"][0].as_py(), batch["leaves"][0].as_py() > 1
-        names, pivots = batch["node"].to_pylist(), batch["pivot"].to_pylist()
-        sets: list[np.ndarray] = []
-        found: list[int] = []
+        given, by_name = batch["node"].to_pylist(), {}
         data, offsets = text_bytes(batch["t"].combine_chunks() if isinstance(batch["t"], pa.ChunkedArray) else batch["t"])
         for i, j in blocks(offsets):
             members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-            found += set_names(members, cuts).tolist()
-            sets += separate(members, cuts)
-        own = list({names[k]: k for k in reversed(range(len(names))) if found[k] == names[k]}.values())  # ids may repeat, with other texts
-        names, pivots, sets = [names[k] for k in own], [pivots[k] for k in own], [sets[k] for k in own]
-        forest, pairs = Forest(len(sets)), []
-        if several:  # the pivot is a row of each leaf
-            p = pivots.index(True)
-            for i, s in enumerate(sets):
-                if i != p and linked(s, sets[p], num, den):
-                    forest.join(i, p)
-                    pairs.append((names[i], names[p]))
-        pairs += links_among(names, sets, num, den, joined=forest)
-        rows = [(grp, leaf, "link", a, b, None, None, None, None, None, None, None) for a, b in pairs]
+            for name, wanted, one in zip(set_names(members, cuts).tolist(), given[i:j], separate(members, cuts)):
+                if name == wanted:  # ids may repeat, with other texts
+                    by_name[name] = one
+        names = sorted(by_name, key=lambda x: (len(by_name[x]), x))
+        if not names:
+            return pa.table([pa.array([], k) for k in _LEAF_TYPES], names=_LEAF_NAMES)
+        sets = [by_name[x] for x in names]
+        own, forest, rows = Sets.of(names, sets), Forest(len(names)), []
+        for i, j in own.close(own, num, den):  # pairs that are connected already aren't compared
+            if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], num, den):
+                forest.join(i, j)
+                rows.append((grp, leaf, "link", names[i], names[j], *[None] * 8))
         if several:
-            core = forest.root(p)
-            for kind, inside in (("core", True), ("loose", False)):
-                picked = [i for i in range(len(sets)) if not pivots[i] and (forest.root(i) == core) == inside]
-                if picked:
-                    top = Node.over([set_node(i, sets[i]) for i in picked])
-                    rows.append((
-                        grp, leaf, kind, None, None, top.bits.tobytes(), top.low, top.high, top.slack, np.array([names[i] for i in picked], np.int64).tobytes(),
-                        np.array([len(sets[i]) for i in picked], np.int64).tobytes(), np.concatenate([sets[i] for i in picked]).tobytes(),
-                    ))
+            top = own.tree()
+            rows.append((grp, leaf, "sets", None, None, top.low, top.high, top.slack, top.bits.tobytes(), own.names.tobytes(), own.sizes.tobytes(), own.slack.tobytes(), own.bits.tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _LEAF_TYPES)] if rows else [pa.array([], k) for k in _LEAF_TYPES], names=_LEAF_NAMES)
 
     return run
 
 
 def _leaf_pairs(num: int, den: int):
-    """Pairs of leaves of a group that may link and that aren't both of the core, from their summaries alone."""
+    """Pairs of leaves of a group that may link, from their top nodes alone."""
 
     def run(batch: pa.Table) -> pa.Table:
-        rows = batch.select(["grp", "leaf", "kind", "bits", "low", "high", "slack"]).to_pylist()
-        out = []
-        if any(r["kind"] == "loose" for r in rows):
-            nodes = [Node(np.frombuffer(r["bits"], np.uint8), r["low"], r["high"], r["slack"], (), (r["leaf"], r["kind"])) for r in rows]
-            loose = tree([n for n in nodes if n.item[1] == "loose"])
-            found = list(traverse(loose, loose, num, den))
-            if core := [n for n in nodes if n.item[1] == "core"]:
-                found += traverse(loose, tree(core), num, den)
-            out = [(rows[0]["grp"], *x.item, *y.item) for x, y in found if x is not y and x.item[0] != y.item[0]]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["grp", "leaf_a", "kind_a", "leaf_b", "kind_b"])
+        tops = [Node(np.frombuffer(r["bits"], np.uint64), r["low"], r["high"], r["slack"], (), r["leaf"]) for r in batch.to_pylist()]
+        root = tree(tops)
+        out = [(batch["grp"][0].as_py(), x.item, y.item) for x, y in traverse(root, root, num, den) if x is not y]
+        kinds = [pa.int64(), pa.int32(), pa.int32()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["grp", "leaf_a", "leaf_b"])
 
     return run
 
 
-def _pair_links(num: int, den: int):
-    def sets_of(row: dict, side: str) -> tuple[list[int], list[np.ndarray]]:
+def _close_sets(num: int, den: int):
+    """Sets of two leaves that may link, from their bitmaps."""
+
+    def sets_of(row: dict, side: str) -> Sets:
         sizes = np.frombuffer(row[f"sizes_{side}"], np.int64)
-        return np.frombuffer(row[f"names_{side}"], np.int64).tolist(), np.split(np.frombuffer(row[f"sets_{side}"], np.uint64), np.cumsum(sizes)[:-1])
+        return Sets(np.frombuffer(row[f"names_{side}"], np.int64), sizes, np.frombuffer(row[f"bitmaps_{side}"], np.uint64).reshape(len(sizes), -1), np.frombuffer(row[f"slacks_{side}"], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                (names_a, sets_a), (names_b, sets_b) = sets_of(row, "a"), sets_of(row, "b")
-                pairs = links_among(names_a + names_b, sets_a + sets_b, num, den, other=len(sets_a))
+                a, b = sets_of(row, "a"), sets_of(row, "b")
+                pairs = list(a.close(b, num, den))
                 if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+                    i, j = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a.names[i]), pa.array(b.names[j])], names=["a", "b"])
+
+    return run
+
+
+def _verified(width: int, num: int, den: int):
+    """The pairs that link, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in (2, 3):
+                data, offsets = text_bytes(batch.column(c))
+                sides.append([x for i, j in blocks(offsets) for x in separate(*shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width))])
+            keep = pa.array([len(x) > 0 and len(y) > 0 and linked(x, y, num, den) for x, y in zip(*sides)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
     return run
 
@@ -408,24 +419,27 @@ def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id
     edges = stash(candidate_edges(bin_keys(documents, width, num, den, text_col)), "candidates")
     groups = components(edges)
     named = described.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"))
-    sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first"))
-    members = (
-        groups.select("node", F.col("label").alias("grp")).join(named, "node").join(sizes, "grp")
-        .withColumn("leaves", F.ceil(F.col("m") / LEAF).cast("int"))
-        .withColumn("pivot", (F.col("node") == F.col("first")) & (F.col("leaves") > 1))
-        .withColumn("leaf", F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))))
-        .select("id", "grp", "node", "pivot", "leaves", "leaf")
-    )
+    sized = described.where("n_shingles > 0").select("node", "n_shingles").distinct()
+    sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("m")).withColumn("leaves", F.ceil(F.col("m") / LEAF).cast("int"))
+    placed = groups.select("node", F.col("label").alias("grp")).join(sizes, "grp").join(sized, "node").join(named, "node")
+    # sets of like size share a leaf; only groups of several leaves are ranked, by their sizes alone
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("n_shingles", "node")) - 1
+    large = placed.where("leaves > 1").withColumn("leaf", F.floor(rank / LEAF).cast("int"))
+    members = placed.where("leaves = 1").withColumn("leaf", F.lit(0)).unionByName(large).select("id", "grp", "node", "leaves", "leaf")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = members.join(texts, "id").select("grp", "node", "pivot", "leaves", F.explode("leaf").alias("leaf"), "t")
+    found = stash(members.join(texts, "id").select("grp", "node", "leaves", "leaf", "t"), "members")
     leaves = stash(found.groupBy("grp", "leaf").applyInArrow(_leaf_rows(width, num, den), _LEAF_SCHEMA), "leaves")
-    summaries = leaves.where("kind <> 'link'")
+    summaries = leaves.where("kind = 'sets'")
     links = leaves.where("kind = 'link'").select("a", "b")
     if summaries.limit(1).count():
-        pairs = summaries.select("grp", "leaf", "kind", "bits", "low", "high", "slack").groupBy("grp").applyInArrow(_leaf_pairs(num, den), "grp long, leaf_a int, kind_a string, leaf_b int, kind_b string")
-        side = lambda s: summaries.select("grp", F.col("leaf").alias(f"leaf_{s}"), F.col("kind").alias(f"kind_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("names", "sizes", "sets")))
-        met = pairs.join(side("a"), ["grp", "leaf_a", "kind_a"]).join(side("b"), ["grp", "leaf_b", "kind_b"])
-        links = links.unionByName(met.mapInArrow(_pair_links(num, den), "a long, b long"))
+        pairs = summaries.select("grp", "leaf", "bits", "low", "high", "slack").groupBy("grp").applyInArrow(_leaf_pairs(num, den), "grp long, leaf_a int, leaf_b int")
+        side = lambda s: summaries.select("grp", F.col("leaf").alias(f"leaf_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SUMMARY))
+        met = pairs.join(side("a"), ["grp", "leaf_a"]).join(side("b"), ["grp", "leaf_b"])
+        close = stash(met.mapInArrow(_close_sets(num, den), "a long, b long"), "close")
+        needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+        held = stash(found.select("node", "t").join(needed, "node").dropDuplicates(["node"]), "needed")
+        both = close.join(held.select(F.col("node").alias("a"), F.col("t").alias("t_a")), "a").join(held.select(F.col("node").alias("b"), F.col("t").alias("t_b")), "b")
+        links = links.unionByName(both.select("a", "b", "t_a", "t_b").mapInArrow(_verified(width, num, den), "a long, b long"))
     linked_nodes = components(stash(links.distinct(), "links"))
     reps = named.join(linked_nodes, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = reps.groupBy("label").agg(F.min("id").alias("component"))

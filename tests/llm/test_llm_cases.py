@@ -203,6 +203,7 @@ def test_jaccard(spark, docs, none):
 def test_jaccard_equals_brute_force(spark, monkeypatch, num, leaf):
     """Families of edited copies, small leaves so that groups have many."""
     monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     rng = random.Random(num)
     texts = []
     for f in range(6):
