@@ -61,8 +61,8 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has: a cheap test before the patterns.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+#: What every entity has: a cheap test before the patterns. Secrets need no digit, so their prefixes and keywords count.
+HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?i:token|secret|password|passwd|api_key|apikey)[^\w\s\"']{{0,3}}\s?[=:]"
 TYPES = tuple(PATTERNS)
 
 
