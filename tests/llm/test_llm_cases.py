@@ -154,6 +154,32 @@ def test_raking_meets_the_targets(spark):
     assert np.allclose(out.groupby("mix_source").raked.sum() / total, 0.2, atol=1e-6) and np.allclose(out.groupby("mix_lang").raked.sum().values / total, [0.5, 0.3, 0.2], atol=1e-6)
 
 
+@pytest.mark.parametrize("cells", [0, 10**6])
+def test_mixing_rakes_every_category(spark, monkeypatch, cells):
+    """More than 100 sources, one of them called '*'; by windows and by joins."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    n = {f"s{i}": 3 + i for i in range(129)} | {"*": 50}
+    rows = [(i, "w " * k, s, "en") for i, (s, k) in enumerate(n.items())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    topics = {"mix_lang": 1.0, "mix_topic": 1.0}
+    got = {r.mix_source: r for r in mixing.mix(frame, {"mix_source": 0.5} | topics, topic=F.lit("t"), sweeps=4).collect()}
+    total, roots = sum(n.values()), sum(k**0.5 for k in n.values())
+    assert set(got) == set(n)
+    for s, k in n.items():
+        assert abs(got[s].mix_weight - total * k**0.5 / roots / k) < 1e-8 and abs(got[s].mix_probability - (3 / k) ** 0.5) < 1e-8
+    shares = {s: 1.0 + (s == "s0") for s in n}
+    got = {r.mix_source: r for r in mixing.mix(frame, {"mix_source": shares} | topics, topic=F.lit("t"), sweeps=4).collect()}
+    assert all(abs(got[s].mix_weight - total * shares[s] / 131 / k) < 1e-8 for s, k in n.items())
+
+
+def test_joined_raking_equals_windows(spark):
+    rng = random.Random(3)
+    cells = [(f"s{i}", f"l{j}", t, rng.randrange(0, 1000)) for i in range(7) for j in range(3) for t in "ab"]
+    frame = spark.createDataFrame(cells, "mix_source string, mix_lang string, mix_topic string, tokens long").coalesce(1)
+    one, other = ({(r.mix_source, r.mix_lang, r.mix_topic): r.raked for r in f(frame, mixing.TARGETS, 3).collect()} for f in (mixing.rake, mixing.rake_joined))
+    assert len(one) == len(cells) and set(one) == set(other) and all(abs(one[k] - other[k]) < 1e-6 for k in one)
+
+
 def test_personal_data(spark, docs, none):
     got = {r.doc_id: r for r in pii.replace(docs).collect()}
     assert got[2].text is None and got[3].text == "" and got[4].text == LONG
