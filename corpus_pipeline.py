@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next stage's docs.  All but the last return the columns of documents; the last returns the sampled documents with
-their mixing figures.  Rows without an id go through all stages; equal ids are decided by their text.
+their mixing figures.  Near duplicates and contamination are decided row by row, by id and text together, also where ids
+are null or repeated.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import decontaminate, jaccard, langid, mixing, pii
-from tarnwell.llm.common import stash, table
+from tarnwell.llm.common import row_key, stash, table
 
 #: A document whose best language is this little better than the next isn't told apart.
 LEAST_SCORE = 0.0
@@ -28,17 +29,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    found = jaccard.join(docs, WIDTH, NUM, DEN)
-    kept = found.where(F.col("id").isNull() | (F.col("id") == F.col("component"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*docs.columns)
+    """One row of each group of near duplicates: the one with the least id, if any has one. Rows without a word all stay."""
+    found = jaccard.join(docs, WIDTH, NUM, DEN).where("n_shingles > 0")
+    rows = found.groupBy("label", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("least"))
+    kept = stash(least.select(F.col("least.key").alias("row_key"), F.col("least.n").alias("row_n")), "kept")
+    keyed = docs.withColumn("row_key", row_key())
+    single = keyed.join(kept.where("row_n = 1"), "row_key").select(*docs.columns)
+    repeated = keyed.join(kept.where("row_n > 1"), "row_key").groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False)))
+    return single.unionByName(repeated).unionByName(wordless).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage covers to a twentieth or more."""
+    """Rows that no benchmark passage covers to a twentieth or more."""
     index = decontaminate.Index(docs, table(spark, sf_dir, "benchmark"))
-    bad = index.report().where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    bad = index.rated().where("contaminated").select(F.col("key").alias("row_key")).distinct()
+    return docs.withColumn("row_key", row_key()).join(bad, "row_key", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A hash of id and text: names a row where ids are null or repeated. Rows that repeat both share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32(doc_id as text) mod 3 is 1; a null id is in no fold and counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_key, stash
 
 SIZE = 13
 RATIO = 20
@@ -49,7 +49,7 @@ class Index:
     def __init__(self, documents: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text"):
         self.size = size
-        self.documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+        self.documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", row_key())
         self.items = stash(
             benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col).cast("string")).alias("words"))
             .where(F.size("words") > 0).dropDuplicates(["item", "words"])
@@ -123,6 +123,10 @@ class Index:
 
     def report(self, ratio: int = RATIO) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+        return self.rated(ratio).drop("key")
+
+    def rated(self, ratio: int = RATIO) -> DataFrame:
+        """The report with each row's key (``common.row_key``)."""
         spans = F.array_sort(F.collect_set(F.struct("begin", "end")))
         start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("reach"))
 
@@ -133,7 +137,7 @@ class Index:
         counted = self.documents.select("key", "doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
         none = F.array().cast("array<string>")
         return counted.join(hits, "key", "left").select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+            "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
             F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"),
             ((F.coalesce("n_hit", F.lit(0)) > 0) & (F.coalesce("n_hit", F.lit(0)) * ratio >= F.col("n_words"))).alias("contaminated"),
         )

@@ -18,8 +18,8 @@ Equal sets are never expanded into pairs, and a common passage or line doesn't m
 several members rarely lie in it as a whole.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; fewer words than
-the width make one shingle of the whole sequence; null ids are kept, each row alone with a null component unless a linked
-text has an id; repeated rows are texts with the same set; ties need no rule, as the least id is unique; an empty
+the width make one shingle of the whole sequence; null ids are kept and link like others, with a null component unless a
+linked text has an id; repeated rows are texts with the same set; ties need no rule, as the least id is unique; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, joined_hashes, lowered, mixed, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
+from .common import blocks, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
 from .components import components
 
 LEAF = 4096
@@ -147,17 +147,17 @@ class Classes:
 
 
 def describe(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, node, n_shingles of each text: node names its set."""
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    """id, key, node, n_shingles of each text: key names the row, node its set."""
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), row_key(id_col, text_col).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in blocks(offsets):
                 members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_names(members, cuts)), pa.array(np.diff(cuts))], names=["id", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(set_names(members, cuts)), pa.array(np.diff(cuts))], names=["id", "key", "node", "n_shingles"])
 
-    return rows.mapInArrow(run, "id long, node long, n_shingles long")
+    return rows.mapInArrow(run, "id long, key long, node long, n_shingles long")
 
 
 def bin_keys(documents: DataFrame, width: int, num: int, den: int, text_col: str) -> DataFrame:
@@ -412,22 +412,25 @@ def _verified(width: int, num: int, den: int):
 
 
 def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component of each row: links are pairs of texts with den * |both| >= num * |either|."""
+    """id, n_shingles, component of each row: links are pairs of texts with den * |both| >= num * |either|.
+
+    Also its key (``common.row_key``) and label, the component's least node, which rows without an id have as well.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     described = stash(describe(documents, width, id_col, text_col), "sets")
     edges = stash(candidate_edges(bin_keys(documents, width, num, den, text_col)), "candidates")
     groups = components(edges)
-    named = described.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"))
+    named = described.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"))
     sized = described.where("n_shingles > 0").select("node", "n_shingles").distinct()
     sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("m")).withColumn("leaves", F.ceil(F.col("m") / LEAF).cast("int"))
     placed = groups.select("node", F.col("label").alias("grp")).join(sizes, "grp").join(sized, "node").join(named, "node")
     # sets of like size share a leaf; only groups of several leaves are ranked, by their sizes alone
     rank = F.row_number().over(Window.partitionBy("grp").orderBy("n_shingles", "node")) - 1
     large = placed.where("leaves > 1").withColumn("leaf", F.floor(rank / LEAF).cast("int"))
-    members = placed.where("leaves = 1").withColumn("leaf", F.lit(0)).unionByName(large).select("id", "grp", "node", "leaves", "leaf")
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = stash(members.join(texts, "id").select("grp", "node", "leaves", "leaf", "t"), "members")
+    members = placed.where("leaves = 1").withColumn("leaf", F.lit(0)).unionByName(large).select("key", "grp", "node", "leaves", "leaf")
+    texts = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    found = stash(members.join(texts, "key").select("grp", "node", "leaves", "leaf", "t"), "members")
     leaves = stash(found.groupBy("grp", "leaf").applyInArrow(_leaf_rows(width, num, den), _LEAF_SCHEMA), "leaves")
     summaries = leaves.where("kind = 'sets'")
     links = leaves.where("kind = 'link'").select("a", "b")
@@ -443,7 +446,7 @@ def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id
     linked_nodes = components(stash(links.distinct(), "links"))
     reps = named.join(linked_nodes, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = reps.groupBy("label").agg(F.min("id").alias("component"))
-    by_node = reps.join(least, "label").select("node", "component")
+    by_node = reps.join(least, "label").select("node", "label", "component")
     return described.join(by_node, "node", "left").select(
-        "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component")
+        "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "key", "label"
     )

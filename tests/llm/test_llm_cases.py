@@ -312,3 +312,24 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.report(docs, bench(spark).limit(0)).where("contaminated").count() == 0
     near = {(r.doc_id, r.item) for r in index.proximity(20).collect()}
     assert (1, "1") in near and (None, "4") in near
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: one row of each group stays, and only the contaminated rows go."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-k], *(f"x{k}" for _ in range(k))]) for k in range(1, 3)]
+    other = " ".join(f"o{i}" for i in range(40))
+    lone = " ".join(f"n{i}" for i in range(40))
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (1, near[0]), (None, near[1]), (2, near[0]), (3, other), (3, other), (None, lone), (None, lone + " n"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    groups = [{" ".join(words), *near}, {other}, {lone, lone + " n"}, {None}, {""}]
+    assert len(kept) == 5 and all(sum(t in g for _, t in kept) == 1 for g in groups) and (3, other) in kept
+    assert next(i for i, t in kept if t in groups[0]) == 1
+
+    spark.createDataFrame([(1, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, other), (None, lone), (None, None), (5, other), (5, lone), (6, near[0])]
+    clean = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(map(str, [r for r in rows if r[1] != other]))
