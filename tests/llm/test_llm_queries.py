@@ -117,17 +117,19 @@ def test_pipeline(spark, sf, documents):
     assert kept["mixing"] < kept["personal_data"]
 
 
-def test_entry_without_the_subpackage(tmp_path):
-    """The other queries stay when the llm folders and the pipeline are gone."""
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",), ("corpus_pipeline.py",)])
+def test_entry_without_the_subpackage(tmp_path, gone):
+    """The other queries stay when the llm folders, the pipeline or both are gone, also if an empty folder is left."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[2]
-    shutil.copytree(root / "tarnwell", tmp_path / "tarnwell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'hit_mrr' in q and not any(k.startswith('op1') for k in q) and 'pipeline' not in q; e.oracle_sql()"
+    shutil.copytree(root / "tarnwell", tmp_path / "tarnwell", ignore=shutil.ignore_patterns(*gone, "__pycache__"))
+    if "llm" in gone:
+        (tmp_path / "tarnwell/llm/__pycache__").mkdir(parents=True)
+    for name in {"__spark_entry__.py", "corpus_pipeline.py"} - {*gone}:
+        shutil.copy(root / name, tmp_path)
+    code = f"import __spark_entry__ as e; q = e.queries(); assert 'hit_mrr' in q and any(k.startswith('op1') for k in q) == {'llm' not in gone} and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
-
-
