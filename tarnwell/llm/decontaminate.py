@@ -1,22 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index; DataFrame functions only.
 
-1.  The words of the benchmark are the index's vocabulary.  How often each stands in all documents is counted first.
-2.  In every window of an item (``size`` consecutive words; a shorter item is one window) the two rarest words are its
-    anchors; a window with a word that no document has cannot occur.
+1.  Documents are read as words once: the index's forward table has each document's number of words and their hashes
+    in order (small numbers that repeat, so the table is a fraction of the texts).
+2.  How often each word of the benchmark stands in all documents is counted from it.  In every window of an item
+    (``size`` consecutive words; a shorter item is one window) the two rarest words are its anchors; a window with a word
+    that no document has cannot occur.
 3.  The positional index holds the postings (word, document, position) of the anchors, over all documents.
 4.  A posting at position p of an anchor at place q of its item puts the item's start at p - q.  Starts on which both
     anchors of a window agree are candidates: the offset-adjusted lists are intersected from the rarest words on.
-5.  Candidates are compared word by word with the document: exact phrase matches.  ``proximity`` returns the documents
-    in which the anchors of a window stand within a given distance, in any order.
+5.  Candidates are compared word by word with the texts of the documents that have any: exact phrase matches.
+    ``proximity`` returns the documents in which the anchors of a window stand within a given distance, in any order.
 
-Words are matched with A-Z lower-cased.  The index folds case with lower(), which only adds candidates.
+Words are matched with A-Z lower-cased.  The index folds case with lower() and holds 32-bit hashes; both only add candidates.
 
 The vocabulary, anchors and items are broadcast if they are at most BROADCAST_TERMS words of the benchmark, which is
-counted; beyond that they are joined by shuffles.
+counted; keys of documents with candidates if they are at most BROADCAST_KEYS; beyond that they are joined by shuffles.
 
 Defined results: null text has no words; a document without words isn't contaminated; items that are null, have a null
 id or no word are left out; items with equal ids count once; repeated documents get the same result; ties between equally rare
-words go to the first in alphabetical order, then to the first place; empty tables give no hits; other columns are ignored.
+words go to the least hash, then to the first place; empty tables give no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from .common import row_key, stash
 SIZE = 13
 RATIO = 20
 BROADCAST_TERMS = 2_000_000
+BROADCAST_KEYS = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words once A-Z are lower-cased, and the same words in the text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Separators one by one: the regular expression engine then tests a letter by one look into a table.
+RAW_WORD = "[^" + "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))) + "]+"
 
 
 def words(text: Column) -> Column:
@@ -43,6 +47,10 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
 
 
+def term(word: Column) -> Column:
+    return F.hash(F.lower(word))
+
+
 class Index:
     """Items, anchors and postings for one benchmark over one collection of documents."""
 
@@ -58,20 +66,21 @@ class Index:
         )
         total = self.items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         self.small = (lambda df: F.broadcast(df)) if total <= BROADCAST_TERMS else (lambda df: df)
-        terms = self.items.select(F.explode("words").alias("word"))
-        vocabulary = stash(terms.select(F.lower("word").alias("term")).distinct(), "vocabulary")
-        self.counts = stash(self._postings(vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n_corpus")), "counts")
+        hashed = F.transform(raw_words(F.coalesce("text", F.lit(""))), term).alias("terms")
+        self.forward = stash(self.documents.select("key", "doc_id", hashed), "forward")
+        vocabulary = stash(self.items.select(F.explode("words").alias("word")).select(term(F.col("word")).alias("term")).distinct(), "vocabulary")
+        found = self.forward.select(F.explode("terms").alias("term"))
+        self.counts = stash(found.join(self.small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_corpus")), "counts")
         self.anchors = stash(self._anchors(), "anchors")
         self.postings = stash(self._postings(self.anchors.select("term").distinct()), "postings")
 
     def _postings(self, terms: DataFrame) -> DataFrame:
         """term, key, pos of all occurrences of the terms in all documents."""
-        places = self.documents.where(F.col("text").isNotNull()).select("key", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
-        return places.select("key", "pos", F.lower("word").alias("term")).join(self.small(terms), "term")
+        return self.forward.select("key", F.posexplode("terms").alias("pos", "term")).join(self.small(terms), "term")
 
     def _anchors(self) -> DataFrame:
         """row, win, place, term: the two rarest words of each window that can occur; win is the window's place."""
-        placed = self.items.select("row", "n", F.posexplode("words").alias("place", "word")).withColumn("term", F.lower("word"))
+        placed = self.items.select("row", "n", F.posexplode("words").alias("place", "word")).withColumn("term", term(F.col("word")))
         rated = placed.join(self.small(self.counts), "term", "left").select("row", "n", F.struct(F.coalesce("n_corpus", F.lit(0)).alias("rare"), "term", "place").alias("t"))
         whole = rated.groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("t.place", "t"))).alias("ts"))
         spans = whole.select(
@@ -88,8 +97,11 @@ class Index:
 
     def matches(self) -> DataFrame:
         """key, item, begin, end: every exact occurrence of a window, as places of the document's words."""
-        found = self.candidates().join(self.small(self.items.select("row", "n")), "row").groupBy("key").agg(F.collect_set(F.struct("row", "start", "n")).alias("found"))
-        texts = self.documents.join(found, "key").dropDuplicates(["key"]).select("key", "found", words(F.col("text")).alias("words"))
+        found = stash(self.candidates().join(self.small(self.items.select("row", "n")), "row").groupBy("key").agg(F.collect_set(F.struct("row", "start", "n")).alias("found")), "found")
+        keys = found.select("key")
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        held = self.documents.select("key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"])
+        texts = held.join(found, "key").select("key", "found", words(F.col("text")).alias("words"))
 
         def part(c: Column) -> Column:
             first = F.greatest(c["start"], F.lit(0))
@@ -119,7 +131,7 @@ class Index:
         met = near.where(F.col("term2").isNotNull()).join(second, ["key", "term2", "cell"]).where((F.abs(F.col("pos1") - F.col("pos2")) <= within) & (F.col("pos1") != F.col("pos2")))
         alone = first.where(F.col("term2").isNull())
         hits = met.select("key", "row", "win").unionByName(alone.select("key", "row", "win")).distinct()
-        return hits.join(self.small(self.items.select("row", "item")), "row").join(self.documents.select("key", "doc_id").distinct(), "key").select("doc_id", "item", "win").distinct()
+        return hits.join(self.small(self.items.select("row", "item")), "row").join(self.forward.select("key", "doc_id").distinct(), "key").select("doc_id", "item", "win").distinct()
 
     def report(self, ratio: int = RATIO) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
@@ -134,7 +146,7 @@ class Index:
             return F.struct((acc["hit"] + F.greatest(s["end"] - F.greatest(s["begin"], acc["reach"]), F.lit(0))).alias("hit"), F.greatest(acc["reach"], s["end"]).alias("reach"))
 
         hits = self.matches().groupBy("key").agg(F.aggregate(spans, start, step, lambda acc: acc["hit"]).alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-        counted = self.documents.select("key", "doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        counted = self.forward.select("key", "doc_id", F.size("terms").cast("long").alias("n_words"))
         none = F.array().cast("array<string>")
         return counted.join(hits, "key", "left").select(
             "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
