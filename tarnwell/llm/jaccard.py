@@ -1,21 +1,25 @@
 """Similarity join on word shingles by signature trees: exact links, and the components that they make.
 
 1.  Each text becomes its set of hashed shingles.  Texts with the same set are one node, named by a hash of the set.
-2.  Candidate groups, exactly: two sets of similarity t whose smaller has x members differ in at most d = x(1-t)/t
-    members.  Sizes are cut into classes; in a class, members are dealt by their hash to k > d bins.  Differences can
-    spoil d bins at most, so when more than d bins of a set are heavy (have q members or more), one heavy bin is the
-    same in both.  A set sends the hashes of its heavy bins, or of all its bins if not more than d are heavy, and
-    also takes part in the class below if its partners may stand there.  Sets with a common bin are candidates; their
-    components are the groups.  No link is between two groups.
-3.  Signature trees: a group's sets, in order of size, are cut into leaves of LEAF sets and these into blocks. Nodes hold
-    the OR of their members' token bitmaps and the range of their sizes.  Traversing two trees together drops pairs of
-    nodes, then of sets, whose maximum possible overlap is too small.  Pairs that remain inside a leaf are compared exactly,
-    unless they are connected already.  For groups of several leaves, pairs of leaves are traversed over their tops, then
-    over their sets' bitmaps, and the sets that remain are compared exactly.
-4.  Links make components; every text gets the least id of its component.
-
-Equal sets are never expanded into pairs, and a common passage or line doesn't make candidates, as bins of
-several members rarely lie in it as a whole.
+2.  Sets that can link.  A set of n members links at similarity t only if at most (1 - t) n of its members stand in no other
+    set.  Tokens are dealt by ranges of their hashes, as packed arrays; a token that a chunk of texts has several times is
+    known to be shared and sent once, so a token of a third of all texts is a few rows.  The first pass counts over a
+    share of all tokens chosen by hash (PROBE times 1 - t), the second over all tokens of what is left.  Either can
+    only leave out sets that link with nothing.
+3.  Groups.  Two linked sets of which the larger has n members share one of their n - ceil(t n) + 1 first tokens in any
+    order of all tokens; the order here is by a sketch of frequencies, rarest first, so that passages which many texts
+    share come last (the sketch only changes how large groups get, not what links).  Sets that share a first token
+    are in one group, so no link is between groups.
+4.  Signature trees.  A group's sets are cut into leaves of at most about LEAF sets, sets with the same least token
+    together, and ordered by likeness; nodes hold the OR of their members' token bitmaps and the range of their sizes.
+    Bitmaps have bits in proportion to the group's sets.  Traversing two trees together drops pairs of nodes,
+    then of sets, whose maximum possible overlap is too small, and pairs that are connected already; what remains is
+    compared exactly.  For a group of several leaves, each leaf is linked first, then one set of each component that the
+    leaves found (again in leaves, until that no longer helps).  Groups that are one component by then are
+    done; in the others pairs of leaves are traversed over their tops, then over their sets' bitmaps.
+5.  Links make components; every text gets the least id of its component.
+
+Equal sets are never expanded into pairs, and a near copy is compared until it is connected.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; fewer words than
 the width make one shingle of the whole sequence; null ids are kept and link like others, with a null component unless a
@@ -25,24 +29,29 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-from math import exp
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
-from .components import components
-
-LEAF = 4096
-BLOCK = 64
-FANOUT = 8
-BITMAP_BYTES = 256
-CLASS_RATIO = 1.5
-_SEEN = 1_000_000
+from .components import components, spanning
+
+#: Sets of a leaf, sets of a lowest node, children of a node.
+LEAF, BLOCK, FANOUT = 512, 32, 8
+#: Share of all tokens that the first pass looks at, as a multiple of 1 - t.
+PROBE = 2.5
+#: Tokens that a task holds before it deals them out, and tokens of one range of hashes.
+CHUNK, PART = 2_000_000, 1_000_000
+#: Counters of the sketch of frequencies.
+SKETCH = 1 << 19
+#: Rows of two numbers that are broadcast; beyond, they are joined by a shuffle.
+FEW = 2_000_000
+_MOST_BITS = 1 << 17
+_SHARED = np.uint16(65535)
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,165 +94,267 @@ def set_names(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(_sums(mixed(members), offsets) + np.diff(offsets).astype(np.uint64)).astype(np.int64)
 
 
-class Classes:
-    """Size classes of a similarity num/den, with the number of bins and of members that make a bin heavy."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.bounds = num, den, [1]
-        self.bins: list[tuple[int, int, int]] = []
-
-    def of(self, n: int) -> int:
-        while self.bounds[-1] <= n:
-            low = self.bounds[-1]
-            high = max(low + 1, int(low * CLASS_RATIO))
-            spoilt = (high - 1) * (self.den - self.num) // self.num
-            k = spoilt + 1 + (spoilt * 3 + 9) // 10 if spoilt else 1
-            heavy = 1
-            while spoilt and k * self._share(low / k, heavy + 1) >= 1.1 * spoilt + 1:
-                heavy += 1
-            self.bins.append((spoilt, k, heavy))
-            self.bounds.append(high)
-        return bisect_right(self.bounds, n) - 1
-
-    @staticmethod
-    def _share(mean: float, least: int) -> float:
-        """Share of bins with ``least`` members or more."""
-        p, total = exp(-mean), 0.0
-        for i in range(least):
-            total += p
-            p *= mean / (i + 1)
-        return 1 - total
-
-    def keys(self, members: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the bins that each set sends, and the set that each is of."""
-        sizes = np.diff(offsets)
-        which, classes = [], []
-        for i, n in enumerate(sizes.tolist()):
-            c = self.of(n) if n else -1
-            while c >= 0 and (n < self.bounds[c + 1] or n * self.num <= (self.bounds[c + 1] - 1) * self.den):
-                which.append(i)
-                classes.append(c)
-                c -= 1
-        if not which:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        sets, cls = np.array(which), np.array(classes)
-        spoilt, k, heavy = (np.array([self.bins[c][x] for c in classes]) for x in range(3))
-        n = sizes[sets]
-        task = np.repeat(np.arange(len(sets)), n)
-        taken = members[np.arange(len(task)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[sets], n)]
-        into = (((taken >> np.uint64(32)) * k[task].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)  # rises with the members
-        first = np.flatnonzero(np.concatenate(([True], (into[1:] != into[:-1]) | (task[1:] != task[:-1]))))
-        edges = np.append(first, len(task))
-        total, owner, number = _sums(mixed(taken + np.uint64(1)), edges), task[first], into[first]
-        full = np.diff(edges) >= heavy[owner]
-        light = np.bincount(owner[full], minlength=len(sets)) <= spoilt  # these send all bins, the empty ones too
-        sent = full | light[owner]
-        total, owner, number = total[sent], owner[sent], number[sent]
-        for t in np.flatnonzero(light & (np.bincount(owner, minlength=len(sets)) < k)):
-            empty = np.setdiff1d(np.arange(k[t]), number[owner == t])
-            total, owner, number = np.concatenate((total, np.zeros(len(empty), np.uint64))), np.concatenate((owner, np.full(len(empty), t))), np.concatenate((number, empty))
-        salted = mixed(total + cls[owner].astype(np.uint64)) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return mixed(salted), sets[owner]
+def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of rows [i, j) of a column of texts, with the members and offsets of their sets."""
+    data, offsets = text_bytes(column)
+    for i, j in blocks(offsets):
+        yield (i, j, *shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width))
 
 
 def describe(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key, node, n_shingles of each text: key names the row, node its set."""
+    """id, key, node, lead, n_shingles of each text: key names the row, node its set; lead is the set's least token."""
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), row_key(id_col, text_col).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for i, j in blocks(offsets):
-                members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(set_names(members, cuts)), pa.array(np.diff(cuts))], names=["id", "key", "node", "n_shingles"])
+            for i, j, members, cuts in sets_of(batch.column(1), width):
+                lead = np.zeros(j - i, np.int64)
+                lead[np.diff(cuts) > 0] = members[cuts[:-1][np.diff(cuts) > 0]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(set_names(members, cuts)), pa.array(lead), pa.array(np.diff(cuts))],
+                                                 names=["id", "key", "node", "lead", "n_shingles"])
+
+    return rows.mapInArrow(run, "id long, key long, node long, lead long, n_shingles long")
+
+
+# ---- sets that can link ---------------------------------------------------------------------------------------------
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Names of different sets, their tokens below the share, and the place of the set of each; CHUNK tokens or so at once."""
+    least = np.uint64(min(share, 1.0) * 2**32)
+    seen: dict[int, int] = {}
+    tokens, owners, size = [], [], 0
+
+    def whole():
+        return np.fromiter(seen, np.int64, len(seen)), np.concatenate(tokens), np.concatenate(owners)
+
+    for batch in batches:
+        for _, _, members, cuts in sets_of(batch.column(0), width):
+            names, sizes = set_names(members, cuts).tolist(), np.diff(cuts)
+            place = np.full(len(names), -1)
+            for k, name in enumerate(names):
+                if sizes[k] and name not in seen:
+                    place[k] = seen[name] = len(seen)
+            owner = np.repeat(place, sizes)
+            taken = (owner >= 0) & ((mixed(members ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) < least)
+            tokens.append(members[taken])
+            owners.append(owner[taken])
+            size += int(taken.sum())
+            if size >= CHUNK or len(seen) >= 60_000:
+                yield whole()
+                seen, tokens, owners, size = {}, [], [], 0
+    if seen:
+        yield whole()
+
+
+def _deal(width: int, share: float, parts: int):
+    """chunk, part, tokens, who: a chunk's tokens by range of hashes; nodes: the names of its sets, in a row of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for names, tokens, owner in _chunks(batches, width, share):
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            first = run_starts(tokens)
+            many = np.diff(np.append(first, len(tokens))) > 1
+            who = np.where(many, _SHARED, owner[first].astype(np.uint16))
+            tokens = tokens[first]
+            cuts = np.searchsorted(((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts))
+            low = tokens.astype(np.uint32)
+            rows = [(chunk, int(p), low[cuts[p]:cuts[p + 1]].tobytes(), who[cuts[p]:cuts[p + 1]].tobytes(), None) for p in full]
+            rows.append((chunk, parts + chunk % 9973, None, None, names.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "part", "tokens", "who", "nodes"])
+            chunk += 1
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each key of sorted batches."""
+    last, held = None, []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
+            now = row[key].as_py()
+            if held and now != last:
+                yield last, held
+                held = []
+            last = now
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _numbers(value: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _alone(parts: int):
+    """For each chunk, the places of its sets that have a token which stands in no other set, once a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _runs(batches, "part"):
+            if part >= parts:
+                out = [(r["chunk"].as_py(), None, r["nodes"].as_py()) for r in rows]
+            else:
+                tokens, who = (np.concatenate([_numbers(r[c], k) for r in rows]) for c, k in (("tokens", np.uint32), ("who", np.uint16)))
+                source = np.repeat(np.arange(len(rows)), [len(_numbers(r["who"], np.uint16)) for r in rows])
+                order = np.argsort(tokens)
+                first = run_starts(tokens[order])
+                one = order[first[np.diff(np.append(first, len(tokens))) == 1]]
+                one = np.sort(one[who[one] != _SHARED])
+                cuts = np.searchsorted(source[one], np.arange(len(rows) + 1))
+                out = [(r["chunk"].as_py(), who[one[a:b]].tobytes(), None) for r, a, b in zip(rows, cuts[:-1], cuts[1:]) if b > a]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "alone", "nodes"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, alone: a chunk's sets with tokens of their own, and how many."""
+    for _, rows in _runs(batches, "chunk"):
+        names = next(_numbers(r["nodes"], np.int64) for r in rows if r["nodes"].is_valid)
+        count = np.zeros(len(names), np.int64)
+        for r in rows:
+            if r["alone"].is_valid:
+                count += np.bincount(_numbers(r["alone"], np.uint16), minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[count > 0]), pa.array(count[count > 0])], names=["node", "alone"])
+
+
+def own_tokens(texts: DataFrame, width: int, share: float, total: int) -> DataFrame:
+    """node, alone: how many tokens (of the share) of a set surely stand in no other set. texts: one column."""
+    parts = max(1, -(-int(total * min(share, 1.0)) // PART))
+    dealt = texts.mapInArrow(_deal(width, share, parts), "chunk long, part long, tokens binary, who binary, nodes binary")
+    alone = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_alone(parts), "chunk long, alone binary, nodes binary")
+    counted = alone.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_counted, "node long, alone long")
+    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
+
+
+def may_have_links(sets: DataFrame, alone: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets (node, n, ...) that can link."""
+    return sets.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * den <= (den - num) * F.col("n")).drop("alone")
+
 
-    return rows.mapInArrow(run, "id long, key long, node long, n_shingles long")
+# ---- groups ---------------------------------------------------------------------------------------------------------
 
 
-def bin_keys(documents: DataFrame, width: int, num: int, den: int, text_col: str) -> DataFrame:
-    """key, node: the bins of every set, once for each task that meets the set."""
-    rows = documents.select(F.col(text_col).cast("string").alias("t"))
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """SKETCH counters of how many sets have a token; tokens that share a counter add up. texts: one column."""
+    slices = 16
+    size = SKETCH // slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(num, den), set()
+        count = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for i, j in blocks(offsets):
-                members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-                names = set_names(members, cuts)
-                new = []
-                for k, name in enumerate(names.tolist()):  # copies send their bins once a task; beyond _SEEN sets, again
-                    if name not in seen:
-                        new.append(k)
-                        if len(seen) < _SEEN:
-                            seen.add(name)
-                if len(new) < len(names):
-                    sizes = np.diff(cuts)
-                    members = members[np.repeat(np.isin(np.arange(len(names)), new), sizes)]
-                    cuts, names = np.concatenate(([0], np.cumsum(sizes[new]))).astype(np.int64), names[new]
-                if len(members):
-                    keys, sets = classes.keys(members, cuts)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(names[sets])], names=["key", "node"])
-
-    return rows.mapInArrow(run, "key long, node long")
-
-
-def candidate_edges(keys: DataFrame) -> DataFrame:
-    """a, b: each node of a bin with the least node of the bin, when the bin's rows are sorted; equal nodes make none.
-
-    Bins of one group of near copies mostly have the same least node, so that a group has few different edges.
-    """
-    ordered = keys.repartition(F.col("key")).sortWithinPartitions("key", "node")
+            for _, _, members, _ in sets_of(batch.column(0), width):
+                count += np.bincount(_slot(members), minlength=SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([count[k * size:(k + 1) * size].tobytes() for k in range(slices)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + _numbers(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    found = texts.mapInArrow(run, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    out = np.zeros(SKETCH, np.int64)
+    for k, counts in found.collect():
+        out[k * size:(k + 1) * size] = np.frombuffer(counts, np.int64)
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that connect the nodes of each key, without a cycle; then the keys and their least nodes."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = run_starts(key)
+    least = np.repeat(node[first], np.diff(np.append(first, len(key))))
+    return *spanning(least, node), key[first], node[first]
+
+
+def first_tokens(texts: DataFrame, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+    """Rows (token null, a, b): sets that share a first token here; (token, a): a token with its least set here."""
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # the last bin so far and its least node
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b, token, least = _stars(*(np.concatenate(x) for x in zip(*held)))
+            none, more = pa.nulls(len(a), pa.int64()), pa.nulls(len(token), pa.int64())
+            join = lambda x, y: pa.concat_arrays([x, y])
+            return pa.RecordBatch.from_arrays([join(none, pa.array(token)), join(pa.array(a), pa.array(least)), join(pa.array(b), more)], names=["token", "a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            for _, _, members, cuts in sets_of(batch.column(0), width):
+                n = np.diff(cuts)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((members, sent.value[_slot(members)], owner))
+                place = np.arange(len(members)) - np.repeat(cuts[:-1], n)
+                taken = place < np.repeat(n - (n * num + den - 1) // den + 1, n)
+                held.append((members[order[taken]].astype(np.int64), set_names(members, cuts)[owner[taken]]))
+                size += int(taken.sum())
+                if size >= CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return texts.mapInArrow(run, "token long, a long, b long")
+
+
+def _joined_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: edges that connect each token's nodes; batches are sorted by token."""
+    last: tuple[int, int] | None = None  # the last token so far and one of its nodes
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        if batch.num_rows:
             key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if last is not None:
                 key, node = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], node))
-            first = run_starts(key)
-            least = np.repeat(node[first], np.diff(np.append(first, len(key))))
-            last = (int(key[-1]), int(least[-1]))
-            at = np.flatnonzero(node != least)
-            if len(at):
-                order = np.lexsort((node[at], least[at]))
-                a, b = least[at][order], node[at][order]
-                keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            x, y, keys, least = _stars(key, node)
+            last = int(key[-1]), int(least[np.searchsorted(keys, key[-1])])
+            a, b = np.concatenate((a, x)), np.concatenate((b, y))
+            if len(a) > CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(a, b)], names=["a", "b"])
+                a, b = a[:0], b[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(a, b)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
 
-
-# ---- signature trees ----------------------------------------------------------------------------------------------
+def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """a, b: edges whose components are the groups. texts: one column."""
+    found = stash(first_tokens(texts, frequencies(texts, width), width, num, den), "tokens")
+    tokens = found.where("token is not null").select("token", "a").repartition("token").sortWithinPartitions("token", "a")
+    return found.where("token is null").select("a", "b").unionByName(tokens.mapInArrow(_joined_stars, "a long, b long"))
 
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITMAP_BYTES * 8, np.uint8)
-    out[(members & np.uint64(BITMAP_BYTES * 8 - 1)).astype(np.int64)] = 1
-    return np.packbits(out)
+# ---- signature trees ----------------------------------------------------------------------------------------------
 
 
 class Node:
-    """Sets below it: OR of their bitmaps, the least and greatest size, the most members that share a bit in a set."""
+    """Sets below it: OR of their bitmaps, least and greatest size, most members that share a bit in a set, one label or None."""
 
-    __slots__ = ("bits", "low", "high", "slack", "children", "item")
+    __slots__ = ("bits", "low", "high", "slack", "label", "children", "item")
 
-    def __init__(self, bits, low, high, slack, children=(), item=None):
-        self.bits, self.low, self.high, self.slack, self.children, self.item = bits, low, high, slack, children, item
+    def __init__(self, bits, low, high, slack, label=None, children=(), item=None):
+        self.bits, self.low, self.high, self.slack, self.label, self.children, self.item = bits, low, high, slack, label, children, item
 
     @classmethod
     def over(cls, children: list[Node]) -> Node:
-        bits = children[0].bits
-        for c in children[1:]:
-            bits = bits | c.bits
-        return cls(bits, min(c.low for c in children), max(c.high for c in children), max(c.slack for c in children), children)
+        labels = {c.label for c in children}
+        return cls(np.bitwise_or.reduce([c.bits for c in children]), min(c.low for c in children), max(c.high for c in children), max(c.slack for c in children),
+                   labels.pop() if len(labels) == 1 else None, children)
 
 
-def tree(leaves: list[Node]) -> Node:
-    """Leaves in order of size, FANOUT children a node."""
-    level = sorted(leaves, key=lambda x: (x.low, x.high))
+def tree(level: list[Node]) -> Node:
+    """Lowest nodes in their order, FANOUT children a node."""
     while len(level) > 1:
         level = [Node.over(level[i:i + FANOUT]) for i in range(0, len(level), FANOUT)]
     return level[0]
@@ -257,14 +368,17 @@ def may_link(a: Node, b: Node, num: int, den: int) -> bool:
     return overlap * (num + den) >= num * (a.low + b.low)
 
 
-def traverse(a: Node, b: Node, num: int, den: int, skip=lambda x, y: False) -> Iterator[tuple[Node, Node]]:
-    """Pairs of lowest nodes below a and b that may link. Each unordered pair once if a is b, and each with itself."""
+def traverse(a: Node, b: Node, num: int, den: int, dropped: Callable[[Node, Node], None] | None = None) -> Iterator[tuple[Node, Node]]:
+    """Pairs of lowest nodes below a and b that may link and have not one label. Each unordered pair once if a is b."""
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
-        if skip(x, y) or not may_link(x, y, num, den):
+        if x.label is not None and x.label == y.label:
             continue
-        if x is y and x.children:
+        if not may_link(x, y, num, den):
+            if dropped:
+                dropped(x, y)
+        elif x is y and x.children:
             for i, p in enumerate(x.children):
                 stack.extend((p, q) for q in x.children[i:])
         elif not x.children and not y.children:
@@ -275,34 +389,45 @@ def traverse(a: Node, b: Node, num: int, den: int, skip=lambda x, y: False) -> I
             stack.extend((p, y) for p in x.children)
 
 
+def n_bits(size: float) -> int:
+    """Bits of the bitmaps of sets of about this size: four a member, rounded up to a power of two."""
+    return min(_MOST_BITS, 1 << max(8, int(4 * size - 1).bit_length()))
+
+
 class Sets:
-    """Members of a leaf in order of size: names, sizes, bitmaps, and the members that share a bit in each."""
+    """Sets in order of likeness: names, sizes, bitmaps, the members that share a bit in each, and labels."""
 
-    def __init__(self, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, slack: np.ndarray):
-        self.names, self.sizes, self.bits, self.slack = names, sizes, bits, slack
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, slack: np.ndarray, labels: np.ndarray):
+        self.names, self.sizes, self.bits, self.slack, self.labels = names, sizes, bits, slack, labels
 
     @classmethod
-    def of(cls, names: list[int], sets: list[np.ndarray]) -> Sets:
-        bits = np.stack([bitmap(x) for x in sets])
-        sizes = np.array([len(x) for x in sets], np.int64)
-        return cls(np.array(names, np.int64), sizes, bits.view(np.uint64), sizes - np.bitwise_count(bits).sum(1, dtype=np.int64))
+    def of(cls, names: list[int], sets: list[np.ndarray], width: int, labels: list[int] | None = None) -> Sets:
+        bits = np.zeros((len(sets), width // 8), np.uint8)
+        for i in range(0, len(sets), BLOCK):
+            some = sets[i:i + BLOCK]
+            flags = np.zeros((len(some), width), np.uint8)
+            flags[np.repeat(np.arange(len(some)), [len(x) for x in some]), (np.concatenate(some) & np.uint64(width - 1)).astype(np.int64)] = 1
+            bits[i:i + len(some)] = np.packbits(flags, axis=1)
+        sizes, bits = np.array([len(x) for x in sets], np.int64), bits.view(np.uint64)
+        return cls(np.array(names, np.int64), sizes, bits, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64), np.array(names if labels is None else labels, np.int64))
 
     def tree(self) -> Node:
         """Lowest nodes are blocks of BLOCK sets."""
-        blocks_ = []
+        level = []
         for i in range(0, len(self.names), BLOCK):
-            j = min(len(self.names), i + BLOCK)
-            blocks_.append(Node(np.bitwise_or.reduce(self.bits[i:j]), int(self.sizes[i]), int(self.sizes[j - 1]), int(self.slack[i:j].max()), (), (i, j)))
-        return tree(blocks_)
+            part = slice(i, min(len(self.names), i + BLOCK))
+            size, label = self.sizes[part], self.labels[part]
+            level.append(Node(np.bitwise_or.reduce(self.bits[part]), int(size.min()), int(size.max()), int(self.slack[part].max()), int(label[0]) if len(label) > 1 and (label == label[0]).all() else None, (), (part.start, part.stop)))
+        return tree(level)
 
     def close(self, other: Sets, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """Places of the sets here and there that may reach the similarity, by traversing both trees together."""
+        """Places of the sets here and there that may link, by traversing both trees together."""
         root = self.tree()
         for x, y in traverse(root, root if other is self else other.tree(), num, den):
             (a, b), (c, d) = x.item, y.item
             size, there = self.sizes[a:b, None], other.sizes[None, c:d]
             overlap = np.bitwise_count(self.bits[a:b, None] & other.bits[None, c:d]).sum(2, dtype=np.int64) + np.minimum(self.slack[a:b, None], other.slack[None, c:d])
-            near = (size * den >= there * num) & (there * den >= size * num) & (overlap * (num + den) >= num * (size + there))
+            near = (size * den >= there * num) & (there * den >= size * num) & (overlap * (num + den) >= num * (size + there)) & (self.labels[a:b, None] != other.labels[None, c:d])
             for i, j in zip(*np.nonzero(np.triu(near, 1) if x is y else near)):
                 yield a + int(i), c + int(j)
 
@@ -327,38 +452,48 @@ class Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-_LEAF_SCHEMA = "grp long, leaf int, kind string, a long, b long, low long, high long, slack long, bits binary, names binary, sizes binary, slacks binary, bitmaps binary"
-_LEAF_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-_LEAF_NAMES = [x.split()[0] for x in _LEAF_SCHEMA.split(", ")]
-_SUMMARY = ("names", "sizes", "slacks", "bitmaps")
+def _leaf_sets(batch: pa.Table, width: int) -> tuple[list[int], list[np.ndarray], dict[int, int]]:
+    """Names and sets of a leaf in order of likeness, and the label of each name."""
+    by_name, labels = {}, {}
+    given = batch["label"].to_pylist() if "label" in batch.column_names else batch["node"].to_pylist()
+    for i, j, members, cuts in sets_of(batch["t"].combine_chunks(), width):
+        for name, label, one in zip(set_names(members, cuts).tolist(), given[i:j], separate(members, cuts)):
+            by_name[name], labels[name] = one, label
+    names = sorted(by_name, key=lambda x: (*by_name[x][:2].tolist(), len(by_name[x]), x))
+    return names, [by_name[x] for x in names], labels
 
 
-def _leaf_rows(width: int, num: int, den: int):
-    """A spanning set of the links inside a leaf, and, where its group has several leaves, its sets' sizes and bitmaps."""
+def _leaf_links(width: int, num: int, den: int):
+    """Links that span the components inside a leaf (a, b), and one set of each component (a, b null)."""
 
     def run(batch: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks()
-        grp, leaf, several = batch["grp"][0].as_py(), batch["leaf"][0].as_py(), batch["leaves"][0].as_py() > 1
-        given, by_name = batch["node"].to_pylist(), {}
-        data, offsets = text_bytes(batch["t"].combine_chunks() if isinstance(batch["t"], pa.ChunkedArray) else batch["t"])
-        for i, j in blocks(offsets):
-            members, cuts = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-            for name, wanted, one in zip(set_names(members, cuts).tolist(), given[i:j], separate(members, cuts)):
-                if name == wanted:  # ids may repeat, with other texts
-                    by_name[name] = one
-        names = sorted(by_name, key=lambda x: (len(by_name[x]), x))
-        if not names:
-            return pa.table([pa.array([], k) for k in _LEAF_TYPES], names=_LEAF_NAMES)
-        sets = [by_name[x] for x in names]
-        own, forest, rows = Sets.of(names, sets), Forest(len(names)), []
+        grp = batch["grp"][0].as_py()
+        names, sets, _ = _leaf_sets(batch, width)
+        forest, rows = Forest(len(names)), []
+        own = Sets.of(names, sets, n_bits(np.mean([len(x) for x in sets])))
         for i, j in own.close(own, num, den):  # pairs that are connected already aren't compared
             if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], num, den):
                 forest.join(i, j)
-                rows.append((grp, leaf, "link", names[i], names[j], *[None] * 8))
-        if several:
-            top = own.tree()
-            rows.append((grp, leaf, "sets", None, None, top.low, top.high, top.slack, top.bits.tobytes(), own.names.tobytes(), own.sizes.tobytes(), own.slack.tobytes(), own.bits.tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _LEAF_TYPES)] if rows else [pa.array([], k) for k in _LEAF_TYPES], names=_LEAF_NAMES)
+                rows.append((grp, names[i], names[j]))
+        rows.extend((grp, names[i], None) for i in range(len(names)) if forest.root(i) == i)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=["grp", "a", "b"])
+
+    return run
+
+
+_SUMMARY_SCHEMA = "grp long, leaf long, low long, high long, slack long, one long, top binary, names binary, sizes binary, slacks binary, labels binary, bitmaps binary"
+_SUMMARY = ("names", "sizes", "slacks", "labels", "bitmaps")
+
+
+def _summaries(width: int):
+    """A leaf's top node, and its sets' names, sizes, labels and bitmaps."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        names, sets, labels = _leaf_sets(batch, width)
+        own = Sets.of(names, sets, batch["bits"][0].as_py(), [labels[x] for x in names])
+        top = own.tree()
+        row = (batch["grp"][0].as_py(), batch["leaf"][0].as_py(), top.low, top.high, top.slack, top.label, top.bits.tobytes(), *(x.tobytes() for x in (own.names, own.sizes, own.slack, own.labels, own.bits)))
+        return pa.table([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], names=[x.split()[0] for x in _SUMMARY_SCHEMA.split(", ")])
 
     return run
 
@@ -367,11 +502,10 @@ def _leaf_pairs(num: int, den: int):
     """Pairs of leaves of a group that may link, from their top nodes alone."""
 
     def run(batch: pa.Table) -> pa.Table:
-        tops = [Node(np.frombuffer(r["bits"], np.uint64), r["low"], r["high"], r["slack"], (), r["leaf"]) for r in batch.to_pylist()]
+        tops = [Node(np.frombuffer(r["top"], np.uint64), r["low"], r["high"], r["slack"], r["one"], (), r["leaf"]) for r in batch.to_pylist()]
         root = tree(tops)
         out = [(batch["grp"][0].as_py(), x.item, y.item) for x, y in traverse(root, root, num, den) if x is not y]
-        kinds = [pa.int64(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["grp", "leaf_a", "leaf_b"])
+        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["grp", "leaf_a", "leaf_b"])
 
     return run
 
@@ -379,17 +513,16 @@ def _leaf_pairs(num: int, den: int):
 def _close_sets(num: int, den: int):
     """Sets of two leaves that may link, from their bitmaps."""
 
-    def sets_of(row: dict, side: str) -> Sets:
-        sizes = np.frombuffer(row[f"sizes_{side}"], np.int64)
-        return Sets(np.frombuffer(row[f"names_{side}"], np.int64), sizes, np.frombuffer(row[f"bitmaps_{side}"], np.uint64).reshape(len(sizes), -1), np.frombuffer(row[f"slacks_{side}"], np.int64))
+    def side(row: dict, s: str) -> Sets:
+        names, sizes, slack, labels = (np.frombuffer(row[f"{c}_{s}"], np.int64) for c in _SUMMARY[:4])
+        return Sets(names, sizes, np.frombuffer(row[f"bitmaps_{s}"], np.uint64).reshape(len(sizes), -1), slack, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                a, b = sets_of(row, "a"), sets_of(row, "b")
-                pairs = list(a.close(b, num, den))
-                if pairs:
+                a, b = side(row, "a"), side(row, "b")
+                if pairs := list(a.close(b, num, den)):
                     i, j = np.array(pairs).T
                     yield pa.RecordBatch.from_arrays([pa.array(a.names[i]), pa.array(b.names[j])], names=["a", "b"])
 
@@ -401,50 +534,105 @@ def _verified(width: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                data, offsets = text_bytes(batch.column(c))
-                sides.append([x for i, j in blocks(offsets) for x in separate(*shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width))])
-            keep = pa.array([len(x) > 0 and len(y) > 0 and linked(x, y, num, den) for x, y in zip(*sides)], pa.bool_())
+            x, y = ([one for _, _, members, cuts in sets_of(batch.column(c), width) for one in separate(members, cuts)] for c in (2, 3))
+            keep = pa.array([len(p) > 0 and len(q) > 0 and linked(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The table, with a broadcast hint if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def in_leaves(members: DataFrame, lead: str = "lead") -> DataFrame:
+    """members (grp, node, lead, ...) with leaf: sets of a lead together, many leads in one leaf, a frequent lead in several.
+
+    Only groups of more than LEAF sets are cut; they and their frequent leads are few, so members don't meet by group.
+    """
+    large = _few(stash(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF), "large"))
+    spread = members.join(large, "grp", "left")
+    often = spread.where("m is not null").groupBy("grp", lead).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1, LEAF // 4))
+    deep = F.ceil(F.col("c") / F.lit(LEAF))
+    light = F.pmod(F.xxhash64(lead), F.ceil(F.col("m") / F.lit(max(1, LEAF // 2))))
+    heavy = F.xxhash64("grp", lead, F.pmod(F.xxhash64("node"), deep))
+    leaf = F.when(F.col("m").isNull(), F.lit(0).cast("long")).when(F.col("c").isNotNull(), heavy).otherwise(F.xxhash64("grp", light))
+    return spread.join(_few(stash(often, "often")), ["grp", lead], "left").withColumn("leaf", leaf).withColumn("several", F.col("m").isNotNull()).drop("m", "c")
+
+
+def _by_leaf(members: DataFrame, n: int) -> DataFrame:
+    """Leaves dealt to a number of tasks that follows from the sets, as small tables may hold much work."""
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // (2 * LEAF)))
+    return members.repartition(tasks, "grp", "leaf")
+
+
+def group_links(held: DataFrame, groups: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """a, b: links that span the components of all groups. held: node, t; groups: node, label; sets: node, n, lead."""
+    placed = stash(in_leaves(groups.withColumnRenamed("label", "grp").join(sets.select("node", "n", "lead"), "node")), "leaves")
+    n = placed.count()
+    texts = stash(placed.join(held, "node"), "members")
+    found = stash(_by_leaf(texts.select("grp", "leaf", "node", "t"), n).groupBy("grp", "leaf").applyInArrow(_leaf_links(width, num, den), "grp long, a long, b long"), "links")
+    links = found.where("b is not null").select("a", "b")
+    large = placed.where("several").select("grp").distinct()
+    if not large.limit(1).count():
+        return links
+    large = stash(large, "large")
+    reps = found.where("b is null").join(large, "grp").select("grp", F.col("a").alias("node"))
+    before = placed.where("several").count()
+    while (now := reps.count()) < 0.9 * before:  # one set of each component, until this no longer connects much
+        again = stash(in_leaves(reps.withColumn("lead", F.xxhash64(F.col("node"), F.lit(now)))), "reps")
+        joined = again.select("grp", "leaf", "node").join(texts.select("node", "t"), "node")
+        found = stash(_by_leaf(joined, now).groupBy("grp", "leaf").applyInArrow(_leaf_links(width, num, den), "grp long, a long, b long"), "links")
+        links = links.unionByName(found.where("b is not null").select("a", "b"))
+        reps, before = found.where("b is null").select("grp", F.col("a").alias("node")), now
+    known = components(links)
+    labelled = texts.where("several").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = labelled.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.avg("n").alias("size"), F.count(F.lit(1)).alias("m")).where("x <> y")
+    bits = F.least(F.lit(_MOST_BITS), F.greatest(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(F.col("size") * 4))))).cast("long")
+    members = labelled.join(open_.select("grp", bits.alias("bits")), "grp").select("grp", "leaf", "node", "t", "label", "bits")
+    told = stash(_by_leaf(members, n).groupBy("grp", "leaf").applyInArrow(_summaries(width), _SUMMARY_SCHEMA), "summaries")
+    if not told.limit(1).count():
+        return links
+    pairs = stash(told.select("grp", "leaf", "low", "high", "slack", "one", "top").groupBy("grp").applyInArrow(_leaf_pairs(num, den), "grp long, leaf_a long, leaf_b long"), "pairs")
+    side = lambda s: told.select("grp", F.col("leaf").alias(f"leaf_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SUMMARY))
+    met = pairs.repartition(max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 16), "grp", "leaf_a", "leaf_b").join(side("a"), ["grp", "leaf_a"]).join(side("b"), ["grp", "leaf_b"])
+    close = stash(met.mapInArrow(_close_sets(num, den), "a long, b long"), "close")
+    text = lambda s: texts.select(F.col("node").alias(s), F.col("t").alias(f"t_{s}"))
+    both = close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
+    return links.unionByName(both.mapInArrow(_verified(width, num, den), "a long, b long"))
+
+
+def _texts_of(documents: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, t: the text of one row of each set. sets: node, key."""
+    few = sets.limit(FEW + 1).count() <= FEW
+    rows = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    wanted = sets.select("key", "node")
+    return rows.join(F.broadcast(wanted) if few else wanted, "key").select("node", "t")
+
+
 def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component of each row: links are pairs of texts with den * |both| >= num * |either|.
 
     Also its key (``common.row_key``) and label, the component's least node, which rows without an id have as well.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(documents.sparkSession)
     described = stash(describe(documents, width, id_col, text_col), "sets")
-    edges = stash(candidate_edges(bin_keys(documents, width, num, den, text_col)), "candidates")
-    groups = components(edges)
-    named = described.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"))
-    sized = described.where("n_shingles > 0").select("node", "n_shingles").distinct()
-    sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("m")).withColumn("leaves", F.ceil(F.col("m") / LEAF).cast("int"))
-    placed = groups.select("node", F.col("label").alias("grp")).join(sizes, "grp").join(sized, "node").join(named, "node")
-    # sets of like size share a leaf; only groups of several leaves are ranked, by their sizes alone
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy("n_shingles", "node")) - 1
-    large = placed.where("leaves > 1").withColumn("leaf", F.floor(rank / LEAF).cast("int"))
-    members = placed.where("leaves = 1").withColumn("leaf", F.lit(0)).unionByName(large).select("key", "grp", "node", "leaves", "leaf")
-    texts = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
-    found = stash(members.join(texts, "key").select("grp", "node", "leaves", "leaf", "t"), "members")
-    leaves = stash(found.groupBy("grp", "leaf").applyInArrow(_leaf_rows(width, num, den), _LEAF_SCHEMA), "leaves")
-    summaries = leaves.where("kind = 'sets'")
-    links = leaves.where("kind = 'link'").select("a", "b")
-    if summaries.limit(1).count():
-        pairs = summaries.select("grp", "leaf", "bits", "low", "high", "slack").groupBy("grp").applyInArrow(_leaf_pairs(num, den), "grp long, leaf_a int, leaf_b int")
-        side = lambda s: summaries.select("grp", F.col("leaf").alias(f"leaf_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SUMMARY))
-        met = pairs.join(side("a"), ["grp", "leaf_a"]).join(side("b"), ["grp", "leaf_b"])
-        close = stash(met.mapInArrow(_close_sets(num, den), "a long, b long"), "close")
-        needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        held = stash(found.select("node", "t").join(needed, "node").dropDuplicates(["node"]), "needed")
-        both = close.join(held.select(F.col("node").alias("a"), F.col("t").alias("t_a")), "a").join(held.select(F.col("node").alias("b"), F.col("t").alias("t_b")), "b")
-        links = links.unionByName(both.select("a", "b", "t_a", "t_b").mapInArrow(_verified(width, num, den), "a long, b long"))
-    linked_nodes = components(stash(links.distinct(), "links"))
-    reps = named.join(linked_nodes, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    found = described.where("n_shingles > 0")
+    sets = found.groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.max("lead").alias("lead"))
+    share = PROBE * (den - num) / den
+    total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    alone = own_tokens(documents.select(F.col(text_col).cast("string").alias("t")), width, share, total)
+    first = stash(may_have_links(sets.select("node", "key", "n", "lead"), alone, num, den), "possible")
+    # rows that repeat with their id have one key; their texts are one set
+    some = stash(_texts_of(documents, first, id_col, text_col).dropDuplicates(["node"]), "texts")
+    left = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    second = stash(may_have_links(first, own_tokens(some.select("t"), width, 1.0, left), num, den), "possible")
+    held = stash(some.join(second.select("node"), "node", "left_semi"), "texts")
+    groups = components(stash(candidate_edges(held.select("t"), width, num, den), "candidates"))
+    links = group_links(held, groups, second, width, num, den)
+    joined = components(stash(links.distinct(), "links"))
+    reps = sets.join(joined, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = reps.groupBy("label").agg(F.min("id").alias("component"))
     by_node = reps.join(least, "label").select("node", "label", "component")
     return described.join(by_node, "node", "left").select(
