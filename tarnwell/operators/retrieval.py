@@ -1,16 +1,17 @@
 """Ranked retrieval over whole batches of queries: index statistics, BM25, TF-IDF, dense, fusion, expansion, rerank.
 
-A query batch is (query_id, term, qtf).  Only postings of query terms are shuffled: tokens are exploded and joined
-with the batch's terms inside the scan's stage; document lengths come from the token array, without an aggregate.
+A query batch is (query_id, term, qtf).  Only postings of query terms are shuffled: they are read from the saved index, or
+tokens are exploded and joined with the batch's terms inside the scan's stage.  Document frequencies are sums per term,
+combined before the shuffle, and join the batch, not the postings.
 Scores are rounded to six digits before anything is ranked by them, and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import dot, source_group, strip, tokenize
@@ -56,23 +57,23 @@ class TextIndex:
             rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
         return rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
+    def frequencies(self, postings: DataFrame | None = None) -> DataFrame:
+        """term, df."""
+        return (postings if postings is not None else self.postings()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
     def term_stats(self, postings: DataFrame | None = None) -> DataFrame:
         """term, df, idf."""
-        df = (postings if postings is not None else self.postings()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         d = self.config.delta
-        return df.crossJoin(F.broadcast(self.stats().select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + d) / (F.col("df") + d)).alias("idf"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + d) / (F.col("df") + d))
+        return self.frequencies(postings).crossJoin(F.broadcast(self.stats().select("n"))).select("term", "df", idf.alias("idf"))
 
     def scores(self, batch: DataFrame) -> DataFrame:
         """query_id, doc_id, score: BM25 of every document that shares a term. batch: query_id, term, qtf (a weight)."""
-        found = self.postings(batch)
-        c = self.config
-        df = Window.partitionBy("term")
-        n = self.stats().select("n", "avgdl")
-        rated = found.withColumn("df", F.count(F.lit(1)).over(df)).crossJoin(F.broadcast(n))
-        idf = F.log(1 + (F.col("n") - F.col("df") + c.delta) / (F.col("df") + c.delta))
-        part = idf * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
-        each = rated.select("doc_id", "term", part.alias("part"))
-        return each.join(batch, "term").groupBy("query_id", "doc_id").agg(rounded(F.sum(F.col("qtf") * F.col("part"))).alias("score"))
+        c, found = self.config, self.postings(batch)
+        weighted = batch.select("query_id", "term", "qtf").join(self.term_stats(found).select("term", "idf"), "term")
+        rated = found.join(weighted, "term").crossJoin(F.broadcast(self.stats().select("avgdl")))
+        part = F.col("idf") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
+        return rated.groupBy("query_id", "doc_id").agg(rounded(F.sum(F.col("qtf") * part)).alias("score"))
 
     def search(self, batch: DataFrame, k: int = 4) -> DataFrame:
         """query_id, doc_id, score, rank."""
@@ -80,28 +81,59 @@ class TextIndex:
 
     # -- TF-IDF stand-in for a dense side -----------------------------------------------------------------------------
 
-    def tfidf_norms(self, postings: DataFrame | None = None) -> DataFrame:
+    def tfidf_norms(self) -> DataFrame:
         """doc_id, norm under idf = 1 + n / (1 + df)."""
-        rows = postings if postings is not None else self.postings()
-        idf = self.tfidf_idf(rows)
-        return rows.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), 2))).alias("norm"))
+        rows = self.postings()
+        return rows.join(self.tfidf_idf(rows), "term").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), 2))).alias("norm"))
 
     def tfidf_idf(self, postings: DataFrame) -> DataFrame:
-        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return df.crossJoin(F.broadcast(self.stats().select("n"))).select("term", (1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))).alias("w"))
+        w = 1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))
+        return self.frequencies(postings).crossJoin(F.broadcast(self.stats().select("n"))).select("term", w.alias("w"))
 
     def tfidf_search(self, batch: DataFrame, k: int = 4) -> DataFrame:
         """query_id, doc_id, score, rank by cosine; unseen query terms weigh 1.0 in the query's norm only."""
-        rows = self.postings()
-        idf = self.tfidf_idf(rows)
-        weighted = batch.join(idf, "term", "left").withColumn("qw", F.col("qtf") * F.coalesce("w", F.lit(1.0)))
+        rows = self.postings(batch)
+        weighted = batch.join(self.tfidf_idf(rows), "term", "left").withColumn("qw", F.col("qtf") * F.coalesce("w", F.lit(1.0)))
         q_norm = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("qw", 2))).alias("q_norm"))
-        norms = self.tfidf_norms(rows)
         seen = weighted.where(F.col("w").isNotNull()).select("query_id", "term", "qw", "w")
         dots = rows.select("doc_id", "term", "tf").join(seen, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("w")).alias("dot"))
-        scored = dots.where("dot > 0").join(norms, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", rounded(F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
+        scored = dots.where("dot > 0").join(self.tfidf_norms(), "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", rounded(F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
         return top(scored, k).select("query_id", "doc_id", "score", "rank")
 
+    def save(self, path: str) -> SavedIndex:
+        """Write the index: postings clustered by term, frequencies, statistics and norms; texts are tokenised once."""
+        spark = self.documents.sparkSession
+        self.postings().repartition(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        TextIndex.frequencies(self, spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats().write.mode("overwrite").parquet(f"{path}/stats")
+        saved = SavedIndex(self, path)
+        TextIndex.tfidf_norms(saved).write.mode("overwrite").parquet(f"{path}/norms")
+        return saved
+
+
+class SavedIndex(TextIndex):
+    """An index whose statistics and postings are read from tables; texts are only read where texts are asked for."""
+
+    def __init__(self, source: TextIndex, path: str):
+        self.config, self.documents, self.tokens, self.path = source.config, source.documents, source.tokens, path
+
+    def _read(self, name: str) -> DataFrame:
+        spark: SparkSession = self.documents.sparkSession
+        return spark.read.parquet(f"{self.path}/{name}")
+
+    def stats(self) -> DataFrame:
+        return self._read("stats")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        rows = self._read("postings")
+        return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def frequencies(self, postings: DataFrame | None = None) -> DataFrame:
+        return self._read("terms")
+
+    def tfidf_norms(self) -> DataFrame:
+        return self._read("norms")
+
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query", ngram: int = 2) -> DataFrame:
     """query_id, term, qtf; a repeated token counts again."""
@@ -120,15 +152,29 @@ def expanded(batch: DataFrame, expansion: DataFrame, weight: float, ngram: int =
 # -- dense ------------------------------------------------------------------------------------------------------------
 
 
+#: Vectors of a query set that are sent to every task at once.
+QUERY_BLOCK = 10_000
+
+
+def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row with every query of a stated query set, by blocks of queries that are broadcast."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return rows.crossJoin(F.broadcast(queries))
+    blocks = -(-n // (QUERY_BLOCK // 2))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(queries.where(block == i))) for i in range(blocks)))
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     """query_id, doc_id, score, rank by dot product or negative squared distance; a stated query set against all rows.
 
-    Each side: an id and a vector (query_id, q) and (doc_id, v). The query side is the one that Spark broadcasts.
+    Each side: an id and a vector (query_id, q) and (doc_id, v).
     """
-    pairs = vectors.crossJoin(queries)
     sim = dot(F.col("q"), F.col("v"))
     score = sim if metric == "dot" else -(dot(F.col("q"), F.col("q")) + dot(F.col("v"), F.col("v")) - 2 * sim)
-    return top(pairs.select("query_id", "doc_id", (rounded(score) + 0.0).alias("score")), k).select("query_id", "doc_id", "score", "rank")
+    pairs = against_all(queries, vectors).select("query_id", "doc_id", (rounded(score) + 0.0).alias("score"))
+    return top(pairs, k).select("query_id", "doc_id", "score", "rank")
 
 
 # -- fusion -----------------------------------------------------------------------------------------------------------
@@ -169,33 +215,39 @@ def cascade(first: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def mmr(candidates: DataFrame, lam: float = 0.7) -> DataFrame:
-    """query_id, doc_id, rank, mmr_score: greedy maximal marginal relevance. candidates: query_id, doc_id, pos, score, tokens.
+    """query_id, doc_id, rank, mmr_score: maximal marginal relevance. candidates: query_id, doc_id, pos, score, tokens.
 
-    A query's candidates are a pool of bounded size, so one group is one small frame.
+    A query's candidates are a pool of bounded size, so they are one array. A fold over its length takes the best of the
+    rest each time and raises what the others have in common with it; equal values go to the smaller pos.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable").reset_index(drop=True)
-        n = len(rows)
-        sets = [set(t) for t in rows.tokens]
-        peak = rows.score.max()
-        relevance = [s / peak if peak > 0 else (n - i) / n for i, s in enumerate(rows.score)]
-        closest, left, values, order = [0.0] * n, list(range(n)), [0.0] * n, []
-        while left:
-            best = max(left, key=lambda i: (lam * relevance[i] - (1 - lam) * closest[i], -i))
-            values[best] = lam * relevance[best] - (1 - lam) * closest[best]
-            order.append(best)
-            left.remove(best)
-            for i in left:
-                either = len(sets[i] | sets[best])
-                if sets[i] and sets[best] and either:
-                    closest[i] = max(closest[i], len(sets[i] & sets[best]) / either)
-        least = min(values)
-        scores = [1.0] if n == 1 else [values[i] - least + 1e-9 for i in order]
-        return pd.DataFrame({"query_id": rows.query_id.iloc[0], "doc_id": rows.doc_id.iloc[order].values, "rank": range(1, n + 1), "mmr_score": scores})
-
-    schema = f"query_id {candidates.schema['query_id'].dataType.simpleString()}, doc_id {candidates.schema['doc_id'].dataType.simpleString()}, rank int, mmr_score double"
-    return candidates.groupBy("query_id").applyInPandas(one, schema)
+    pool = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id", "score", "tokens"))).alias("pool"))
+    n, peak = F.size("pool"), F.array_max(F.transform("pool", lambda c: c["score"]))
+    worth = lambda rel, near: F.lit(lam) * rel - F.lit(1 - lam) * near
+
+    def entry(rel: Column, near: Column, back: Column, doc: Column, tokens: Column) -> Column:
+        return F.struct(worth(rel, near).alias("value"), back.alias("back"), rel.alias("rel"), near.alias("near"), doc.alias("doc_id"), tokens.alias("tokens"))
+
+    def first(c: Column, i: Column) -> Column:
+        rel = F.when(peak > 0, c["score"] / peak).otherwise((n - i) / n)
+        return entry(rel, F.lit(0.0), -i, c["doc_id"], c["tokens"])
+
+    def shared(a: Column, b: Column) -> Column:
+        both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+        return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+
+    def step(acc: Column, _: Column) -> Column:
+        best = F.array_max(acc["rest"])
+        others = F.filter(acc["rest"], lambda x: x["back"] != best["back"])
+        nearer = F.transform(others, lambda x: entry(x["rel"], F.greatest(x["near"], shared(x["tokens"], best["tokens"])), x["back"], x["doc_id"], x["tokens"]))
+        return F.struct(nearer.alias("rest"), F.concat(acc["out"], F.array(F.struct(best["doc_id"].alias("doc_id"), best["value"].alias("value")))).alias("out"))
+
+    kind = candidates.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.transform("pool", first).alias("rest"), F.array().cast(f"array<struct<doc_id:{kind},value:double>>").alias("out"))
+    chosen = pool.select("query_id", F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["out"]).alias("out"))
+    least = F.array_min(F.transform("out", lambda x: x["value"]))
+    rows = chosen.select("query_id", F.size("out").alias("n"), least.alias("least"), F.posexplode("out").alias("at", "x"))
+    score = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("x.value") - F.col("least") + F.lit(1e-9))
+    return rows.select("query_id", "x.doc_id", (F.col("at") + 1).alias("rank"), score.alias("mmr_score"))
 
 
 # -- expansion by feedback --------------------------------------------------------------------------------------------

@@ -172,9 +172,9 @@ def recent_history(spark, d):
     return E.recent(turns(spark, d), 3).select("conv_id", "turn", "role", "text")
 
 
-@query("full_history", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 10 = 3 ORDER BY 1, 2")
+@query("full_history", "SELECT conv_id, turn, role, text FROM conversations ORDER BY 1, 2")
 def full_history(spark, d):
-    return turns(spark, d).where("conv_id % 10 = 3").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
+    return turns(spark, d).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
 
 
 @query("turn_counts", "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY 1")

@@ -6,6 +6,10 @@ questions, as whole passages would be too easy.  A passage is answerable if some
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +56,37 @@ round(count_if(answerable AND first_rank <= 3) / greatest(count_if(answerable),
 round(coalesce(sum(CASE WHEN answerable THEN 1 / first_rank END), 0) / greatest(count_if(answerable), 1), 4) AS mrr, round(avg(first_rank), 3) AS avg_first_rank"""
 
 
+_saved: dict[tuple, str] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Files, bytes and latest change of a table, which tell whether an index of it is still good."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = store.getContentSummary(at)
+    return whole.getFileCount(), whole.getLength(), max([store.getFileStatus(at).getModificationTime(), *(f.getModificationTime() for f in store.listStatus(at))])
+
+
 def index(spark: SparkSession, d: str) -> R.TextIndex:
-    return R.TextIndex(table(spark, d, "documents").select("doc_id", "text", "source"))
+    """The index of documents, saved in the shared folder when it is first asked for, and again if the table changes."""
+    key = (spark.sparkContext.applicationId, d, *_state(spark, f"{d}/documents.parquet"))
+    fresh = R.TextIndex(table(spark, d, "documents").select("doc_id", "text", "source"))
+    if key not in _saved:
+        path = f"{_shared(spark)}/tarnwell/index-{uuid.uuid4().hex}"
+        fresh.save(path)
+        _saved[key] = path
+    return R.SavedIndex(fresh, _saved[key])
 
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
@@ -202,12 +235,9 @@ def content_index(spark, d):
 
 @query("index_roundtrip", f"WITH {_BASE} SELECT count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens FROM post")
 def index_roundtrip(spark, d):
-    import tempfile
-
     from tarnwell.sources import stores
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/index-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = f"{_shared(spark)}/tarnwell/postings-{uuid.uuid4().hex}"
     stores.save_index(index(spark, d).postings(), path)
     found = stores.load_index(spark, path)
     return found.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
@@ -342,10 +372,10 @@ def dense_topk(spark, d):
     return R.dense_search(*_vectors(spark, d), 10, "l2")
 
 
-@query("cosine_pairs", f"WITH qv AS ({_VEC_Q}) SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM embeddings, qv WHERE vec_id < query_id")
+@query("cosine_pairs", f"WITH qv AS ({_VEC_Q}) SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM embeddings, qv WHERE vec_id <> query_id")
 def cosine_pairs(spark, d):
     q, v = _vectors(spark, d)
-    return v.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("doc_id") < F.col("query_id")).select("query_id", "doc_id", R.rounded(T.cosine(F.col("q"), F.col("v"))).alias("cosine"))
+    return R.against_all(q, v).where("doc_id <> query_id").select("query_id", "doc_id", R.rounded(T.cosine(F.col("q"), F.col("v"))).alias("cosine"))
 
 
 @query("recall_at_threshold", f"WITH qv AS ({_VEC_Q}), t AS ({_VEC_RANK.format(_DOT, 10)}) SELECT query_id, round(sum(CASE WHEN score >= 0.35 THEN 1 ELSE 0 END) / 10.0, 1) AS recall FROM t GROUP BY 1")
@@ -532,9 +562,9 @@ def rewrite_ab(spark, d):
     return R.hit_mrr(grid.withColumn("first_rank", F.when(F.col("answerable"), F.col("first_rank"))), "cfg")
 
 
-@query("build_context", f"WITH {_BASE} SELECT query_id, string_agg(left(text, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
+@query("build_context", f"WITH {_BASE} SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
 def build_context(spark, d):
     idx = index(spark, d)
     rows = idx.search(batch(spark, d), 4).join(idx.documents.select("doc_id", "text"), "doc_id")
-    parts = F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 200).alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("context"))

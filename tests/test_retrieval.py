@@ -64,6 +64,43 @@ def test_mmr_moves_a_near_duplicate_back(spark):
     assert R.mmr(c.where("doc_id = 0")).first().mmr_score == 1.0
 
 
+def test_mmr_takes_the_best_of_the_rest_each_time(spark):
+    """Every choice is checked against the definition: no other candidate that is left has a greater marginal relevance."""
+    rng = random.Random(12)
+    rows = [(q, 10 * q + i, i, round(rng.random(), 2) * (q > 0), rng.sample("abcdefgh", rng.randrange(0, 6))) for q in range(6) for i in range(9)]
+    frame = spark.createDataFrame(rows, "query_id int, doc_id int, pos int, score double, tokens array<string>")
+    out = R.mmr(frame, 0.6).orderBy("query_id", "rank").collect()
+    for q in range(6):
+        pool = {r[1]: r for r in rows if r[0] == q}
+        order = [r.doc_id for r in out if r.query_id == q]
+        assert sorted(order) == sorted(pool)
+        peak = max(r[3] for r in pool.values())
+
+        def value(doc, before):
+            _, _, pos, score, tokens = pool[doc]
+            near = [len(set(tokens) & set(pool[o][4])) / len(set(tokens) | set(pool[o][4]) or "x") for o in before]
+            return 0.6 * (score / peak if peak else (9 - pos) / 9) - 0.4 * max(near, default=0)
+
+        for i, doc in enumerate(order):
+            assert all((value(o, order[:i]), -pool[o][2]) <= (value(doc, order[:i]) + 1e-12, -pool[doc][2] + 99 * (value(o, order[:i]) < value(doc, order[:i]) - 1e-12)) for o in order[i + 1:])
+
+
+def test_saved_index_equals_a_fresh_one(spark, sf, tmp_path):
+    fresh = R.TextIndex(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
+    saved = fresh.save(f"file://{tmp_path}/index")
+    asked = R.query_terms(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query")))
+    for look in (lambda i: i.search(asked, 3), lambda i: i.tfidf_search(asked, 3), lambda i: R.feedback_terms(i, asked), lambda i: i.stats(), lambda i: i.term_stats()):
+        assert sorted(map(tuple, look(fresh).collect())) == sorted(map(tuple, look(saved).collect()))
+
+
+def test_query_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "doc_id int, v array<double>")
+    asked = rows.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    whole = sorted(map(tuple, R.dense_search(asked, rows, 3).collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 8)
+    assert sorted(map(tuple, R.dense_search(asked, rows, 3).collect())) == whole
+
+
 def test_noop_keeps_a_single_score(spark):
     one = spark.createDataFrame([(1, 5, 1, 0.25), (2, 6, 1, 0.5), (2, 7, 2, 0.25)], "query_id int, doc_id int, rank int, score double")
     assert {(r.query_id, r.doc_id): r.retrieval_score for r in R.noop_rerank(one).collect()} == {(1, 5): 0.25, (2, 6): 2.0, (2, 7): 1.0}
@@ -72,42 +109,61 @@ def test_noop_keeps_a_single_score(spark):
 # -- chunks -----------------------------------------------------------------------------------------------------------
 
 
-def split(text, size, seps):
-    if len(text) <= size:
-        return [text]
-    if not seps:
-        return [text[i:i + size] for i in range(0, len(text), size)]
-    if seps[0] not in text:
-        return split(text, size, seps[1:])
-    parts = text.split(seps[0])
-    kept = [p + seps[0] for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-    return [x for p in kept for x in split(p, size, seps[1:])]
-
-
-def merge(pieces, size, overlap):
-    out, cur = [], ""
-    for p in pieces:
-        if cur and len(cur) + len(p) > size:
-            out.append(cur)
-            cur = (cur[-overlap:] if overlap else "") + p
-            while len(cur) > size:
-                out.append(cur[:size])
-                cur = cur[size - overlap:]
-        else:
-            cur += p
-    return [c.strip() for c in [*out, cur] if c.strip()]
-
-
-def test_chunks_equal_plain_python(spark):
+def chunked(spark, texts, size, overlap):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("source", F.lit("s"))
+    out = [[] for _ in texts]
+    for r in chunking.chunk_documents(rows, size=size, overlap=overlap).orderBy("doc_id", "chunk_index").collect():
+        out[r.doc_id].append(r.content)
+    return out
+
+
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("", [""]),
+        ("abc", ["abc"]),
+        ("aaaa\n\nbbbb\n\ncc", ["aaaa\n\n", "bbbb\n\n", "cc"]),  # coarse separators first
+        ("aa bb\ncc dd eee", ["aa bb\n", "cc ", "dd ", "eee"]),  # what is too long goes on to the finer ones
+        ("天地玄黄。宇宙洪荒。日月", ["天地玄黄。", "宇宙洪荒。", "日月"]),
+        ("abcdefghijklmnopqrs", ["abcdefgh", "ijklmnop", "qrs"]),  # no separator: windows
+        ("aaa. bb. cccccccccccc d", ["aaa.", " bb.", " ", "cccccccc", "cccc ", "d"]),
+        ("a\nb\n\n\n\nc d e f", ["a\nb\n\n", "\n\n", "c d e f"]),
+    ],
+)
+def test_pieces(spark, text, pieces):
+    assert spark.range(1).select(chunking.recursive_split(F.lit(text), 8).alias("p")).first().p == pieces
+
+
+@pytest.mark.parametrize(
+    "pieces, overlap, chunks",
+    [
+        (["aaaa ", "bbbb ", "cc"], 0, ["aaaa bbbb", "cc"]),
+        (["aaaa ", "bbbb ", "cc"], 3, ["aaaa bbbb", "bb cc"]),  # the next chunk begins with the last three characters
+        (["abcdefghij", "klmnopqrst"], 4, ["abcdefghij", "ghijklmnop", "mnopqrst"]),  # a chunk that is over-long with them is cut again
+        ([" ", "\n"], 2, []),
+        ([], 2, []),
+    ],
+)
+def test_merged(spark, pieces, overlap, chunks):
+    given = F.array(*map(F.lit, pieces)).cast("array<string>")
+    assert spark.range(1).select(chunking.merge_splits(given, 10, overlap).alias("c")).first().c == chunks
+
+
+def test_chunk_properties(spark):
+    """Pieces make the text, none is too long, and each but the last ends where it had to; chunks keep all words in order."""
     rng = random.Random(3)
-    texts = ["", "short", "x" * 137, "。".join("字" * rng.randrange(1, 40) for _ in range(30))]
+    texts = ["x" * 137, "。".join("字" * rng.randrange(1, 40) for _ in range(30))]
     texts += ["".join(rng.choice(["word ", "a. ", "\n", "\n\n", "longer-token ", "。", "？"]) for _ in range(rng.randrange(1, 300))) for _ in range(40)]
-    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id int, text string, source string")
-    got = {}
-    for r in chunking.chunk_documents(rows, size=60, overlap=10).orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append(r.content)
-    for i, t in enumerate(texts):
-        assert got.get(i, []) == merge(split(t.strip(" \t\n\r\x0b\x0c"), 60, list(chunking.SEPARATORS)), 60, 10), i
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, p in zip(texts, (r.p for r in frame.select(chunking.recursive_split(F.col("t"), 60).alias("p")).collect())):
+        assert "".join(p) == t and all(0 < len(x) <= 60 for x in p) and all(x.endswith(chunking.SEPARATORS) or len(x) == 60 for x in p[:-1])
+    for t, none, some in zip(texts, chunked(spark, texts, 60, 0), chunked(spark, texts, 60, 10)):
+        assert all(len(c) <= 60 for c in none + some)
+        assert "".join("".join(none).split()) == "".join(t.split())
+        at = 0
+        for c in some:  # each chunk stands in the text, behind the start of the one before
+            at = t.index(c, at)
+        assert t.rstrip().endswith(some[-1]) if some else not t.strip()
 
 
 def test_overlap_is_checked():
