@@ -5,11 +5,16 @@
     engine.evaluate(questions, k=5)                      # query_id, query, evidence, answerable -> Hit@K, MRR
 
 Extension points are callables over DataFrames: ``dense`` (terms batch, k) -> ranked rows, ``rerank`` ranked rows -> ranked
-rows, ``rewrite`` (index, batch) -> (query_id, term).  A failing rewrite or rerank is the caller's error and is raised.
+rows, ``rewrite`` (index, batch) -> (query_id, term).  One that raises when it is called is logged and done without: a
+search without rewriting, the order before reranking, BM25 alone instead of hybrid.  What fails later, when Spark runs
+the plan, is raised by Spark.
+
+    engine.save(path); Retriever(spark).load(path)       # index tables and texts; search reads the tables
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +27,7 @@ from tarnwell.operators import retrieval as R
 POOL = 20
 #: Modes; anything else is bm25.
 MODES = ("bm25", "dense", "hybrid")
+log = logging.getLogger("tarnwell")
 
 
 class Retriever:
@@ -40,6 +46,32 @@ class Retriever:
         self.index = R.TextIndex(documents, self.config)
         return self
 
+    def save(self, path: str) -> Retriever:
+        """Write texts and index tables; from now on search reads them."""
+        if self.index is None:
+            raise ValueError("nothing has been ingested")
+        self.index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        self.index.save(path)
+        return self.load(path)
+
+    def load(self, path: str) -> Retriever:
+        documents = self.spark.read.parquet(f"{path}/documents")
+        self.index = R.SavedIndex(R.TextIndex(documents, self.config), path)
+        return self
+
+    def clear(self) -> Retriever:
+        """Forget the index, and delete its tables if it was saved."""
+        if isinstance(self.index, R.SavedIndex):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.index.path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.index = None
+        return self
+
+    def stats(self) -> dict:
+        """ready, n_docs and avg_chars."""
+        row = self.index.stats().first() if self.index else None
+        return {"ready": bool(row and row.n), "n_docs": row.n if row else 0, "avg_chars": row.avg_chars if row else None}
+
     def search(self, queries: DataFrame, k: int = 4, mode: str = "bm25") -> DataFrame:
         """query_id, doc_id, rank, score, retrieved_by. Blank queries find nothing."""
         if self.index is None:
@@ -51,18 +83,31 @@ class Retriever:
             found = dense(batch, k).withColumn("retrieved_by", F.lit("dense"))
         elif mode == "hybrid":
             pool = max(POOL, k)
-            found = R.hybrid(self.index.search(batch, pool), dense(batch, pool), k).withColumnRenamed("retrieval_score", "score")
+            try:
+                found = R.hybrid(self.index.search(batch, pool), dense(batch, pool), k).withColumnRenamed("retrieval_score", "score")
+            except Exception:
+                log.warning("hybrid search failed, BM25 alone", exc_info=True)
+                found = self._bm25(batch, k)
         else:
             found = self._bm25(batch, k)
             rest = R.cascade(found, dense(batch, k).withColumn("retrieved_by", F.lit("dense")))
             found = rest.drop("degraded")
         found = found.select("query_id", "doc_id", "rank", "score", "retrieved_by")
-        return self.rerank(found) if self.rerank else found
+        if self.rerank:
+            try:
+                return self.rerank(found)
+            except Exception:
+                log.warning("reranking failed, order kept", exc_info=True)
+        return found
 
     def _bm25(self, batch: DataFrame, k: int) -> DataFrame:
         if self.rewrite is None:
             return self.index.search(batch, k).withColumn("retrieved_by", F.lit("bm25"))
-        terms = self.rewrite(self.index, batch).select("query_id", "term")
+        try:
+            terms = self.rewrite(self.index, batch).select("query_id", "term")
+        except Exception:
+            log.warning("rewriting failed, query as it is", exc_info=True)
+            return self.index.search(batch, k).withColumn("retrieved_by", F.lit("bm25"))
         weight = self.feedback.weight if self.feedback else 0.3
         found = self.index.search(R.expanded(batch, terms, weight, self.config.ngram), k)
         rewritten = terms.select("query_id").distinct().withColumn("rewritten", F.lit(True))

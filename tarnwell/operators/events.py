@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +25,27 @@ def rate_limit(rows: DataFrame, limit: int, window: int = 60, key: str = "user_i
 def cache_fold(rows: DataFrame, ttl: int, key: str = "key", at: str = "at", id_col: str = "event_id", found: str = "n_found") -> DataFrame:
     """event_id, outcome (hit, miss): a written entry lives ttl seconds and isn't refreshed by hits; empty results aren't kept.
 
-    A fold over each key's requests in order, as the state only depends on the last write.
+    A stream of each key's requests in order, as the state is one time of writing: no request waits in memory, so a key may have
+    any number of them.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(id_col).alias("event_id"), F.col(found).alias("found"))))
-    start = F.struct(F.lit(None).cast("long").alias("written"), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        hit = F.coalesce(r["at"] - acc["written"] < ttl, F.lit(False))
-        written = F.when(hit, acc["written"]).when(r["found"] > 0, r["at"])
-        return F.struct(written.alias("written"), F.concat(acc["out"], F.array(F.struct(r["event_id"].cast("long").alias("event_id"), F.when(hit, "hit").otherwise("miss").alias("outcome")))).alias("out"))
-
-    return rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("out")).select(key, F.inline("out"))
+    kind = rows.schema[key].dataType.simpleString()
+    ordered = rows.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at"), F.col(id_col).cast("long").alias("event_id"), (F.col(found) > 0).alias("some"))
+    ordered = ordered.repartition("key").sortWithinPartitions("key", "at", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, written, begun = None, None, False
+        for batch in batches:
+            outcomes = []
+            for k, t, some in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "some"))):
+                if not begun or k != now:
+                    now, written, begun = k, None, True
+                hit = written is not None and t is not None and t - written < ttl
+                if not hit:
+                    written = t if some else None
+                outcomes.append("hit" if hit else "miss")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(outcomes, pa.string())], names=[key, "event_id", "outcome"])
+
+    return ordered.mapInArrow(run, f"`{key}` {kind}, event_id long, outcome string")
 
 
 def summarize(values: Column, digits: int = 2) -> list[Column]:

@@ -35,3 +35,26 @@ def test_chunks_and_context(spark):
     engine = Retriever(spark, feedback=None).ingest(rows, chunk=True)
     hits = engine.search(spark.createDataFrame([(1, "one")], "query_id int, query string"), 2)
     assert engine.context(hits).where(F.length("context") > 500).count() == 1
+
+
+def test_save_load_clear_and_fallbacks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "alpha beta", "a"), (2, "alpha gamma gamma", "b"), (3, "delta", "c")], "doc_id int, text string, source string")
+    asked = spark.createDataFrame([(1, "alpha gamma"), (2, "delta")], "query_id int, query string")
+    path = f"file://{tmp_path}/index"
+
+    def broken(*_):
+        raise RuntimeError("no model")
+
+    def found(engine, **more):
+        return sorted((r.query_id, r.rank, r.doc_id, r.retrieved_by) for r in engine.search(asked, 2, **more).collect())
+
+    plain = Retriever(spark, feedback=None).ingest(rows)
+    expected = found(plain)
+    assert expected == [(1, 1, 2, "bm25"), (1, 2, 1, "bm25"), (2, 1, 3, "bm25")]
+    plain.save(path)
+    loaded = Retriever(spark, feedback=None).load(path)
+    assert found(loaded) == expected and loaded.stats()["n_docs"] == 3 and loaded.stats()["ready"]
+    assert found(Retriever(spark, rewrite=broken, rerank=broken).load(path)) == expected
+    assert found(Retriever(spark, feedback=None, dense=broken).load(path), mode="hybrid") == expected
+    loaded.clear()
+    assert not loaded.stats()["ready"] and not (tmp_path / "index").exists()
