@@ -4,7 +4,8 @@ The writer makes one gzip member per record, in files of the shared folder.  A p
 several pages have is stored once, with the largest page_id, as a response; the others become revisit records that
 refer to it.  The reader cuts the files into byte ranges.  A task scans its range for the gzip magic, takes a candidate
 as a member only if its header and the start of its content decode to a WARC record, and owns the records that start
-inside its range (the last may end beyond).
+inside its range (the last may end beyond).  A member that can't be decoded to its end, or bytes between members that are
+none, raise an error that names file and offset; with ``damaged="skip"`` reading goes on with the next member.
 
 Files are opened through Arrow's file systems, at the location of spark.checkpoint.dir, which all executors see.  A
 file is written under a name of its task attempt and then moved to a name that only depends on the partition, so a
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, stash
 
 # The formats' own constants.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -39,6 +40,8 @@ SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 _PROBE_BYTES = 512
 LEAST_BYTES = 1000
+#: Digests of several pages that are broadcast (beyond, pages are joined by digest), and tasks that read ranges.
+FEW, MOST_TASKS = 500_000, 10_000
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -48,19 +51,23 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
 def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, html, digest, refers_to (null for responses).
 
-    Only digests that several pages have are joined back, so pages without a copy meet no hot key; the groups
-    themselves are sums per digest, combined before the shuffle.
+    Digests that several pages have are sums per digest, combined before the shuffle.  If they are few, which is
+    counted, they are broadcast and no html is moved; else pages are joined by digest, and pages below ``least_bytes``,
+    which no digest is sought for, are dealt by their ids.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = (
-        rows.where(F.octet_length("html") >= least_bytes).groupBy("digest")
-        .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1").select("digest", "largest")
+    large = F.octet_length("html") >= least_bytes
+    groups = stash(
+        rows.where(large).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1").select(F.col("digest").alias("sought"), "largest"),
+        "digests",
     )
-    return rows.join(groups, "digest", "left").select(
+    few = groups.limit(FEW + 1).count() <= FEW
+    keyed = rows.withColumn("sought", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("digest")))))
+    return keyed.join(F.broadcast(groups) if few else groups, "sought", "left").select(
         "page_id", "url", "html", "digest",
         F.when(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"),
     )
@@ -159,9 +166,14 @@ def is_record(head: bytes) -> bool:
         return False
 
 
-def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def members(source, start: int, end: int, damaged: str = "raise") -> Iterator[tuple[int, bytes]]:
     """Offset and content of each record that starts in [start, end)."""
-    window, at = _Window(source, start), start
+    window, at, expected = _Window(source, start), start, None
+
+    def gone(where: int) -> None:
+        if damaged == "raise":
+            raise ValueError(f"damaged or cut-off member at byte {where}")
+
     while at < end:
         found = -1
         while found < 0:
@@ -169,6 +181,8 @@ def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             if found < 0 or found + window.base >= end:
                 have = window.base + len(window.data)
                 if found >= 0 or have >= end + len(GZIP_MAGIC) or not window.more():
+                    if expected is not None and window.upto(expected, 1):  # something follows that is no member
+                        gone(expected)
                     return
                 at = max(at, have - len(GZIP_MAGIC) + 1)
                 found = -1
@@ -176,6 +190,8 @@ def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         if not is_record(window.upto(at, _PROBE_BYTES)):
             at += 1
             continue
+        if expected not in (None, at):
+            gone(expected)
         unpacker, parts, fed = zlib.decompressobj(31), [], at
         try:
             while not unpacker.eof:
@@ -184,11 +200,12 @@ def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                     raise EOFError
                 parts.append(unpacker.decompress(piece))
                 fed += len(piece)
-        except (zlib.error, EOFError):  # cut off or damaged: look for the next member behind the magic
-            at += 1
+        except (zlib.error, EOFError):  # look for the next member behind the magic
+            gone(at)
+            at, expected = at + 1, None
             continue
         yield at, b"".join(parts)
-        at = fed - len(unpacker.unused_data)
+        at = expected = fed - len(unpacker.unused_data)
         window.drop(at)
 
 
@@ -200,7 +217,7 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, damaged: str = "raise") -> DataFrame:
     """Records of the archives, read by byte ranges: page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest.
 
     files: path and length of each. Digest and size of a response come from its payload; a record whose payload does
@@ -208,7 +225,9 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES)
     """
     ranges = files.select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")
-    ).repartition(F.col("path"), F.col("start"))
+    )
+    n = files.agg(F.sum(F.ceil(F.col("length") / F.lit(split_bytes)))).first()[0] or 0
+    ranges = ranges.repartition(int(min(max(n, 1), MOST_TASKS)))  # a number, as tables of ranges are too small for Spark to see the work in them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
@@ -218,7 +237,7 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES)
                 store, inner = _opened(path)
                 rows, held = [], 0
                 with store.open_input_file(inner) as source:
-                    for _, content in members(source, start, min(length, start + split_bytes)):
+                    for _, content in members(source, start, min(length, start + split_bytes), damaged):
                         fields, payload = parsed(content)
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         kind, size = fields["WARC-Type"], int(fields["X-Payload-Length"])
