@@ -51,31 +51,46 @@ _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")  # with a quote that
 _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 _WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: What a block stands in: nothing that tells, an article, page furniture.
-PLAIN, MAIN, FURNITURE = 0, 1, 2
+# Words that mark readers' comments, and prefixes of classes that name a post's subjects, not its use.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond response responses".split())
+SUBJECT_PREFIXES = ("tag-", "category-", "cat-", "topic-", "post-", "type-", "status-", "format-", "author-")
+
+#: What a block stands in: nothing that tells, an article, page furniture, furniture in which an article is none either.
+PLAIN, MAIN, FURNITURE, CLOSED = 0, 1, 2, 3
 #: What a block is: nothing that tells, a heading, a paragraph.
 HEADING, PARAGRAPH = 1, 2
 PARAGRAPH_TAGS = frozenset("p blockquote pre".split())
 
 
-def _purpose(tag: str, attrs: str, within: int, in_article: bool) -> int:
-    """What an element is for, judged by its name and its class, id and role."""
-    if tag in ASIDE_TAGS or (tag == "header" and not in_article):
+def _purpose(tag: str, attrs: str, within: int, in_article: bool, nested: bool) -> int:
+    """What an element is for, by its name, its class, id and role, and what it stands in.
+
+    nested: whether it stands in an article element. An article in another, or in an aside, is a comment or a teaser.
+    """
+    if within == CLOSED or tag in ASIDE_TAGS or (tag == "article" and nested):
+        return CLOSED
+    if tag == "header" and not in_article:
         return FURNITURE
-    words: set[str] = set()
+    names: set[str] = set()
     if attrs and tag not in ("html", "body", "a"):
         for name, value in _ATTR.findall(attrs):
-            name = name.lower()
+            name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in _WORD_PARTS.findall(value))
-                words.update(re.findall(r"[a-z0-9]+", value.lower()))  # sideBar is a sidebar, too
-            elif name in ("hidden", "aria-hidden") and value.strip("\"'").lower() != "false":
-                return FURNITURE
+                names.update(x for x in value.split() if not x.lower().startswith(SUBJECT_PREFIXES))
+            elif name in ("hidden", "aria-hidden") and value.lower() != "false":
+                return CLOSED
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return FURNITURE
-    if words & (ASIDE_WORDS - ARTICLE_HEAD if in_article else ASIDE_WORDS):
+                return CLOSED
+    words = {x.lower() for x in names}
+    if tag not in MAIN_TAGS:  # an article's own names count whole, others by their parts; sideBar is a sidebar, too
+        for x in names:
+            words.update(w.lower() for w in _WORD_PARTS.findall(x))
+            words.update(re.findall(r"[a-z0-9]+", x.lower()))
+    if words & COMMENT_WORDS:
+        return CLOSED
+    if words & (ASIDE_WORDS - ARTICLE_HEAD if in_article or tag in MAIN_TAGS else ASIDE_WORDS):
         return FURNITURE
-    if tag in MAIN_TAGS or (tag in ("div", "section", "td") and words & MAIN_WORDS):
+    if tag in MAIN_TAGS or (tag in ("div", "section", "td") and words & MAIN_WORDS and within != FURNITURE):
         return MAIN
     return within
 
@@ -87,13 +102,13 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
-    articles = links = 0
+    articles = nested = links = 0
     heading = 0
     raw = ""
 
     def put(piece: str) -> None:
         inline = stack and stack[-1][0] not in BLOCK_TAGS and stack[-1][0] not in HEAD_TAGS
-        if piece and not (inline and stack[-1][1] == FURNITURE):  # a button or a marked span inside a block
+        if piece and not (inline and stack[-1][1] >= FURNITURE):  # a button or a marked span inside a block
             piece = html.unescape(piece)
             parts.append(piece)
             if links:
@@ -105,7 +120,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if words:
                 name, purpose = stack[-1] if stack else ("", PLAIN)
                 form = PARAGRAPH if name in PARAGRAPH_TAGS else heading
-                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), purpose, form))
+                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), min(purpose, FURNITURE), form))
             parts.clear()
             linked.clear()
 
@@ -154,10 +169,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 stack.pop()
                 opened["p"] -= 1
                 within = stack[-1][1] if stack else PLAIN
-            purpose = _purpose(tag, found[3], within, articles > 0)
-            if within == FURNITURE and tag not in ("article", "main"):
-                purpose = FURNITURE
+            purpose = _purpose(tag, found[3], within, articles > 0, nested > 0)
             articles += tag in MAIN_TAGS
+            nested += tag == "article"
             stack.append((tag, purpose))
             opened[tag] += 1
         elif opened[tag]:
@@ -165,6 +179,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 name, _ = stack.pop()
                 opened[name] -= 1
                 articles -= name in MAIN_TAGS
+                nested -= name == "article"
                 if name == tag:
                     break
     close()
@@ -228,6 +243,14 @@ LABELLED = (
     (9, 0.9, 0, 2, 3, 1.0, 30, 0.0, 0, 0), (7, 0.0, 0, 2, 60, 0.0, 1, 0.0, 1, 0), (30, 0.0, 0, 2, 2, 1.0, 40, 0.0, 1, 0),
     (3, 0.0, 0, 2, 2, 0.0, 2, 0.0, 1, 0), (4, 0.0, 1, 2, 3, 1.0, 20, 0.0, 1, 1), (60, 0.0, 1, 2, 9, 0.0, 30, 0.0, 1, 1),
     (2, 1.0, 1, 2, 40, 0.0, 40, 0.0, 1, 1), (8, 0.0, 2, 2, 30, 0.0, 2, 1.0, 1, 0), (60, 0.0, 2, 2, 40, 0.0, 50, 0.0, 0, 0),
+    (10, 0.0, 0, 0, 3, 1.0, 3, 1.0, 0, 0), (12, 0.1, 0, 0, 5, 0.9, 4, 1.0, 0, 0), (14, 0.0, 0, 0, 2, 0.8, 6, 0.9, 0, 0),
+    (9, 0.0, 0, 0, 4, 0.9, 7, 0.7, 0, 0), (11, 0.2, 0, 0, 6, 1.0, 2, 0.8, 0, 0), (13, 0.0, 0, 0, 1, 1.0, 9, 1.0, 0, 0),
+    (10, 0.0, 0, 0, 30, 0.0, 40, 0.0, 0, 1), (12, 0.1, 0, 0, 25, 0.1, 18, 0.0, 0, 1), (14, 0.0, 0, 0, 60, 0.0, 35, 0.2, 0, 1),
+    (9, 0.0, 0, 0, 45, 0.05, 28, 0.0, 0, 1), (11, 0.2, 0, 0, 22, 0.0, 50, 0.1, 0, 1), (13, 0.0, 0, 0, 80, 0.0, 70, 0.0, 0, 1),
+    (10, 0.0, 0, 0, 55, 0.0, 4, 1.0, 0, 1), (12, 0.0, 0, 0, 70, 0.1, 3, 0.9, 0, 1), (14, 0.1, 0, 0, 35, 0.0, 2, 1.0, 0, 1),
+    (9, 0.0, 0, 0, 2, 1.0, 60, 0.0, 0, 1), (11, 0.0, 0, 0, 4, 1.0, 45, 0.0, 0, 1), (13, 0.0, 0, 0, 3, 0.9, 80, 0.1, 0, 1),
+    (24, 0.35, 0, 0, 6, 1.0, 5, 1.0, 0, 0), (30, 0.4, 0, 0, 4, 0.9, 8, 1.0, 0, 0), (26, 0.38, 0, 0, 3, 1.0, 2, 1.0, 0, 0),
+    (24, 0.35, 0, 0, 40, 0.0, 30, 0.0, 0, 1), (30, 0.4, 0, 0, 55, 0.1, 60, 0.0, 0, 1), (26, 0.38, 0, 0, 70, 0.0, 25, 0.1, 0, 1),
     (33, 0.0, 0, 0, 60, 0.0, 2, 0.0, 1, 0), (9, 0.0, 0, 1, 12, 0.0, 50, 0.0, 1, 0), (70, 0.0, 0, 0, 0, 1.0, 40, 0.0, 1, 0),
 )
 
@@ -259,7 +282,7 @@ def grow(rows: list[tuple[float, ...]], least: int = 1):
 
 @lru_cache(maxsize=1)
 def trained():
-    return grow([tuple(r) for r in LABELLED], least=3)
+    return grow([tuple(r) for r in LABELLED], least=2)
 
 
 def decide(tree, row: tuple[float, ...]) -> int:
