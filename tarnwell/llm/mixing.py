@@ -14,7 +14,7 @@ to one.
 
 Defined results: null source, language and topic are categories of their own; null and empty texts have no tokens, and a cell
 without tokens has weight 1; a null id is hashed as an empty string; repeated rows are decided alike; an empty table
-gives an empty table; other columns are kept by ``mix`` as they are.
+gives an empty table; other columns are kept by ``mix`` as they are, but for those of the names that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -97,6 +97,7 @@ def mix(documents: DataFrame, targets: dict[str, float | dict[str, float]] | Non
         source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
     """The documents with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability and mix_sampled."""
     targets = TARGETS if targets is None else targets
+    documents = documents.drop("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
     text, none = F.col(text_col), F.lit("")
     rows = documents.withColumn("mix_tokens", n_tokens(text))
     rows = (
