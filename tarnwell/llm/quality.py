@@ -5,7 +5,8 @@ symbol, runs taken once), hashed to 2**BITS places, and the pairs of a word with
 length; one more for the logarithm of the number of words, one constant.
 
 Learning takes a bounded sample: the MOST_ROWS labelled documents with the least hashes of their ids.  Their sparse
-features (not texts) come to the driver, where the regression makes EPOCHS passes over them in a fixed order.
+features (not texts) come to the driver, where the regression makes EPOCHS passes over them in a fixed order.  Of documents
+with one id the greatest text is taken, of labels the greatest label.
 
 Defined results: null and empty texts are texts without words and get a score like any other; rows without a label
 aren't learnt from; without any labelled row all scores are 0.5; repeated rows get the same score; other columns are
@@ -100,7 +101,7 @@ def learn(documents: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_i
     chosen = {r.i: (r.h, r.label) for r in picks.collect()}
     if not chosen:
         return np.zeros(1 << BITS, np.float32)
-    texts = documents.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    texts = documents.where(F.col(id_col).isin(list(chosen))).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(text_col).cast("string")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
