@@ -2,10 +2,13 @@
 
 import hashlib
 import io
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tarnwell.llm import chat_format, decontaminate, html_blocks, jaccard, langid, mixing, perplexity, pii, quality, warc
@@ -59,6 +62,13 @@ def test_pages(spark):
         ("<article><h1>T</h1><form><p>x</p></form><p>3 < 4 &lt; 5</p><!-- n --></article>", "T\n3 < 4 < 5"),
         ("<article><p>open <b>bold<p>next<div class='ad'>buy</div></article>", "open bold\nnext"),
         ("<p>" + "long text without a mark " * 9 + "</p><p><a href=x>one</a> <a href=y>two</a></p>", ("long text without a mark " * 9).strip()),
+        ('<article class="post tag-social category-news"><h1>T</h1><p>one two</p></article>', "T\none two"),
+        ('<div class="entry category-legal"><p>one</p><p>two</p></div>', "one\ntwo"),
+        ("<article><h1>T</h1><p>text</p><article><p>first comment</p></article><section class='responses'><p>second</p></section></article>", "T\ntext"),
+        ("<main><article><p>text</p></article></main><div id='comments'><article><p>nice</p></article></div>", "text"),
+        ("<article><p>text</p></article><aside><article><h2>Teaser</h2><p>read on</p></article></aside>", "text"),
+        ("<div class='siteHeader banner'><article><p>in a box by mistake</p></article></div>", "in a box by mistake"),
+        ("<article><p>text</p><aside><p>aside</p></aside><footer><p>by me</p></footer><p>more</p></article>", "text\nmore"),
         ("<div class='cookie-notice'>" + "we use cookies " * 20 + "</div><article><p>short</p></article>", "short"),
     ],
 )
@@ -67,7 +77,13 @@ def test_page_layouts(page, text):
 
 
 def test_tree_fits_its_table():
+    """Also that the tree looks at the words and link densities of blocks and of both neighbours."""
     tree = html_blocks.trained()
+
+    def used(t):
+        return set() if isinstance(t, int) else {html_blocks.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert {"words", "link_density", "link_density_before", "link_density_after"} <= used(tree)
     assert sum(html_blocks.decide(tree, r[:-1]) != r[-1] for r in html_blocks.LABELLED) <= 2
 
 
@@ -100,15 +116,72 @@ def test_rules(spark, docs, none):
     assert perplexity.assess(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    text = "the cat sat on the mat and the rat sat on the cat " * 3
-    counts = perplexity.count_grams(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"))
-    rows = perplexity.smoothed(counts).collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.gram >> 8, []).append(2 ** -r.bits)
-    assert all(0 < sum(p) <= 1 + 1e-9 for p in by.values()) and len(rows) == counts.count()
-    assert sum(by[int.from_bytes(b"the", "big")]) > 0.8
+def kneser_ney(texts, order):
+    """Probability of a byte after a context by interpolated modified Kneser-Ney, from the definition."""
+    top = Counter(t[i:i + order] for t in texts for i in range(len(t) - order + 1))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts, sums = {}, {}
+    for k, grams in levels.items():
+        n = [sum(c == i for c in grams.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        raw = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] and n[1] else 0.5 * i for i in (1, 2, 3)]
+        cuts[k] = [min(max(d, 0.01), i - 0.01) for i, d in zip((1, 2, 3), raw)]
+        for g, c in grams.items():
+            total, freed = sums.get((k, g[:-1]), (0, 0.0))
+            sums[k, g[:-1]] = total + c, freed + cuts[k][min(c, 3) - 1]
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / 256
+        total, freed = sums.get((len(g), g[:-1]), (0, 0.0))
+        c = levels[len(g)].get(g, 0)
+        return ((c - cuts[len(g)][min(c, 3) - 1] if c else 0) + freed * low) / total if total else low
+
+    return p
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_perplexity_equals_brute_force(spark, monkeypatch, few):
+    """Bits, bands and verdicts; by sorted arrays and by joins."""
+    monkeypatch.setattr(perplexity, "FEW", few)
+    rng = random.Random(11)
+    words = {"en": ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(80)], "": [f"w{i}é" for i in range(90)]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(40, 120))), lang) for i in range(60) for lang in [rng.choice(["en", "en", ""])]]
+    rows += [(100 + i, " ".join("".join(rng.choice("#$%&xyz19") for _ in range(6)) for _ in range(60)), "en") for i in range(2)] + [rows[0], (None, rows[1][1], "en"), (200, None, "en")]
+    frame = spark.createDataFrame([(i, t, lang or None) for i, t, lang in rows], "doc_id long, text string, lang string").withColumn("bits", F.lit("clash")).repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.base_failed, r.kept, r.bits) for r in perplexity.assess(frame).collect())
+
+    def fails(t):
+        w = t.split(" ") if t else []
+        windows = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+    def fold(t):
+        return (xxhash.xxh64_intdigest(t) >> 32) % perplexity.FOLDS
+
+    good = [(i, t, lang) for i, t, lang in rows if not fails(t)]
+    bits = {}
+    for lang in ("en", ""):
+        for f in range(perplexity.FOLDS):
+            p = kneser_ney([t.encode() for _, t, x in good if x == lang and fold(t) != f], perplexity.ORDER)
+            for _, t, x in good:
+                if x == lang and fold(t) == f:
+                    e = t.encode()
+                    bits[t, lang] = round(-sum(math.log2(p(e[i:i + 4])) for i in range(len(e) - 3)) / (len(e) - 3), 4)
+    expected = Counter()
+    for i, t, lang in rows:
+        kept, b = False, bits.get((t, lang))
+        if b is not None:
+            all_ = sorted(bits[u, x] for _, u, x in good if x == lang)
+            q = [all_[-(-len(all_) * k // 4) - 1] for k in (1, 2, 3)]
+            wide = 1 + math.sqrt(perplexity.SHORT / (len(t.encode()) - 3))
+            below, above = (max(side, perplexity.LEAST_SIDE) for side in (perplexity.LOWER * (q[1] - q[0]), perplexity.UPPER * (q[2] - q[1])))
+            kept = q[1] - below * wide <= b <= q[1] + above * wide
+        expected[i, len(t.split(" ")) if t else 0, fails(t), kept, b] += 1
+    close = lambda c: Counter({(*k[:4], None if k[4] is None else round(k[4], 2)): n for k, n in c.items()})
+    assert close(got) == close(expected)
 
 
 def test_language(spark, docs, none):
@@ -119,24 +192,45 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
-def test_suffix_automaton_phrases():
-    """Phrases equal those of a search for longest matches."""
+def longest_matches(learnt, text):
+    """Phrases by a search for longest matches."""
+    n, cur = 1, b""
+    for i in range(len(text)):
+        c = text[i:i + 1]
+        if cur + c in learnt:
+            cur += c
+        else:
+            n, cur = n + 1, (c if c in learnt else b"")
+    return n
+
+
+@pytest.mark.parametrize("block", [3, 16, 4096])
+def test_suffix_automaton_phrases(monkeypatch, block):
+    """Phrases of whole texts, whatever the blocks."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(2)
-    learnt = "".join(rng.choice("abc ") for _ in range(300))
-    parser = langid.Parser({"x": learnt})
-    known = "".join(map(chr, langid.normalised(learnt)))
-    for _ in range(30):
-        text = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 200)))
-        symbols = "".join(map(chr, langid.normalised(text)))
-        if not symbols:
-            continue
-        n, cur = 1, ""
-        for c in symbols:
-            if cur + c in known:
-                cur += c
-            else:
-                n, cur = n + 1, (c if c in known else "")
-        assert parser.phrases([langid.normalised(text)])[0, 0] == n
+    learnt = {"x": "".join(rng.choice("abc ") for _ in range(300)), "y": "".join(rng.choice("abé ") for _ in range(200)) + "ab" * 40}
+    parser = langid.Parser(learnt)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 200))) + "ab" * rng.randrange(40) for _ in range(60)]
+    symbols = [x for x in map(langid.normalised, texts) if len(x)]
+    got = parser.phrases(symbols)
+    for k, name in enumerate(parser.languages):
+        known = langid.normalised(learnt[name]).tobytes()
+        assert got[k].tolist() == [longest_matches(known, x.tobytes()) for x in symbols]
+
+
+def test_language_learns_whole_texts(spark):
+    """A language that begins late in its only document, marks without a letter, no labels, too many labels, ids of many rows."""
+    late = "xx " * 3000 + "quick brown foxes jump over lazy dogs " * 20
+    rows = [(1, late, "aa"), (2, "der schnelle braune fuchs springt", "bb"), (2, "der schnelle braune fuchs", "bb"), (3, "\u0301\u0302", None), (4, "quick brown foxes jump over lazy dogs", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("z"))
+    samples = langid.learn(frame, F.lit(True))
+    assert samples == {"aa": late, "bb": "der schnelle braune fuchs springt"}
+    got = {r.doc_id: r for r in langid.predict(frame, samples).collect()}
+    assert got[3].lang_pred == "und" and got[4].lang_pred == "aa"
+    many = spark.range(langid.MOST_LANGUAGES + 1).select("id", F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.learn(many, F.lit(True), id_col="id")
 
 
 def test_mixing(spark, docs, none):
@@ -221,6 +315,42 @@ def test_colliding_surrogates_stay_distinct(spark):
     assert len({r.text for r in out}) == len(rows)
 
 
+def test_crowded_surrogates(spark, monkeypatch):
+    """More entities than a space has surrogates: rounds end, all stay distinct, consistent and keyed; by joins as well."""
+    monkeypatch.setattr(pii, "FEW", 0)
+    mails = [f"{c}@host{i}.com" for c in "abcdefghijklmnopqrstuvwxyz" for i in range(8)]
+    smiths = [f"Mr {a}{b} Smith" for a in ("Jo", "Al", "Be", "Ca", "Di", "Ed") for b in ("n", "m", "rt", "sk", "dd", "ll", "vi")]
+    texts = [f"to {m}, then {m.upper()}" for m in mails] + [f"{p}; Smith" for p in smiths] + ["Mrs Smith", None, "", "no one", "Mr JOHN JONES", "Dr Eva Braun", "Name: Max Muster", "Κυρία Νίκη Παππά", "Name: maxi"]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 2)], "doc_id int, text string, pii_row_key string").withColumn("pii_attempts", F.lit(1)).withColumn("pii_found", F.lit(0)).repartition(3)
+    out = {r.doc_id: r for r in pii.replace(frame).collect()}
+    assert len(out) == 2 * len(texts) and all(out[i].text == out[i + len(texts)].text for i in range(len(texts)))
+    drawn = [out[i].text[3:].split(", then ") for i in range(len(mails))]
+    assert len({a for a, _ in drawn}) == len(mails) and all(a.upper() == b and a.split("@")[1].split(".")[-2:][0] == "example" for a, b in drawn)
+    people = [out[len(mails) + i].text.removesuffix("; Smith")[3:] for i in range(len(smiths))]
+    at = len(mails) + len(smiths)
+    smith = out[at].text[4:]
+    assert len(set(people)) == len(smiths) and {p.split(" ")[1] for p in people} == {smith} and all(set(p.split(" ")[0].split("-")) <= set(pii.GIVEN["m", "latin"]) for p in people)
+    assert [out[at + i].text for i in (1, 2, 3)] == [None, "", "no one"] and out[at + 8].text == "Name: maxi"
+    jones, braun, muster, nike = (out[at + i].text for i in (4, 5, 6, 7))
+    assert jones.isupper() is False and jones.startswith("Mr ") and jones[3:].isupper() and braun.startswith("Dr ") and "Eva" not in braun and "Braun" not in braun
+    assert muster.startswith("Name: ") and "Muster" not in muster and nike.startswith("Κυρία ") and nike.split(" ")[1] in pii.GIVEN["f", "greek"]
+    other = {r.doc_id: r.text for r in pii.replace(frame, key="another").collect()}
+    assert sum(other[i] == out[i].text for i in range(len(mails))) < 5
+    assert list(out[0].pii_found) == ["email", "email"] and out[0].pii_row_key == "x"
+
+
+def test_scripts_of_surrogates(spark):
+    """Letters stay in their script."""
+    names = ["почта", "αβγ", "דואר", "بريد", "मेल", "メール", "메일", "邮件"]
+    got = pii.replace(spark.createDataFrame([(i, f"{n}@mail.com") for i, n in enumerate(names)], "doc_id int, text string")).orderBy("doc_id").collect()
+    import unicodedata
+
+    script = lambda c: unicodedata.name(c).split()[0].split("-")[0]
+    for n, r in zip(names, got):
+        drawn = r.text.split("@")[0]
+        assert drawn != n and all(script(a) == script(b) or not a.isalpha() for a, b in zip(n, drawn)), (n, drawn)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 0, 1), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, text int")
     weights = quality.learn(docs, labels, F.lit(True))
@@ -230,6 +360,48 @@ def test_quality(spark, docs, none):
     assert quality.score(none, weights).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Weights and scores by follow-the-regularised-leader written out feature by feature; ids of several rows."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["Aa", "###", "12", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))) for i in range(50)] + [(3, "zzz the greatest text of three"), (60, None)]
+    labels = [(i, int(rng.random() < 0.5)) for i in range(50)] + [(7, 1), (7, 0), (8, None), (99, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
+    got = quality.learn(frame, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+
+    def features(text):
+        data = (text or "").encode()
+        _, place, value, n = quality.sparse(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return {quality._CONSTANT: 1.0, int(quality.size_place(n)[0]): 1.0} | {int(p): float(np.float32(v)) for p, v in zip(place, value)}
+
+    texts, said = {}, {}
+    for i, t in rows:
+        texts[i] = max(texts.get(i) or "", t or "")
+    for i, y in labels:
+        if y is not None:
+            said[i] = max(said.get(i, 0), y)
+    order = [r.i for r in spark.createDataFrame([(i,) for i in said], "i long").withColumn("h", F.xxhash64(F.col("i").cast("string"), F.lit("quality"))).orderBy("h", "i").collect()]
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.002, 0.01
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(quality.EPOCHS):
+        for i in order:
+            if i in texts:
+                x = features(texts[i])
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - said[i]) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                    n[k] += g * g
+    assert all(abs(got[k] - weight(k)) < 1e-4 for k in z) and np.count_nonzero(got) <= len(z)
+    out = {(r.doc_id, round(r.score, 4)) for r in quality.score(frame, got).collect()}
+    assert out == {(i, round(1 / (1 + math.exp(-sum(float(got[k]) * v for k, v in features(t).items()))), 4)) for i, t in rows}
+
+
 def test_jaccard(spark, docs, none):
     got = {}
     for r in jaccard.join(docs, 3, 90, 100).collect():
@@ -302,6 +474,26 @@ def test_warc_ranges_own_each_record_once():
             assert found == starts
 
 
+def test_warc_damage(spark, monkeypatch):
+    """Damaged, cut-off and foreign bytes are errors, or are passed over; ranges are read by several tasks; joined digests."""
+    rng = random.Random(9)
+    parts = [warc.member(warc.record(i, "u", rng.randbytes(2000), "0", None)) for i in range(6)]
+    broken = parts[2][:900] + bytes(100) + parts[2][1000:]
+    for bad, left in ((parts[:2] + [broken] + parts[3:], 5), (parts[:5] + [parts[5][:-700]], 5), (parts[:3] + [b"garbage"] + parts[3:], 6), (parts + [b"x"], 6)):
+        data = b"".join(bad)
+        with pytest.raises(ValueError):
+            list(warc.members(io.BytesIO(data), 0, len(data)))
+        assert len(list(warc.members(io.BytesIO(data), 0, len(data), "skip"))) == left
+    rows = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id") % 7, F.repeat(F.md5(F.col("id").cast("string")), 40)).alias("html"))
+    rows = rows.unionByName(rows.limit(50).withColumn("page_id", F.col("page_id") + 1000))
+    one = warc.archive_round_trip(rows, split_bytes=2000)
+    assert one.rdd.getNumPartitions() > 10
+    monkeypatch.setattr(warc, "FEW", 0)
+    other = warc.archive_round_trip(rows, split_bytes=1 << 20)
+    pick = ["page_id", "payload_digest", "record_type", "refers_to", "payload_bytes"]
+    assert sorted(map(tuple, one.select(*pick).collect())) == sorted(map(tuple, other.select(*pick).collect())) and one.where("record_type = 'revisit'").count() == 50
+
+
 def test_decontaminate(spark, docs, none):
     index = decontaminate.Index(docs, bench(spark))
     got = {r.doc_id: r for r in index.report().collect()}
@@ -333,3 +525,34 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     rows = [(None, other), (None, lone), (None, None), (5, other), (5, lone), (6, near[0])]
     clean = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, clean))) == sorted(map(str, [r for r in rows if r[1] != other]))
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Clashing columns, nulls, repeated rows, empty tables, long texts and tables without labels, in every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "quick brown foxes jump over lazy dogs all day long and sleep at night")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = "score double, bits double, lang_pred string, row_key long, row_n long, pii_found string, pii_row_key long, pii_attempts int, mix_source string, kept_id long, label long, c0 string, key long, row string"
+    english = " ".join(f"the{i % 61} of{i % 37} and" for i in range(300))
+    rows = [(1, english, "en"), (1, english, "en"), (2, "", "en"), (3, None, None), (None, "a.b@mail.com wrote this", None), (5, LONG, "xx"), (6, "1234 !!", "en")]
+    frame = spark.createDataFrame([(i, t, x, "s", 0, *[None] * 14) for i, t, x in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (frame.limit(0), frame, frame.withColumn("lang", F.lit(None).cast("string"))):
+            out = stage(spark, docs, str(tmp_path))
+            counts.setdefault(name, []).append(out.count())
+            assert name == "mixing" or out.columns == docs.columns
+    assert counts["language_id"] == [0, 4, 4] and counts["near_duplicates"] == [0, 6, 6] and counts["decontamination"] == counts["personal_data"] == [0, 7, 7]
+    assert counts["mixing"][0] == 0 and counts["mixing"][1] > 0
+
+
+def test_language_stage(spark):
+    """Texts in no known language go if they are long, wrong labels are replaced, short and clean ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(2, 8))) for _ in range(150)] for k, v in {"aa": "abcdefg", "bb": "hijklmn", "??": "opqrstuvwxyz"}.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(1000 + i, text(k, 60), k) for i, k in enumerate(["aa", "bb"] * 200)] + [(100, text("??", 200), None), (101, text("??", 3), "aa"), (102, text("bb", 200), "aa"), (103, text("aa", 100), None)]
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert set(out) == {r[0] for r in rows} - {100} and out[101] == "aa" and out[102] == "bb" and out[103] == "aa"
