@@ -41,7 +41,9 @@ from .common import blocks, joined_hashes, lowered, mixed, row_key, run_starts,
 from .components import components, spanning
 
 #: Sets of a leaf, sets of a lowest node, children of a node.
-LEAF, BLOCK, FANOUT = 512, 32, 8
+LEAF, BLOCK, FANOUT = 512, 16, 8
+#: Bits of a bitmap for each member of a set: enough that nodes over unlike families have few bits in common.
+BITS = 16
 #: Share of all tokens that the first pass looks at, as a multiple of 1 - t.
 PROBE = 2.5
 #: Tokens that a task holds before it deals them out, and tokens of one range of hashes.
@@ -390,8 +392,8 @@ def traverse(a: Node, b: Node, num: int, den: int, dropped: Callable[[Node, Node
 
 
 def n_bits(size: float) -> int:
-    """Bits of the bitmaps of sets of about this size: four a member, rounded up to a power of two."""
-    return min(_MOST_BITS, 1 << max(8, int(4 * size - 1).bit_length()))
+    """Bits of the bitmaps of sets of about this size: BITS a member, rounded up to a power of two."""
+    return min(_MOST_BITS, 1 << max(8, int(BITS * size - 1).bit_length()))
 
 
 class Sets:
@@ -589,7 +591,7 @@ def group_links(held: DataFrame, groups: DataFrame, sets: DataFrame, width: int,
     known = components(links)
     labelled = texts.where("several").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = labelled.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.avg("n").alias("size"), F.count(F.lit(1)).alias("m")).where("x <> y")
-    bits = F.least(F.lit(_MOST_BITS), F.greatest(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(F.col("size") * 4))))).cast("long")
+    bits = F.least(F.lit(_MOST_BITS), F.greatest(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(F.col("size") * BITS))))).cast("long")
     members = labelled.join(open_.select("grp", bits.alias("bits")), "grp").select("grp", "leaf", "node", "t", "label", "bits")
     told = stash(_by_leaf(members, n).groupBy("grp", "leaf").applyInArrow(_summaries(width), _SUMMARY_SCHEMA), "summaries")
     if not told.limit(1).count():

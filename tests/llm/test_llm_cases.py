@@ -442,6 +442,37 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, num, leaf):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """A links with N, N with B, A not with B; N has no id, stands twice, and once more under another id's text."""
+    words = [f"w{i}" for i in range(100)]
+    a, n, b = words[:94], words[3:97], words[6:]
+    rows = [(1, " ".join(a)), (None, " ".join(n)), (None, " ".join(n)), (3, " ".join(b)), (3, "other text of its own that is long enough"), (4, "x y"), (5, None)]
+    got = sorted(((r.id or 0), r.n_shingles, r.component) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90, 100).collect())
+    assert got == [(0, 92, 1), (0, 92, 1), (1, 92, 1), (3, 7, 3), (3, 92, 1), (4, 1, 4), (5, 0, 5)]
+
+
+def test_signature_trees_prune(spark):
+    """Families of copies: most pairs of nodes are dropped above the sets, and no pair of similar sets is."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(32):
+        base = rng.integers(0, 2**63, 200).astype(np.uint64)
+        sets += [np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for k in rng.integers(0, 12, jaccard.BLOCK)]
+    sets.sort(key=lambda x: (x[0], len(x)))
+    own = jaccard.Sets.of(list(range(len(sets))), sets, jaccard.n_bits(200))
+    dropped = Counter()
+    root = own.tree()
+    depth = lambda x: 0 if not x.children else 1 + depth(x.children[0])
+    compared = sum(1 for _ in jaccard.traverse(root, root, 80, 100, lambda x, y: dropped.update([depth(x)])))
+    whole = len(sets) // jaccard.BLOCK * (len(sets) // jaccard.BLOCK + 1) // 2
+    assert compared < whole / 2 and sum(dropped.values()) > 0
+    close = set(own.close(own, 80, 100))
+    for i in range(0, len(sets), 7):
+        for j in range(len(sets)):
+            if i < j and jaccard.linked(sets[i], sets[j], 80, 100):
+                assert (i, j) in close
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
