@@ -67,6 +67,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+#: Rows of a table of a few numbers that are broadcast; beyond, it is joined by a shuffle.
+FEW = 2_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """The table, with a broadcast hint if it has at most so many rows, which is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
+from .common import blocks, few, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
 from .components import components, spanning
 
 #: Sets of a leaf, sets of a lowest node, children of a node.
@@ -50,8 +50,6 @@ PROBE = 2.5
 CHUNK, PART = 2_000_000, 1_000_000
 #: Counters of the sketch of frequencies.
 SKETCH = 1 << 19
-#: Rows of two numbers that are broadcast; beyond, they are joined by a shuffle.
-FEW = 2_000_000
 _MOST_BITS = 1 << 17
 _SHARED = np.uint16(65535)
 
@@ -543,24 +541,19 @@ def _verified(width: int, num: int, den: int):
     return run
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """The table, with a broadcast hint if it has at most FEW rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
-
-
 def in_leaves(members: DataFrame, lead: str = "lead") -> DataFrame:
     """members (grp, node, lead, ...) with leaf: sets of a lead together, many leads in one leaf, a frequent lead in several.
 
     Only groups of more than LEAF sets are cut; they and their frequent leads are few, so members don't meet by group.
     """
-    large = _few(stash(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF), "large"))
+    large = few(stash(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF), "large"))
     spread = members.join(large, "grp", "left")
     often = spread.where("m is not null").groupBy("grp", lead).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1, LEAF // 4))
     deep = F.ceil(F.col("c") / F.lit(LEAF))
     light = F.pmod(F.xxhash64(lead), F.ceil(F.col("m") / F.lit(max(1, LEAF // 2))))
     heavy = F.xxhash64("grp", lead, F.pmod(F.xxhash64("node"), deep))
     leaf = F.when(F.col("m").isNull(), F.lit(0).cast("long")).when(F.col("c").isNotNull(), heavy).otherwise(F.xxhash64("grp", light))
-    return spread.join(_few(stash(often, "often")), ["grp", lead], "left").withColumn("leaf", leaf).withColumn("several", F.col("m").isNotNull()).drop("m", "c")
+    return spread.join(few(stash(often, "often")), ["grp", lead], "left").withColumn("leaf", leaf).withColumn("several", F.col("m").isNotNull()).drop("m", "c")
 
 
 def _by_leaf(members: DataFrame, n: int) -> DataFrame:
@@ -573,7 +566,7 @@ def group_links(held: DataFrame, groups: DataFrame, sets: DataFrame, width: int,
     """a, b: links that span the components of all groups. held: node, t; groups: node, label; sets: node, n, lead."""
     placed = stash(in_leaves(groups.withColumnRenamed("label", "grp").join(sets.select("node", "n", "lead"), "node")), "leaves")
     n = placed.count()
-    texts = stash(placed.join(held, "node"), "members")
+    texts = stash(held.join(few(placed), "node"), "members")
     found = stash(_by_leaf(texts.select("grp", "leaf", "node", "t"), n).groupBy("grp", "leaf").applyInArrow(_leaf_links(width, num, den), "grp long, a long, b long"), "links")
     links = found.where("b is not null").select("a", "b")
     large = placed.where("several").select("grp").distinct()
@@ -606,11 +599,13 @@ def group_links(held: DataFrame, groups: DataFrame, sets: DataFrame, width: int,
 
 
 def _texts_of(documents: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, t: the text of one row of each set. sets: node, key."""
-    few = sets.limit(FEW + 1).count() <= FEW
-    rows = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
-    wanted = sets.select("key", "node")
-    return rows.join(F.broadcast(wanted) if few else wanted, "key").select("node", "t")
+    """node, t: the text of one row of each set. sets: node, key, rows; rows that repeat with their id have one key."""
+    texts = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    several = sets.where("rows > 1").select("key", "node")
+    once = texts.join(few(sets.where("rows = 1").select("key", "node")), "key").select("node", "t")
+    if not several.limit(1).count():
+        return once
+    return once.unionByName(texts.join(few(several), "key").select("node", "t").dropDuplicates(["node"]))
 
 
 def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -621,16 +616,17 @@ def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id
     small_batches(documents.sparkSession)
     described = stash(describe(documents, width, id_col, text_col), "sets")
     found = described.where("n_shingles > 0")
-    sets = found.groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.max("lead").alias("lead"))
+    keys = found.groupBy("node", "key").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("lead").alias("lead"), F.count(F.lit(1)).alias("rows"))
+    sets = keys.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("key", "rows")).alias("k"), F.max("n").alias("n"), F.max("lead").alias("lead"))
+    sets = sets.select("node", "id", "n", "lead", "k.key", "k.rows")
     share = PROBE * (den - num) / den
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     alone = own_tokens(documents.select(F.col(text_col).cast("string").alias("t")), width, share, total)
-    first = stash(may_have_links(sets.select("node", "key", "n", "lead"), alone, num, den), "possible")
-    # rows that repeat with their id have one key; their texts are one set
-    some = stash(_texts_of(documents, first, id_col, text_col).dropDuplicates(["node"]), "texts")
+    first = stash(may_have_links(sets.select("node", "key", "rows", "n", "lead"), alone, num, den), "possible")
+    some = stash(_texts_of(documents, first, id_col, text_col), "texts")
     left = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     second = stash(may_have_links(first, own_tokens(some.select("t"), width, 1.0, left), num, den), "possible")
-    held = stash(some.join(second.select("node"), "node", "left_semi"), "texts")
+    held = stash(some.join(few(second.select("node")), "node", "left_semi"), "texts")
     groups = components(stash(candidate_edges(held.select("t"), width, num, den), "candidates"))
     links = group_links(held, groups, second, width, num, den)
     joined = components(stash(links.distinct(), "links"))
