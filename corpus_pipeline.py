@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import decontaminate, jaccard, langid, mixing, pii
-from tarnwell.llm.common import free_name, row_key, stash, table
+from tarnwell.llm.common import few, free_name, row_key, stash, table
 
 #: A text of LEAST_LENGTH characters that no language parses this much better than the next isn't told apart; its label is
 #: replaced where the best language is this much better.
@@ -52,21 +52,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.join(docs, WIDTH, NUM, DEN).where("n_shingles > 0")
     rows = found.groupBy("label", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("least"))
-    key, n = free_name(docs, "row_key"), free_name(docs, "row_n")
-    kept = stash(least.select(F.col("least.key").alias(key), F.col("least.n").alias(n)), "kept")
+    kept = stash(least.select(F.col("least.key").alias("key"), F.col("least.n").alias("n")), "kept")
+    key = free_name(docs, "row_key")
+    # what goes is less than what stays: texts needn't move where its keys are few
+    repeated = kept.where("n > 1").select(F.col("key").alias(key))
+    gone = stash(rows.select("key").distinct().join(kept.where("n = 1"), "key", "left_anti").select(F.col("key").alias(key)), "gone")
     keyed = docs.withColumn(key, row_key())
-    single = keyed.join(kept.where(F.col(n) == 1), key).select(*docs.columns)
-    repeated = keyed.join(kept.where(F.col(n) > 1), key).groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    wordless = docs.where(~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False)))
-    return single.unionByName(repeated).unionByName(wordless).select(*docs.columns)
+    single = keyed.join(few(gone), key, "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
+        return single
+    one = keyed.join(few(repeated), key).groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(one).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that no benchmark passage covers to a twentieth or more (a twentieth goes)."""
     index = decontaminate.Index(docs, table(spark, sf_dir, "benchmark"))
     key = free_name(docs, "row_key")
-    bad = index.rated().where("contaminated").select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)
+    bad = stash(index.rated().where("contaminated").select(F.col("key").alias(key)).distinct(), "bad")
+    return docs.withColumn(key, row_key()).join(few(bad), key, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
