@@ -80,7 +80,7 @@ PATTERNS = {
     r"|(?<=\b(?i:token|secret|password|passwd|api_key|apikey)[^\w\s\"']{0,3}\s?[=:][^\w\s\"']{0,3}\s?[\"'])[^\"'\s]{6,}(?=[\"'])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[^\w\s]{0,3}[ .-]?\(?\d{2,4}\)?[^\w\s]{0,3}(?:[ .-]?\d{2,5}){1,4}(?!\w)|(?<![\w(+.-])\(?\d{3}\)?[^\w\s]{0,3}[ .-]\d{3}[.-]\d{4}(?![\w-])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?<=(?<!\p{{L}})(?:{_LABEL})\s?:\s?){_NAME}(?: {_NAME}){{1,2}}",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_LABEL})\s?:\s?){_NAME}(?: {_NAME}){{1,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a cheap test before the patterns. Secrets need no digit, so their prefixes and keywords count.
