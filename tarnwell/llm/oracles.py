@@ -68,10 +68,59 @@ SELECT doc_id, mix_source AS source, mix_lang AS lang, mix_topic AS topic, n::BI
 FROM rows JOIN p USING (mix_source, mix_lang, mix_topic)"""
 
 
+def _hamerly(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of k-means over all pairs of vectors and centroids, without bounds."""
+    near = """a{i} AS MATERIALIZED (SELECT nr, vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM (SELECT nr, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM q, c{i}) GROUP BY 1, 2, 3)"""
+    move = """m{i} AS (SELECT cluster, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM a{i}) GROUP BY 1, 2),
+c{j} AS MATERIALIZED (SELECT cluster, coalesce(moved, c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS moved FROM m{i} GROUP BY 1) USING (cluster))"""
+    steps = [
+        """q AS MATERIALIZED (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS cluster, v AS c FROM q ORDER BY sha256('2:' || vec_id::VARCHAR) LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps += [near.format(i=i), move.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+PREFIX_TRIE = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos, md5(concat(len(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS h, len(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, t.pos, t.h, t.chars FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h UNION ALL SELECT c.conv_id, 1, t.pos, t.h, t.chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+n AS (SELECT conv_id, chars, h, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM r),
+p AS MATERIALIZED (SELECT conv_id, depth, chars, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM n UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM p JOIN l USING (conv_id, depth) GROUP BY 1),
+g AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, left(key, greatest(len(key) - 32, 0)) AS parent FROM p GROUP BY 1, 2),
+k AS (SELECT parent AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+w AS (SELECT g.conv_id, g.depth, coalesce(n_children, 0) = 0 AS leaf, (n_convs - 1) * chars AS saved FROM g LEFT JOIN k USING (key)),
+s AS (SELECT p.key, count_if(leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY 1)
+SELECT g.conv_id, g.depth, CASE WHEN g.depth > 0 THEN up.conv_id END AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM g LEFT JOIN g up ON up.key = g.parent AND g.depth > 0 LEFT JOIN k ON k.key = g.key LEFT JOIN s ON s.key = g.key LEFT JOIN e ON e.key = g.key"""
+
+URL_FILTER = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(h, s, verdict)),
+f AS (SELECT page_id, host, path, h || s AS rule, verdict FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, len(rule)) AS rule, coalesce(arg_max(verdict, len(rule)), 'allow') AS verdict FROM f GROUP BY 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": CHAT,
     "op5_mixing": _mixing(),
     "op8_jaccard_join": JACCARD,
     "op9_warc": WARC,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_hamerly": _hamerly(),
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_url_filter": URL_FILTER,
 }

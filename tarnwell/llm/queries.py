@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, jaccard, langid, mixing, perplexity, pii, quality, warc
+from . import chat_format, decontaminate, hamerly, html_blocks, jaccard, langid, mixing, perplexity, pii, prefix_trie, quality, url_filter, warc
 from .common import held_out, table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -69,6 +69,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids, _ = hamerly.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    text = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    told = centroids.select("cluster", F.col("spread").cast("long").alias("cluster_inertia"), F.sha2(text.cast("binary"), 256).alias("centroid_sha256"))
+    told = told.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))  # at most 40 rows
+    return members.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tries = prefix_trie.Tries(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = tries.nodes().join(tries.end_digests(), ["k1", "k2", "depth"], "left")
+    names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+    return found.select(*names, F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+#: The rules of the query.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_blocks": op1_html_blocks,
     "op2_chat_format": op2_chat_format,
@@ -80,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hamerly": op11_hamerly,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_url_filter": op13_url_filter,
 }
