@@ -9,7 +9,8 @@ rows, ``rewrite`` (index, batch) -> (query_id, term).  One that raises when it i
 search without rewriting, the order before reranking, BM25 alone instead of hybrid.  What fails later, when Spark runs
 the plan, is raised by Spark.
 
-    engine.save(path); Retriever(spark).load(path)       # index tables and texts; search reads the tables
+    engine.save(path); Retriever(spark).load(path)       # a segmented index; search reads its tables
+    engine.add(documents); engine.remove(ids)            # new segments and tombstones, if the index is saved
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import text as T
 from tarnwell.operators import chunking
 from tarnwell.operators import retrieval as R
+from tarnwell.operators.segments import SegmentedIndex
 
 POOL = 20
 #: Modes; anything else is bm25.
@@ -47,23 +49,49 @@ class Retriever:
         return self
 
     def save(self, path: str) -> Retriever:
-        """Write texts and index tables; from now on search reads them."""
+        """Write texts and index tables; from now on search reads them. What is at the path stays readable until the new index is whole."""
         if self.index is None:
             raise ValueError("nothing has been ingested")
-        self.index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.index.save(path)
-        return self.load(path)
+        if not (isinstance(self.index, SegmentedIndex) and self.index.path == path.rstrip("/")):
+            self.index = SegmentedIndex.create(self.spark, path, self.index.documents, self.config)
+        return self
 
     def load(self, path: str) -> Retriever:
-        documents = self.spark.read.parquet(f"{path}/documents")
-        self.index = R.SavedIndex(R.TextIndex(documents, self.config), path)
+        """Search a saved index, with the configuration that it was built with; an error if there is none, or it is damaged or of another format."""
+        if not self.try_load(path):
+            raise FileNotFoundError(f"no index of this format at {path}")
+        return self
+
+    def try_load(self, path: str) -> bool:
+        """As ``load``, but False instead of an error."""
+        found = SegmentedIndex.open(self.spark, path)
+        if found:
+            self.index, self.config = found, found.config
+        return found is not None
+
+    def add(self, documents: DataFrame) -> Retriever:
+        """Also these documents (doc_id, text, source). A saved index gets a segment more, others stay untouched; one in memory is built anew."""
+        if isinstance(self.index, SegmentedIndex):
+            self.index = self.index.add(documents)
+        elif self.index is None:
+            self.ingest(documents)
+        else:
+            old = self.index.documents.join(documents.select("doc_id"), "doc_id", "left_anti")
+            self.ingest(old.unionByName(documents.select(*old.columns)))
+        return self
+
+    def remove(self, ids: DataFrame) -> Retriever:
+        """Without the documents of these ids (doc_id)."""
+        if isinstance(self.index, SegmentedIndex):
+            self.index = self.index.delete(ids)
+        elif self.index is not None:
+            self.ingest(self.index.documents.join(ids.select("doc_id"), "doc_id", "left_anti"))
         return self
 
     def clear(self) -> Retriever:
         """Forget the index, and delete its tables if it was saved."""
-        if isinstance(self.index, R.SavedIndex):
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.index.path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if isinstance(self.index, SegmentedIndex):
+            self.index.clear()
         self.index = None
         return self
 
@@ -90,8 +118,12 @@ class Retriever:
                 found = self._bm25(batch, k)
         else:
             found = self._bm25(batch, k)
-            rest = R.cascade(found, dense(batch, k).withColumn("retrieved_by", F.lit("dense")))
-            found = rest.drop("degraded")
+            # a query has hits by BM25 if one of its terms is in the index: dense search is for the others, and only if there are any
+            known = batch.join(self.index.frequencies().select("term"), "term", "left_semi").select("query_id").distinct()
+            others = batch.join(known, "query_id", "left_anti")
+            if others.limit(1).count():
+                rest = dense(others, k).withColumn("retrieved_by", F.lit("dense"))
+                found = found.unionByName(rest.select(*found.columns))
         found = found.select("query_id", "doc_id", "rank", "score", "retrieved_by")
         if self.rerank:
             try:

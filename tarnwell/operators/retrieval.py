@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import dot, source_group, strip, tokenize
+from tarnwell.sources.shared import stash
 
 
 @dataclass(frozen=True)
@@ -273,15 +274,18 @@ def source_cap(hits: DataFrame, per_source: int, docs: int) -> DataFrame:
 
 
 def feedback_terms(index: TextIndex, batch: DataFrame, config: Feedback = Feedback()) -> DataFrame:
-    """query_id, term, weight, support, rank: expansion terms from the first hits."""
+    """query_id, term, weight, support, rank: expansion terms from the first hits; a few rows a query, written once."""
     hits = index.search(batch, config.docs * 3).join(index.documents.select("doc_id", "source"), "doc_id")
     kept = source_cap(hits, config.per_source, config.docs).select("query_id", "doc_id")
-    postings = index.postings()
-    idf = index.term_stats(postings).where(F.col("idf") >= config.min_idf).select("term", "idf")
+    # the texts of the kept documents have their terms; no other posting is read
+    texts = index.documents.select("doc_id", "text").join(kept, "doc_id")
+    terms = texts.select("query_id", "doc_id", F.explode(tokenize(F.col("text"), index.config.ngram)).alias("term"))
+    idf = index.term_stats().where(F.col("idf") >= config.min_idf).select("term", "idf")
     usable = (F.length("term") >= config.min_len) & ~F.col("term").rlike("^[0-9]+$")
-    found = postings.join(kept, "doc_id").where(usable).join(batch.select("query_id", "term"), ["query_id", "term"], "left_anti").join(idf, "term")
+    found = terms.where(usable).groupBy("query_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(batch.select("query_id", "term"), ["query_id", "term"], "left_anti").join(idf, "term")
     rated = found.groupBy("query_id", "term").agg(rounded(F.sum(F.col("tf") * F.col("idf"))).alias("weight"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= config.min_support)
-    return rated.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= config.terms)
+    best = rated.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= config.terms)
+    return stash(best, "feedback")
 
 
 # -- quality of rankings ----------------------------------------------------------------------------------------------

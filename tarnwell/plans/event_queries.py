@@ -14,10 +14,11 @@ from tarnwell.functions import text as T
 from tarnwell.operators import events as E
 from tarnwell.operators import retrieval as R
 from tarnwell.sources import stores
+from tarnwell.sources.shared import new_path
 from tarnwell.streaming import windows
 
 from .registry import query, table
-from .retrieval_queries import _BASE, _REL, _TFIDF, _pools, _strategy_sql, first_relevant_rank, ranks_of
+from .retrieval_queries import _BASE, _REL, _SHORT, _TFIDF, _pools, _strategy_sql, first_relevant_rank, ranks_of
 
 
 def rows(spark, name: str, values: str) -> DataFrame:
@@ -298,9 +299,9 @@ def latency_percentiles(spark, d):
     return log(spark, d).groupBy("event_type").agg(q.alias("q")).select("event_type", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
 
 
-@query("latency_summary", "SELECT user_id, count(value) AS count, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(min(value), 4) AS min, round(max(value), 4) AS max FROM events WHERE event_type = 'view' GROUP BY 1")
+@query("latency_summary", "SELECT user_id, count(value) AS count, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(min(value), 4) AS min, round(max(value), 4) AS max FROM events GROUP BY 1")
 def latency_summary(spark, d):
-    return log(spark, d).where("event_type = 'view'").groupBy("user_id").agg(*E.summarize(F.col("value"), 4))
+    return log(spark, d).groupBy("user_id").agg(*E.summarize(F.col("value"), 4))
 
 
 @query("load_level_summary", "SELECT user_id % 5 AS level, count(*) AS requests, count_if(event_type <> 'error')::BIGINT AS success, round(count_if(event_type = 'error') / count(*), 4) AS error_rate, count_if(event_type = 'view')::BIGINT AS cache_hits, count_if(event_type = 'click')::BIGINT AS cache_misses FROM events GROUP BY 1")
@@ -346,7 +347,7 @@ def rag_summary(spark, d):
 
 
 def _diffs(spark, d) -> DataFrame:
-    sparse, dense = _pools(spark, d)
+    sparse, dense = _pools(spark, d, short=True)
     rr = lambda hits, name: ranks_of(spark, d, hits).where("answerable").select("query_id", F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias(name))
     return rr(sparse, "a").join(rr(dense, "b"), "query_id").select(F.col("query_id").alias("id"), (F.col("a") - F.col("b")).alias("diff"))
 
@@ -356,7 +357,7 @@ def paired_bootstrap(spark, d):
     return E.bootstrap(_diffs(spark, d))
 
 
-@query("sign_test", f"WITH {_BASE}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) SELECT count_if(diff > 0)::BIGINT AS up, count_if(diff < 0)::BIGINT AS down FROM j")
+@query("sign_test", f"WITH {_SHORT}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) SELECT count_if(diff > 0)::BIGINT AS up, count_if(diff < 0)::BIGINT AS down FROM j")
 def sign_test(spark, d):
     return E.sign_test(_diffs(spark, d)).select("up", "down")
 
@@ -364,20 +365,13 @@ def sign_test(spark, d):
 @query("scan_text")
 def scan_text(spark, d):
     """Whole-file source, read back from a folder of texts written from benchmark."""
-    path = _folder(spark, d, "texts")
+    path = new_path(spark, "texts")
     table(spark, d, "benchmark").select(F.col("text").alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return stores.read_text(spark, path).select(F.length("content").alias("n_chars"))
 
 
 @query("scan_csv_docs", "SELECT concat('item_id: ', item_id::VARCHAR, chr(10), 'text: ', text) AS content FROM benchmark")
 def scan_csv_docs(spark, d):
-    path = _folder(spark, d, "csv")
+    path = new_path(spark, "csv")
     table(spark, d, "benchmark").select("item_id", "text").write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
     return stores.read_csv_documents(spark, path).select("content")
-
-
-def _folder(spark, d: str, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{abs(hash(d))}"

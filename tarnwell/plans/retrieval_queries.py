@@ -1,25 +1,25 @@
 """Queries of chunking, indexing, ranking, expansion and their evaluation.
 
-``documents`` is the collection; the passages of ``benchmark`` are the evidence, and their first eight tokens the
-questions, as whole passages would be too easy.  A passage is answerable if some document contains it word by word.
+``documents`` is the collection; the passages of ``benchmark`` are the evidence, and as a whole also the questions.  Only the
+comparisons of strategies, weights and rewriting ask with a passage's first eight tokens (SHORT), as its whole would be
+found by all of them.  A passage is answerable if some document contains it word by word.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
 from tarnwell.operators import chunking
 from tarnwell.operators import retrieval as R
+from tarnwell.operators.segments import SegmentedIndex
+from tarnwell.operators.vectors import VectorIndex
+from tarnwell.sources.shared import new_path
 
 from .registry import query, table
 
-N_TERMS = 8
+SHORT = 8
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9._+#/:-]*')"
 
 _BASE = f"""
@@ -29,7 +29,7 @@ post AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3),
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
 ts AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 idf AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM ts, st),
-q AS (SELECT item_id AS query_id, unnest(list_slice({_TOK.format('text')}, 1, {N_TERMS})) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
 qt AS (SELECT query_id, term, count(*)::DOUBLE AS qtf FROM q GROUP BY 1, 2),
 bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM post JOIN qt USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
@@ -37,6 +37,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 ev AS (SELECT item_id AS query_id, text AS evidence, {_TOK.format('text')} AS etok FROM benchmark),
 ans AS (SELECT query_id, bool_or(contains(d.text, evidence)) AS answerable FROM ev, d GROUP BY 1)"""
 
+_SHORT = _BASE.replace(f"unnest({_TOK.format('text')}) AS term FROM benchmark", f"unnest(list_slice({_TOK.format('text')}, 1, {SHORT})) AS term FROM benchmark")
+
 _TFIDF = """
 w AS (SELECT term, 1 + greatest(n, 1) / (1 + df) AS w FROM ts, st),
 norm AS (SELECT doc_id, sqrt(sum(pow(tf * w, 2))) AS norm FROM post JOIN w USING (term) GROUP BY 1),
@@ -59,17 +61,6 @@ round(coalesce(sum(CASE WHEN answerable THEN 1 / first_rank END), 0) / greatest(
 _saved: dict[tuple, str] = {}
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and latest change of a table, which tell whether an index of it is still good."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,20 +69,24 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return whole.getFileCount(), whole.getLength(), max([store.getFileStatus(at).getModificationTime(), *(f.getModificationTime() for f in store.listStatus(at))])
 
 
+def _key(spark: SparkSession, d: str) -> tuple:
+    return (spark.sparkContext.applicationId, d, *_state(spark, f"{d}/documents.parquet"))
+
+
 def index(spark: SparkSession, d: str) -> R.TextIndex:
     """The index of documents, saved in the shared folder when it is first asked for, and again if the table changes."""
-    key = (spark.sparkContext.applicationId, d, *_state(spark, f"{d}/documents.parquet"))
-    fresh = R.TextIndex(table(spark, d, "documents").select("doc_id", "text", "source"))
+    key = _key(spark, d)
     if key not in _saved:
-        path = f"{_shared(spark)}/tarnwell/index-{uuid.uuid4().hex}"
-        fresh.save(path)
+        path = new_path(spark, "index")
+        SegmentedIndex.create(spark, path, table(spark, d, "documents").select("doc_id", "text", "source"))
         _saved[key] = path
-    return R.SavedIndex(fresh, _saved[key])
+    return SegmentedIndex.open(spark, _saved[key])
 
 
-def batch(spark: SparkSession, d: str) -> DataFrame:
+def batch(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
     """query_id, term, qtf of the questions."""
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokenize(F.col("text")), 1, N_TERMS)).alias("term"))
+    tokens = T.tokenize(F.col("text"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tokens, 1, SHORT) if short else tokens).alias("term"))
     return rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
 
 
@@ -108,15 +103,21 @@ def answerable(spark: SparkSession, d: str) -> DataFrame:
     # a passage can stand in a document only if all its inner tokens do; a rarest one picks the candidates
     inner = ev.select("query_id", "evidence", F.explode(F.slice("etok", 2, F.greatest(F.size("etok") - 2, F.lit(0)))).alias("term"))
     pick = inner.join(rare, "term").groupBy("query_id", "evidence").agg(F.min(F.struct("df", "term")).alias("p")).select("query_id", "evidence", "p.term")
-    found = idx.tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(pick, "term")
+    found = idx.postings(pick).select("doc_id", "term").join(pick, "term")
     held = found.join(idx.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("evidence"))).select("query_id").distinct()
     return ev.select("query_id").join(held.withColumn("answerable", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("answerable", F.lit(False)).alias("answerable"))
 
 
+def tokens_of(idx: R.TextIndex, hits: DataFrame) -> DataFrame:
+    """The hits with their documents' tokens; only texts of hits are tokenised."""
+    rows = hits.join(idx.documents.select("doc_id", "text"), "doc_id")
+    return rows.withColumn("tokens", T.tokenize(F.col("text"))).drop("text")
+
+
 def ranks_of(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """query_id, answerable, first_rank: containment is computed on the listed documents only."""
     idx, ev = index(spark, d), evidence(spark, d)
-    listed = hits.where("rank <= 5").join(idx.tokens.select("doc_id", "tokens"), "doc_id").join(ev, "query_id")
+    listed = tokens_of(idx, hits.where("rank <= 5")).join(ev, "query_id")
     return R.first_relevant(listed, T.token_containment(F.col("tokens"), F.col("etok")) >= 0.85, answerable(spark, d))
 
 
@@ -235,14 +236,40 @@ def content_index(spark, d):
 
 @query("index_roundtrip", f"WITH {_BASE} SELECT count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens FROM post")
 def index_roundtrip(spark, d):
-    from tarnwell.sources import stores
-
-    path = f"{_shared(spark)}/tarnwell/postings-{uuid.uuid4().hex}"
-    stores.save_index(index(spark, d).postings(), path)
-    found = stores.load_index(spark, path)
+    found = SegmentedIndex.open(spark, index(spark, d).path).postings()
     return found.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
 
 
+#: What the index holds after the changes of ``changed_index``: documents that aren't labelled toxic.
+_CHANGED = _BASE.replace("FROM documents WHERE trim(text) <> ''", "FROM documents WHERE trim(text) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+
+
+def changed_index(spark: SparkSession, d: str) -> SegmentedIndex:
+    """An index by changes: a segment for each language, with the first one's texts cut to be replaced by whole ones; then toxic documents are deleted and segments merged."""
+    key = (*_key(spark, d), "changed")
+    if key not in _saved:
+        rows = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+        langs = sorted(r.lang or "" for r in rows.select("lang").distinct().collect())
+        part = lambda lang: rows.where(F.coalesce("lang", F.lit("")) == lang).drop("lang")
+        idx = SegmentedIndex.create(spark, new_path(spark, "changed"), part(langs[0]).withColumn("text", F.concat(F.lit("old "), F.substring("text", 1, 50))))
+        for lang in [*langs[1:], langs[0]]:
+            idx = idx.add(part(lang))
+        idx = idx.delete(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+        idx.merge(3)
+        _saved[key] = idx.path
+    return SegmentedIndex.open(spark, _saved[key])
+
+
+@query("changed_index_topk", f"WITH {_CHANGED} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
+def changed_index_topk(spark, d):
+    return changed_index(spark, d).search(batch(spark, d), 5)
+
+
+@query("changed_index_terms", f"WITH {_CHANGED} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def changed_index_terms(spark, d):
+    return changed_index(spark, d).term_stats().select("term", "df", R.rounded(F.col("idf")).alias("idf"))
+
+
 # -- ranking ----------------------------------------------------------------------------------------------------------
 
 
@@ -311,13 +338,13 @@ _FUSED = f"{_LISTS}, fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE /
 _HYBRID = f"{_FUSED}, hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM fused)"
 
 
-def _pools(spark, d):
-    idx, b = index(spark, d), batch(spark, d)
+def _pools(spark, d, short: bool = False):
+    idx, b = index(spark, d), batch(spark, d, short)
     return idx.search(b, 20), idx.tfidf_search(b, 20)
 
 
-def _lists(spark, d) -> DataFrame:
-    sparse, dense = _pools(spark, d)
+def _lists(spark, d, short: bool = False) -> DataFrame:
+    sparse, dense = _pools(spark, d, short)
     return sparse.select("query_id", F.lit("bm25").alias("list_id"), "doc_id", "rank").unionByName(dense.select("query_id", F.lit("dense").alias("list_id"), "doc_id", "rank"))
 
 
@@ -345,7 +372,7 @@ def cascade_fallback(spark, d):
 @query("mmr_rerank")
 def mmr_rerank(spark, d):
     idx = index(spark, d)
-    pool = idx.search(batch(spark, d), 20).join(idx.tokens.select("doc_id", F.array_distinct("tokens").alias("tokens")), "doc_id")
+    pool = tokens_of(idx, idx.search(batch(spark, d), 20)).withColumn("tokens", F.array_distinct("tokens"))
     return R.mmr(pool.select("query_id", "doc_id", F.col("rank").alias("pos"), "score", "tokens"))
 
 
@@ -372,6 +399,41 @@ def dense_topk(spark, d):
     return R.dense_search(*_vectors(spark, d), 10, "l2")
 
 
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The index of embeddings with the texts of documents of the same number, saved when it is first asked for."""
+    key = (*_key(spark, d), *_state(spark, f"{d}/embeddings.parquet"), "vectors")
+    if key not in _saved:
+        texts = table(spark, d, "documents").select("doc_id", "text", "source")
+        rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(texts, "doc_id", "left")
+        path = new_path(spark, "vectors")
+        VectorIndex.create(spark, path, rows)
+        _saved[key] = path
+    return VectorIndex.open(spark, _saved[key])
+
+
+@query("vector_index_topk", f"WITH qv AS ({_VEC_Q}) " + _VEC_RANK.format(f"-(list_dot_product(q::DOUBLE[], q::DOUBLE[]) + list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 2 * {_DOT})", 10))
+def vector_index_topk(spark, d):
+    return vector_index(spark, d).search(_vectors(spark, d)[0], 10, exact=True)
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark, d):
+    """Pruned search against exact search, of every row whose id is divisible by 20."""
+    return vector_index(spark, d).recall(_vectors(spark, d)[0], 10)
+
+
+_STORED = _BASE.replace("FROM documents WHERE trim(text) <> ''", "FROM documents WHERE trim(text) <> '' AND doc_id IN (SELECT vec_id FROM embeddings)")
+
+
+@query("dense_to_sparse_topk", f"WITH {_STORED} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
+def dense_to_sparse_topk(spark, d):
+    """A text index made of the texts that the vector index has."""
+    key = (*_key(spark, d), "migrated")
+    if key not in _saved:
+        _saved[key] = vector_index(spark, d).to_text_index(new_path(spark, "migrated")).path
+    return SegmentedIndex.open(spark, _saved[key]).search(batch(spark, d), 5)
+
+
 @query("cosine_pairs", f"WITH qv AS ({_VEC_Q}) SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM embeddings, qv WHERE vec_id <> query_id")
 def cosine_pairs(spark, d):
     q, v = _vectors(spark, d)
@@ -399,7 +461,7 @@ def resolve_dups(spark, d):
 @query("token_containment", f"WITH {_BASE} SELECT query_id, doc_id, round(len(list_intersect(list_distinct(etok), tokens)) / len(list_distinct(etok)), 6) AS containment FROM ranked JOIN d USING (doc_id) JOIN ev USING (query_id) WHERE rank <= 5")
 def token_containment(spark, d):
     idx = index(spark, d)
-    rows = idx.search(batch(spark, d), 5).join(idx.tokens.select("doc_id", "tokens"), "doc_id").join(evidence(spark, d), "query_id")
+    rows = tokens_of(idx, idx.search(batch(spark, d), 5)).join(evidence(spark, d), "query_id")
     return rows.select("query_id", "doc_id", R.rounded(T.token_containment(F.col("tokens"), F.col("etok"))).alias("containment"))
 
 
@@ -429,7 +491,7 @@ def _pairs(spark, d) -> DataFrame:
     """query_id, doc_id, containment of all pairs with a common token, by an equi-join on tokens."""
     ev = evidence(spark, d).select("query_id", F.array_distinct("etok").alias("etok"))
     terms = ev.select("query_id", F.size("etok").alias("ne"), F.explode("etok").alias("term"))
-    rows = index(spark, d).tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    rows = index(spark, d).postings(terms).select("doc_id", "term")
     return rows.join(terms, "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("ne")).alias("containment"))
 
 
@@ -494,9 +556,9 @@ def _strategy_sql(name: str, ranked: str, tag: str) -> str:
     return _REL.format(ranked=ranked).replace("hits AS", f"hits_{tag} AS").replace("FROM hits", f"FROM hits_{tag}").replace("fr AS", f"fr_{tag} AS") + f", s_{tag} AS (SELECT '{name}' AS strategy, * FROM fr_{tag})"
 
 
-@query("strategy_ab", f"WITH {_BASE}, {_TFIDF}, {_HYBRID}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, {_strategy_sql('hybrid', 'hy', 'c')} SELECT strategy, {_HIT} FROM (SELECT * FROM s_a UNION ALL SELECT * FROM s_b UNION ALL SELECT * FROM s_c) GROUP BY 1")
+@query("strategy_ab", f"WITH {_SHORT}, {_TFIDF}, {_HYBRID}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, {_strategy_sql('hybrid', 'hy', 'c')} SELECT strategy, {_HIT} FROM (SELECT * FROM s_a UNION ALL SELECT * FROM s_b UNION ALL SELECT * FROM s_c) GROUP BY 1")
 def strategy_ab(spark, d):
-    sparse, dense = _pools(spark, d)
+    sparse, dense = _pools(spark, d, short=True)
     lists = {"bm25": sparse, "dense": dense, "hybrid": R.hybrid(sparse, dense, 5)}
     rows = None
     for name, hits in lists.items():
@@ -510,18 +572,18 @@ SWEEP = ((1.0, 1.0), (1.5, 1.0), (2.0, 1.0), (3.0, 1.0), (1.0, 1.5), (1.0, 2.0),
 _SWEEP = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(SWEEP))
 
 
-@query("weight_sweep", f"""WITH {_BASE}, {_TFIDF}, {_LISTS}, sw AS (SELECT * FROM (VALUES {_SWEEP}) t(cfg, wa, wb)),
+@query("weight_sweep", f"""WITH {_SHORT}, {_TFIDF}, {_LISTS}, sw AS (SELECT * FROM (VALUES {_SWEEP}) t(cfg, wa, wb)),
 f AS (SELECT cfg, query_id, doc_id, round(sum(CASE WHEN list_id = 'bm25' THEN wa ELSE wb END / (60 + rank)), 6) AS score FROM lists, sw WHERE CASE WHEN list_id = 'bm25' THEN wa ELSE wb END > 0 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY cfg, query_id ORDER BY score DESC, doc_id) AS rank FROM f),
 h AS (SELECT cfg, query_id, min(rank) AS first_rank FROM r JOIN d USING (doc_id) JOIN ev USING (query_id) WHERE rank <= 5 AND len(list_intersect(list_distinct(etok), tokens)) / len(list_distinct(etok)) >= 0.85 GROUP BY 1, 2),
 fr AS (SELECT cfg, query_id, answerable, CASE WHEN answerable THEN first_rank END AS first_rank FROM sw CROSS JOIN ans LEFT JOIN h USING (cfg, query_id)) SELECT cfg, {_HIT} FROM fr GROUP BY 1""")
 def weight_sweep(spark, d):
     sweep = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(SWEEP)], "cfg int, wa double, wb double")
-    rows = _lists(spark, d).crossJoin(F.broadcast(sweep)).withColumn("w", F.when(F.col("list_id") == "bm25", F.col("wa")).otherwise(F.col("wb"))).where("w > 0")
+    rows = _lists(spark, d, short=True).crossJoin(F.broadcast(sweep)).withColumn("w", F.when(F.col("list_id") == "bm25", F.col("wa")).otherwise(F.col("wb"))).where("w > 0")
     fused = rows.groupBy("cfg", "query_id", "doc_id").agg(R.rounded(F.sum(F.col("w") / (60 + F.col("rank")))).alias("score"))
     hits = R.top(fused, 5, keys=("cfg", "query_id"))
     idx, ev = index(spark, d), evidence(spark, d)
-    rel = hits.join(idx.tokens.select("doc_id", "tokens"), "doc_id").join(ev, "query_id").where(T.token_containment(F.col("tokens"), F.col("etok")) >= 0.85)
+    rel = tokens_of(idx, hits).join(ev, "query_id").where(T.token_containment(F.col("tokens"), F.col("etok")) >= 0.85)
     first = rel.groupBy("cfg", "query_id").agg(F.min("rank").alias("first_rank"))
     grid = answerable(spark, d).crossJoin(F.broadcast(sweep.select("cfg"))).join(first, ["cfg", "query_id"], "left")
     return R.hit_mrr(grid.withColumn("first_rank", F.when(F.col("answerable"), F.col("first_rank"))), "cfg")
@@ -530,9 +592,9 @@ def weight_sweep(spark, d):
 _DELTA = "CASE WHEN b IS NULL AND a IS NULL THEN 'same' WHEN b IS NULL THEN 'improved' WHEN a IS NULL THEN 'regressed' WHEN a < b THEN 'improved' WHEN a > b THEN 'regressed' ELSE 'same' END AS change"
 
 
-@query("rank_delta", f"WITH {_BASE}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT query_id, fr_a.first_rank AS a, fr_b.first_rank AS b FROM fr_a JOIN fr_b USING (query_id)) SELECT query_id, a AS new_rank, b AS old_rank, {_DELTA} FROM j")
+@query("rank_delta", f"WITH {_SHORT}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT query_id, fr_a.first_rank AS a, fr_b.first_rank AS b FROM fr_a JOIN fr_b USING (query_id)) SELECT query_id, a AS new_rank, b AS old_rank, {_DELTA} FROM j")
 def rank_delta(spark, d):
-    sparse, dense = _pools(spark, d)
+    sparse, dense = _pools(spark, d, short=True)
     a = ranks_of(spark, d, sparse).select("query_id", F.col("first_rank").alias("a"))
     b = ranks_of(spark, d, dense).select("query_id", F.col("first_rank").alias("b"))
     return a.join(b, "query_id").select("query_id", F.col("a").alias("new_rank"), F.col("b").alias("old_rank"), F.expr(_DELTA.removesuffix(" AS change")).alias("change"))
@@ -541,7 +603,7 @@ def rank_delta(spark, d):
 _RW = ((0, 0.3), (1, 0.5), (2, 0.8))
 
 
-@query("rewrite_ab", f"""WITH {_BASE}, {_PRF}, ws AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) t(cfg, weight)),
+@query("rewrite_ab", f"""WITH {_SHORT}, {_PRF}, ws AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) t(cfg, weight)),
 ex AS (SELECT cfg, query_id, unnest({_TOK.format('term')}) AS term, ws.weight AS qtf FROM prf, ws),
 qt2 AS (SELECT cfg, query_id, term, sum(qtf) AS qtf FROM (SELECT cfg, query_id, term, qtf FROM qt, ws UNION ALL SELECT cfg, query_id, term, qtf FROM ex) GROUP BY 1, 2, 3),
 bm2 AS (SELECT cfg, query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qt2 USING (term) JOIN idf USING (term), st GROUP BY 1, 2, 3),
@@ -549,14 +611,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cfg, query_id ORDER BY score DES
 h AS (SELECT cfg, query_id, min(rank) AS first_rank FROM r JOIN d USING (doc_id) JOIN ev USING (query_id) WHERE rank <= 20 AND len(list_intersect(list_distinct(etok), tokens)) / len(list_distinct(etok)) >= 0.85 GROUP BY 1, 2),
 fr AS (SELECT cfg, query_id, answerable, CASE WHEN answerable THEN first_rank END AS first_rank FROM ws CROSS JOIN ans LEFT JOIN h USING (cfg, query_id)) SELECT cfg, {_HIT} FROM fr GROUP BY 1""")
 def rewrite_ab(spark, d):
-    idx, b, ev = index(spark, d), batch(spark, d), evidence(spark, d)
+    idx, b, ev = index(spark, d), batch(spark, d, short=True), evidence(spark, d)
     terms = R.feedback_terms(idx, b).select("query_id", "term")
     # one batch for all weights: the query of a weight has a key of its own
     key = lambda c: F.concat_ws("|", F.lit(str(c)), F.col("query_id").cast("string")).alias("query_id")
     parts = [R.expanded(b, terms, w).select(key(c), "term", "qtf") for c, w in _RW]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     hits = idx.search(both, 20).select(F.split("query_id", "[|]")[0].cast("int").alias("cfg"), F.split("query_id", "[|]")[1].cast("long").alias("query_id"), "doc_id", "rank")
-    rel = hits.join(idx.tokens.select("doc_id", "tokens"), "doc_id").join(ev, "query_id").where(T.token_containment(F.col("tokens"), F.col("etok")) >= 0.85)
+    rel = tokens_of(idx, hits).join(ev, "query_id").where(T.token_containment(F.col("tokens"), F.col("etok")) >= 0.85)
     first = rel.groupBy("cfg", "query_id").agg(F.min("rank").alias("first_rank"))
     grid = answerable(spark, d).crossJoin(F.broadcast(spark.createDataFrame([(c,) for c, _ in _RW], "cfg int"))).join(first, ["cfg", "query_id"], "left")
     return R.hit_mrr(grid.withColumn("first_rank", F.when(F.col("answerable"), F.col("first_rank"))), "cfg")
