@@ -118,7 +118,7 @@ class VectorIndex:
         dims = size.d if size else 0
         good = vectors.where(F.col("doc_id").isNotNull() & v.isNotNull() & (F.size("v") == dims) & finite).withColumn("v", v.cast("array<float>"))
         picked = good.select("v", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("v").toArrow()
-        points = np.array(picked.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(picked.num_rows, -1)
+        points = np.array(picked.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(picked.num_rows, max(dims, 1))
         total = vectors.count()
         c = fitted(points, n_cells or min(MOST_CELLS, max(1, int(total**0.5)))) if len(points) else np.zeros((0, max(dims, 1)))
         dealt = cls._dealt(good, c)
