@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -199,6 +199,14 @@ def sse_frame(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.coalesce(data, F.lit("")), F.lit("\n\n"))
 
 
+def sse_events(streams: DataFrame, text: str) -> DataFrame:
+    """The rows with seq, event and data of each frame of a stream's text; comments are skipped, data lines of a frame joined, the event of a frame without one is message."""
+    frames = F.filter(F.split(F.col(text), r"\r?\n\r?\n"), lambda f: f.rlike("(?m)^data:"))
+    field = lambda f, name: F.regexp_extract_all(f, F.lit(rf"(?m)^{name}:[ ]?(.*)$"), F.lit(1))
+    parsed = F.transform(frames, lambda f: F.struct(F.coalesce(F.try_element_at(field(f, "event"), F.lit(-1)), F.lit("message")).alias("event"), F.array_join(field(f, "data"), "\n").alias("data")))
+    return streams.select("*", F.posexplode(parsed).alias("seq", "x")).select(*streams.columns, "seq", "x.event", "x.data")
+
+
 # Class names and hints of the error table, HTTP status of each type.
 ERROR_NAMES = {
     "LLM_TIMEOUT": ("TimeOut", "TimeoutError", "APITimeoutError", "ReadTimeout", "ConnectTimeout", "WriteTimeout", "PoolTimeout"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import dot, source_group, strip, tokenize
+from tarnwell.operators.substrings import substring_join
 from tarnwell.sources.shared import stash
 
 
@@ -288,6 +289,45 @@ def feedback_terms(index: TextIndex, batch: DataFrame, config: Feedback = Feedba
     return stash(best, "feedback")
 
 
+# -- relevance and checks of question sets -----------------------------------------------------------------------------
+
+
+def relevant_documents(index: TextIndex, questions: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """query_id, doc_id: documents with enough of the evidence's tokens; for questions without evidence, those whose source contains source_contains.
+
+    questions: query_id, evidence, source_contains.  Case doesn't count in sources; blank texts count as missing, and a question with neither
+    has no relevant document.  Tokens come from the index; sources are searched once each, whatever number of documents they have.
+    """
+    evidence = F.coalesce(strip(F.col("evidence")), F.lit(""))
+    etok = questions.where(evidence != "").select("query_id", F.array_distinct(tokenize(F.col("evidence"), index.config.ngram)).alias("etok"))
+    terms = stash(etok.select("query_id", F.size("etok").alias("ne"), F.explode("etok").alias("term")), "evidence")
+    held = index.postings(terms).select("doc_id", "term").join(terms, "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("ne")).alias("c"))
+    by_source = questions.where(evidence == "").select(F.col("query_id").alias("needle_id"), F.lower(strip(F.col("source_contains"))).alias("needle"))
+    sources = index.documents.select("doc_id", F.lower("source").alias("text"))
+    found = substring_join(sources.select("text").distinct().select(F.col("text").alias("text_id"), "text"), by_source)
+    rows = found.join(sources, F.col("text_id") == F.col("text")).select(F.col("needle_id").alias("query_id"), "doc_id")
+    return held.where(F.col("c") >= threshold).select("query_id", "doc_id").unionByName(rows)
+
+
+def dataset_violations(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, violation, n: five checks of a question set. questions: id, answerable, evidence, reference_answer; documents: text.
+
+    Evidence has to stand in one text, blanks aside; nulls are empty, and a null ``answerable`` is false.
+    """
+    empty = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+    yes = F.coalesce("answerable", F.lit(False))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    rows = questions.select("id", yes.alias("yes"), empty("evidence").alias("blank"), empty("reference_answer").alias("mute"), F.when(yes & ~empty("evidence"), bare("evidence")).alias("needle"))
+    needles = rows.where("needle is not null").select("needle").distinct().select(F.col("needle").alias("needle_id"), "needle")
+    held = substring_join(documents.select(F.lit(0).alias("text_id"), bare("text").alias("text")), needles).select(F.col("needle_id").alias("needle")).distinct()
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("violation"), "n")
+    foreign = rows.where("needle is not null").join(held, "needle", "left_anti").select("id", F.lit("evidence not in corpus").alias("violation"))
+    by_row = rows.select("id", F.explode(F.array_compact(F.array(
+        F.when(F.col("yes") & F.col("blank"), "no evidence"), F.when(F.col("yes") & F.col("mute"), "no reference answer"), F.when(~F.col("yes") & ~F.col("blank"), "evidence though unanswerable"),
+    ))).alias("violation"))
+    return by_row.unionByName(foreign).groupBy("id", "violation").agg(F.count(F.lit(1)).alias("n")).unionByName(repeated)
+
+
 # -- quality of rankings ----------------------------------------------------------------------------------------------
 
 

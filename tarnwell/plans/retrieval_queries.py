@@ -134,19 +134,20 @@ def tokenize_latin(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.latin_tokens(T.normalize(F.col("text"))), " ").alias("tokens"))
 
 
-_CJK_ROWS = "(1, '文档切分 BM25 检索'), (2, '海'), (3, 'RRF 融合排序与 上海'), (4, 'plain text'), (5, '')"
+#: Vowels of the documents become ideographs, so that their words hold runs of them.
+_CJK_FROM, _CJK_TO = "aeiou", "文档切分海"
 
 
 @query(
     "tokenize_cjk",
-    f"""WITH t AS (SELECT * FROM (VALUES {_CJK_ROWS}) v(id, s)), r AS (SELECT id, regexp_extract_all(s, '[㐀-䶿一-鿿豈-﫿]+') AS runs FROM t),
-    g AS (SELECT id, flatten(list_transform(runs, lambda r: list_concat(list_transform(range(1, len(r) + 1), lambda i: substring(r, i, 1)),
+    f"""WITH r AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{_CJK_FROM}', '{_CJK_TO}'), '[㐀-䶿一-鿿豈-﫿]+') AS runs FROM documents),
+    g AS (SELECT doc_id, flatten(list_transform(runs, lambda r: list_concat(list_transform(range(1, len(r) + 1), lambda i: substring(r, i, 1)),
       CASE WHEN len(r) >= 2 THEN list_transform(range(1, len(r)), lambda i: substring(r, i, 2)) ELSE [] END))) AS g FROM r)
-    SELECT id, array_to_string(g, ' ') AS tokens FROM g""",
+    SELECT doc_id, array_to_string(g, ' ') AS tokens FROM g""",
 )
 def tokenize_cjk(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {_CJK_ROWS} AS v(id, s)")
-    return rows.select("id", F.array_join(T.cjk_tokens(F.col("s")), " ").alias("tokens"))
+    text = F.translate(F.lower("text"), _CJK_FROM, _CJK_TO)
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.cjk_tokens(text), " ").alias("tokens"))
 
 
 @query("tokenize_counts", f"SELECT doc_id, len({_TOK.format('text')})::BIGINT AS n_tokens FROM documents")
@@ -500,6 +501,36 @@ def relevance_pairs(spark, d):
     return _pairs(spark, d).where("containment >= 0.85").select("query_id", "doc_id", R.rounded(F.col("containment")).alias("containment"))
 
 
+@query("relevant_documents", f"""WITH {_BASE}, {_PAIRS} SELECT concat('e', query_id) AS query_id, doc_id FROM pairs WHERE containment >= 0.85
+UNION ALL SELECT concat('s', s.source), d.doc_id FROM (SELECT DISTINCT source FROM documents) s JOIN d ON contains(lower(d.source), lower(s.source))""")
+def relevant_documents(spark, d):
+    """Questions with evidence are the passages; those without ask for each source in capitals, which others may contain (src1 in src10)."""
+    passages = table(spark, d, "benchmark").select(F.concat(F.lit("e"), "item_id").alias("query_id"), F.col("text").alias("evidence"), F.lit("").alias("source_contains"))
+    sources = table(spark, d, "documents").select("source").distinct().select(F.concat(F.lit("s"), "source").alias("query_id"), F.lit(" ").alias("evidence"), F.upper("source").alias("source_contains"))
+    return R.relevant_documents(index(spark, d), passages.unionByName(sources))
+
+
+_SET = """SELECT concat('b', item_id) AS id, true AS answerable, text AS evidence, text AS answer FROM benchmark UNION ALL
+SELECT concat('c', conv_id, ':', role), role = 'assistant', CASE WHEN role <> 'system' AND turn <> 2 THEN text ELSE ' ' END, CASE WHEN turn <> 1 THEN text ELSE '' END FROM conversations"""
+
+
+@query("dataset_checks", f"""WITH s AS MATERIALIZED ({_SET}), c AS (SELECT regexp_replace(text, '\\s+', '', 'g') AS bare FROM documents),
+n AS (SELECT DISTINCT regexp_replace(evidence, '\\s+', '', 'g') AS needle FROM s WHERE answerable AND trim(evidence) <> ''),
+h AS (SELECT needle, bool_or(contains(bare, needle)) AS held FROM n, c GROUP BY 1),
+v AS (SELECT id, 'no evidence' AS violation FROM s WHERE answerable AND trim(evidence) = '' UNION ALL SELECT id, 'no reference answer' FROM s WHERE answerable AND trim(answer) = ''
+  UNION ALL SELECT id, 'evidence though unanswerable' FROM s WHERE NOT answerable AND trim(evidence) <> ''
+  UNION ALL SELECT id, 'evidence not in corpus' FROM s JOIN h ON h.needle = regexp_replace(evidence, '\\s+', '', 'g') WHERE answerable AND NOT held)
+SELECT id, violation, count(*) AS n FROM v GROUP BY 1, 2 UNION ALL SELECT id, 'duplicate id', count(*) FROM s GROUP BY 1 HAVING count(*) > 1""")
+def dataset_checks(spark, d):
+    turns = table(spark, d, "conversations")
+    asked = turns.select(
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "role").alias("id"), (F.col("role") == "assistant").alias("answerable"), F.when((F.col("role") != "system") & (F.col("turn") != 2), F.col("text")).otherwise(" ").alias("evidence"),
+        F.when(F.col("turn") != 1, F.col("text")).otherwise("").alias("reference_answer"),
+    )
+    passages = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.lit(True).alias("answerable"), F.col("text").alias("evidence"), F.col("text").alias("reference_answer"))
+    return R.dataset_violations(passages.unionByName(asked), table(spark, d, "documents"))
+
+
 @query("decontaminate", f"WITH {_BASE}, {_PAIRS} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM pairs WHERE containment >= 0.80)")
 def decontaminate(spark, d):
     bad = _pairs(spark, d).groupBy("doc_id").agg(F.max("containment").alias("worst")).where("worst >= 0.80")
