@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.operators.quantiles import quantiles
+
 
 def seconds(ts: str = "ts") -> Column:
     return F.unix_timestamp(F.col(ts).cast("timestamp"))
@@ -55,6 +57,25 @@ def summarize(values: Column, digits: int = 2) -> list[Column]:
     return [F.count(values).alias("count"), r(F.avg(values)).alias("mean"), r(q[0]).alias("p50"), r(q[1]).alias("p95"), r(q[2]).alias("p99"), r(F.min(values)).alias("min"), r(F.max(values)).alias("max")]
 
 
+def load_summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys, requests, success, errors, error_rate, duration_s, rps, done_rate, p50, p95, p99, error_types of a load test's requests.
+
+    rows: keys, ts, value (a latency), kind (type of error, null for success), done (the end was seen).  error_types is ``kind=count``, by kind, null without errors;
+    the rate is null where all requests have one time; a group has as many kinds of error as there are, few.
+    """
+    n, failed = F.count(F.lit(1)), F.count_if(F.col("kind").isNotNull())
+    micros = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
+    seconds_ = F.nullif(micros, F.lit(0)) / 1e6
+    main = rows.groupBy(*keys).agg(
+        n.alias("requests"), (n - failed).alias("success"), failed.alias("errors"), F.round(failed / n, 4).alias("error_rate"), F.round(micros / 1e6, 3).alias("duration_s"), F.round(n / seconds_, 6).alias("rps"),
+        F.round(F.count_if("done") / n, 4).alias("done_rate"),
+    )
+    kinds = rows.where("kind is not null").groupBy(*keys, "kind").agg(F.concat_ws("=", "kind", F.count(F.lit(1)).cast("string")).alias("told"))
+    types = kinds.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "told"))), lambda x: x["told"]), ",").alias("error_types"))
+    q = quantiles(rows, keys, value, [0.5, 0.95, 0.99]).select(*keys, *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+    return main.join(q, keys).join(types, keys, "left")
+
+
 def recent(turns: DataFrame, n: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last n turns of each session."""
     return turns.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= n).drop("back")

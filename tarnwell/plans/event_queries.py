@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import text as T
 from tarnwell.operators import events as E
 from tarnwell.operators import retrieval as R
+from tarnwell.operators.quantiles import quantiles, summary
 from tarnwell.sources import stores
 from tarnwell.sources.shared import new_path
 from tarnwell.streaming import windows
@@ -294,13 +295,13 @@ def adjacent_dups(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return log(spark, d).groupBy("event_type").agg(q.alias("q")).select("event_type", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    q = quantiles(log(spark, d), ["event_type"], "value", [0.5, 0.95, 0.99])
+    return q.select("event_type", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
 
 
 @query("latency_summary", "SELECT user_id, count(value) AS count, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(min(value), 4) AS min, round(max(value), 4) AS max FROM events GROUP BY 1")
 def latency_summary(spark, d):
-    return log(spark, d).groupBy("user_id").agg(*E.summarize(F.col("value"), 4))
+    return summary(log(spark, d), ["user_id"], "value", 4)
 
 
 @query("load_level_summary", "SELECT user_id % 5 AS level, count(*) AS requests, count_if(event_type <> 'error')::BIGINT AS success, round(count_if(event_type = 'error') / count(*), 4) AS error_rate, count_if(event_type = 'view')::BIGINT AS cache_hits, count_if(event_type = 'click')::BIGINT AS cache_misses FROM events GROUP BY 1")
@@ -318,6 +319,30 @@ def median_of_rounds(spark, d):
     return each.groupBy("event_type", (F.col("user_id") % 3).alias("level")).agg(F.round(F.median("m"), 6).alias("median_mean"))
 
 
+#: A result file's column: numbers as text, some missing or not a number.
+_READ = "CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN '' ELSE CAST(value / 3 AS {}) END"
+
+
+@query("median_of_results", f"""SELECT event_type AS scenario, user_id % 2 AS side, count(*) AS n_rounds, coalesce(printf('%.2f', round(median(TRY_CAST({_READ.format('VARCHAR')} AS DOUBLE)), 2)), '') AS median FROM events GROUP BY 1, 2""")
+def median_of_results(spark, d):
+    """Texts that are no numbers are skipped; empty if there is none."""
+    rows = log(spark, d).select(F.col("event_type").alias("scenario"), (F.col("user_id") % 2).alias("side"), F.expr(f"try_cast({_READ.format('STRING')} AS DOUBLE)").alias("x"))
+    n = rows.groupBy("scenario", "side").agg(F.count(F.lit(1)).alias("n_rounds"))
+    median = quantiles(rows, ["scenario", "side"], "x", [0.5])
+    return n.join(median, ["scenario", "side"]).select("scenario", "side", "n_rounds", F.coalesce(F.format_string("%.2f", F.round(F.col("q")[0], 2)), F.lit("")).alias("median"))
+
+
+@query("load_summary", f"""WITH e AS (SELECT e.*, user_id % 5 AS level, CASE WHEN event_type = 'error' THEN kind END AS kind FROM events e JOIN (SELECT event_id, {_CASCADE} AS kind FROM ({_FAILED})) USING (event_id)),
+h AS (SELECT level, string_agg(concat(kind, '=', n), ',' ORDER BY kind) AS error_types FROM (SELECT level, kind, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT level, count(*) AS requests, count_if(kind IS NULL)::BIGINT AS success, count_if(kind IS NOT NULL)::BIGINT AS errors, round(count_if(kind IS NOT NULL) / count(*), 4) AS error_rate,
+round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration_s, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS rps, round(count_if(event_type = 'purchase') / count(*), 4) AS done_rate,
+round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, any_value(error_types) AS error_types FROM e LEFT JOIN h USING (level) GROUP BY 1""")
+def load_summary(spark, d):
+    """A load level's counts, rates, latencies and error types (kind=count)."""
+    rows = log(spark, d).withColumn("level", F.col("user_id") % 5).join(_errors(spark, d), "event_id")
+    return E.load_summary(rows.withColumn("kind", F.when(F.col("event_type") == "error", F.col("kind"))).withColumn("done", F.col("event_type") == "purchase"), ["level"])
+
+
 @query("ab_delta", "WITH s AS (SELECT event_type, user_id % 2 AS side, avg(value) AS m FROM events GROUP BY 1, 2) SELECT b.event_type, round((f.m - b.m) / b.m * 100, 2) AS delta_pct FROM s b JOIN s f USING (event_type) WHERE b.side = 0 AND f.side = 1")
 def ab_delta(spark, d):
     s = log(spark, d).groupBy("event_type").agg(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("b"), F.avg(F.when(F.col("user_id") % 2 == 1, F.col("value"))).alias("f"))
