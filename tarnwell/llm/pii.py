@@ -68,11 +68,12 @@ LETTERS = {
 }
 _TITLE = "|".join(sorted((t for k in TITLES for t in TITLES[k]), key=len, reverse=True))
 _LABEL = "|".join(LABELS)
-_NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{L}+)*"
+# possessive, as a greedy repeat of a group takes the stack of the regex engine for each time
+_NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{L}+)*+"
 
-#: One pattern for each type, in order of precedence.
+#: One pattern for each type, in order of precedence. A domain has at most 127 labels, a limit of the format.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?){0,125}\.\p{L}{2,}",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -86,6 +87,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a cheap test before the patterns. Secrets need no digit, so their prefixes and keywords count.
 HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:{_LABEL})\s?:\s?\p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?i:token|secret|password|passwd|api_key|apikey)[^\w\s\"']{{0,3}}\s?[=:]"
 TYPES = tuple(PATTERNS)
+#: Characters that one stream is enough for.
+PIECE = 60
 
 
 def let(value: Column, body) -> Column:
@@ -139,11 +142,16 @@ def _shaped(e: Column, stream: Column, hexadecimal: bool = False) -> Column:
             .when(c.rlike(r"\p{Lu}"), _pick("ÀÂÄÉÈÊËÎÏÔÖÙÜÑÇ", n)).when(c.rlike(r"\p{L}"), _pick("àâäéèêëîïôöùüñç", n)).otherwise(c)
         )
 
-    def one(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        return let(_byte(stream, nth), lambda n: drawn(c, n))
+    def shape(piece: Column, own: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            nth = F.length(F.regexp_replace(F.substring(piece, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+            return let(_byte(own, nth), lambda n: drawn(c, n))
 
-    return F.array_join(F.transform(F.regexp_extract_all(e, F.lit(r"(?s)(.)"), F.lit(1)), one), "")
+        return F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(r"(?s)(.)"), F.lit(1)), one), "")
+
+    # each piece has a stream of its own, so that the time follows the length and nothing repeats
+    pieces = F.regexp_extract_all(e, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda piece, p: let(F.when(p == 0, stream).otherwise(_stream("", stream, p.cast("string"))), lambda own: shape(piece, own))), "")
 
 
 def _luhn(digits: Column) -> Column:
