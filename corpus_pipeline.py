@@ -61,7 +61,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     single = keyed.join(few(gone), key, "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():
         return single
-    one = keyed.join(few(repeated), key).groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    row = F.struct(*docs.columns)
+    # maps and variants have no order of their own
+    least = F.min_by(row, F.to_json(row)) if any(x in docs.schema.simpleString() for x in ("map<", "variant")) else F.min(row)
+    one = keyed.join(few(repeated), key).groupBy(key).agg(least.alias("row")).select("row.*")
     return single.unionByName(one).select(*docs.columns)
 
 
