@@ -34,7 +34,7 @@ from tarnwell.sources.shared import stash
 
 FORMAT = 2
 #: Documents of a block of postings (a term's block has at most about as many), and buckets of terms.
-BLOCK_DOCS, BUCKETS = 4096, 16
+BLOCK_DOCS, BUCKETS = 1024, 16
 #: Dead documents up to which their ids are broadcast; the manifest has their number.
 FEW_DEAD = 2_000_000
 #: Terms asked for up to which they are broadcast, which is counted.
@@ -329,8 +329,8 @@ class SegmentedIndex(TextIndex):
         return self.spark.createDataFrame([row], "n long, avgdl double, avg_chars double").withColumn("avg_chars", F.round("avg_chars", 1))
 
     def blocks(self, terms: DataFrame | None = None) -> DataFrame:
-        """segment, term, docs: blocks of postings, also of dead documents; of the given terms only (with their columns) if there are any."""
-        rows = self._segments("blocks", f"term string, docs array<struct<doc_id:{self.manifest.id_type},dl:int,tf:bigint>>, bucket int")
+        """segment, block, term, docs: blocks of postings, also of dead documents; of the given terms only (with their columns) if there are any."""
+        rows = self._segments("blocks", f"block int, term string, docs array<struct<doc_id:{self.manifest.id_type},dl:int,tf:bigint>>, bucket int")
         if terms is None:
             return rows.drop("bucket")
         # the comparison lets Spark prune partitions by the terms that it has broadcast
@@ -361,13 +361,20 @@ class SegmentedIndex(TextIndex):
         return self.frequencies().select("term", (1 + F.lit(float(max(self.manifest.n, 1))) / (1 + F.col("df"))).alias("w"))
 
     def scores(self, batch: DataFrame) -> DataFrame:
-        """query_id, doc_id, score, as in the index above; weights join blocks, which are opened afterwards."""
+        """query_id, doc_id, score, as in the index above.
+
+        The blocks of the asked terms are dealt by block, where all postings of a document meet: what is shuffled doesn't grow with the
+        number of queries.  They are joined with the weights and opened there, and summed in place.
+        """
         c = self.config
         avgdl = F.lit(self.manifest.tokens / self.manifest.n if self.manifest.n and self.manifest.tokens else 1.0)
         weighted = batch.select("query_id", "term", "qtf").join(self.term_stats().select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-        rows = self.blocks(weighted).select("segment", "query_id", "w", F.inline("docs"))
+        weighted = stash(weighted, "weights")
+        few = weighted.count() <= FEW_TERMS
+        found = self.blocks(weighted.select("term").distinct()).withColumn("home", F.xxhash64("segment", "block")).repartition("home")
+        rows = found.join(F.broadcast(weighted) if few else weighted, "term").select("segment", "home", "query_id", "w", F.inline("docs"))
         part = F.col("w") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / avgdl))
-        found = rows.groupBy("segment", "query_id", "doc_id").agg(rounded(F.sum(part)).alias("score"))
+        found = rows.groupBy("home", "segment", "query_id", "doc_id").agg(rounded(F.sum(part)).alias("score"))
         return self._live(found).select("query_id", "doc_id", "score")
 
     def tfidf_norms(self) -> DataFrame:
