@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat text blocks at block-level tags.  Each block has its word count, its link density, those of
-its neighbours, and what its enclosing elements are for.  A decision tree, grown here by Gini impurity from the small
+its neighbours, what its enclosing elements are for, and whether it says no more than a button or a line of rights.  A decision tree, grown here by Gini impurity from the small
 labelled table below, keeps or drops each block.  The page is handled whole; nothing is capped.
 
 Defined results: null or empty html gives an empty text; a page without a main block gives an empty text; unclosed,
@@ -54,52 +54,127 @@ _WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Words that mark readers' comments, and prefixes of classes that name a post's subjects, not its use.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond response responses".split())
 SUBJECT_PREFIXES = ("tag-", "category-", "cat-", "topic-", "post-", "type-", "status-", "format-", "author-")
+# Of the words above, those that also name subjects; they count as the last word of a name only, after the
+# words for any box are taken off: related-posts is furniture, related-work is not.
+AMBIGUOUS = frozenset(
+    "banner copyright disclaimer discussion header legal login masthead menu modal notice notices notification"
+    " promotion recommended related reply respond response responses search share sharing social tags teaser".split()
+)
+BOX_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons container content form group heading icons inner item items"
+    " left line link links list media message outer overlay panel posts region right row section stories text title top"
+    " widget wrap wrapper zone".split()
+)
+# Words before one of the above that say what a page has or lacks, as in page-with-sidebar.
+MODIFIERS = frozenset("with without has no non hide show".split())
+# Headings and parts of a text, whose ids are targets of links.
+ANCHOR_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p section li dt dd figure table blockquote pre".split())
+#: Comments are marked by these words even where an id is a target of links.
+SURE_COMMENTS = frozenset("comments commentlist disqus respond".split())
+
+# What a block says that is an advert's or a button's label and nothing else, and lines of rights.
+LABELS = frozenset(
+    ("advertisement", "advertisements", "advertising", "sponsored", "sponsored content", "share this", "share this article",
+     "share this page", "share this post", "share this story", "print this page", "email this article", "skip to content",
+     "skip to main content", "back to top")
+)
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)(?:\s*(?:©|\(c\)|copyright\b))*\s*(?:19|20)\d\d\b", re.I)
+#: The most words of a line of rights; a paragraph that begins like one is text.
+RIGHTS_WORDS = 30
 
 #: What a block stands in: nothing that tells, an article, page furniture, furniture in which an article is none either.
 PLAIN, MAIN, FURNITURE, CLOSED = 0, 1, 2, 3
 #: What a block is: nothing that tells, a heading, a paragraph.
 HEADING, PARAGRAPH = 1, 2
 PARAGRAPH_TAGS = frozenset("p blockquote pre".split())
-
-
-def _purpose(tag: str, attrs: str, within: int, in_article: bool, nested: bool) -> int:
+#: Elements that may stand round a whole page for technical reasons.
+FORM_TAGS = frozenset("form fieldset".split())
+
+
+def _told(names: set[str]) -> set[str]:
+    """The words of names (class, id, role) that tell what an element is for; sideBar is a sidebar, too."""
+    words: set[str] = set()
+    for name in names:
+        for parts in (_WORD_PARTS.findall(name), re.findall(r"[A-Za-z0-9]+", name)):
+            parts = [w.lower() for w in parts]
+            tail = len(parts)
+            while tail > 1 and (parts[tail - 1] in BOX_WORDS or parts[tail - 1].isdigit()):
+                tail -= 1
+            for i, word in enumerate(parts):
+                if (i and parts[i - 1] in MODIFIERS) or (word in AMBIGUOUS and i != tail - 1):
+                    continue
+                words.add(word)
+    return words
+
+
+def _purpose(tag: str, attrs: str, within: int, in_article: bool, nested: bool, wraps: bool) -> int:
     """What an element is for, by its name, its class, id and role, and what it stands in.
 
     nested: whether it stands in an article element. An article in another, or in an aside, is a comment or a teaser.
+    wraps: whether the page's article, or most of a page that marks none, stands in it; then it isn't furniture by name.
     """
-    if within == CLOSED or tag in ASIDE_TAGS or (tag == "article" and nested):
+    if within == CLOSED or (tag in ASIDE_TAGS and not (wraps and tag in FORM_TAGS)) or (tag == "article" and nested):
         return CLOSED
     if tag == "header" and not in_article:
         return FURNITURE
     names: set[str] = set()
+    anchors: set[str] = set()
     if attrs and tag not in ("html", "body", "a"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id", "role"):
+            if name == "id" and in_article and tag in ANCHOR_TAGS:
+                anchors.add(value.lower())
+            elif name in ("class", "id", "role"):
                 names.update(x for x in value.split() if not x.lower().startswith(SUBJECT_PREFIXES))
             elif name in ("hidden", "aria-hidden") and value.lower() != "false":
                 return CLOSED
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return CLOSED
-    words = {x.lower() for x in names}
-    if tag not in MAIN_TAGS:  # an article's own names count whole, others by their parts; sideBar is a sidebar, too
-        for x in names:
-            words.update(w.lower() for w in _WORD_PARTS.findall(x))
-            words.update(re.findall(r"[a-z0-9]+", x.lower()))
-    if words & COMMENT_WORDS:
+    # an article's own names count whole, others by their parts
+    words = {x.lower() for x in names} if tag in MAIN_TAGS else _told(names)
+    if words & COMMENT_WORDS or anchors & SURE_COMMENTS:
         return CLOSED
-    if words & (ASIDE_WORDS - ARTICLE_HEAD if in_article or tag in MAIN_TAGS else ASIDE_WORDS):
+    if words & (ASIDE_WORDS - ARTICLE_HEAD if in_article or tag in MAIN_TAGS else ASIDE_WORDS) and not wraps:
         return FURNITURE
     if tag in MAIN_TAGS or (tag in ("div", "section", "td") and words & MAIN_WORDS and within != FURNITURE):
         return MAIN
     return within
 
 
-def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """Flat text blocks in page order: text, words, words in links, purpose, form."""
-    out: list[tuple[str, int, int, int, int]] = []
-    parts: list[str] = []
-    linked: list[str] = []
+class _Page:
+    """Elements of a page in the order in which they open (so a parent is before its children), and its flat blocks."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, str, int, bool, bool]] = []  # tag, attributes, parent, in an article or main, in an article
+        self.blocks: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # pieces (text, element, linked), element, form
+
+    def purposes(self) -> list[int]:
+        """What each element is for. Beforehand it is known how many words stand in each, and whether an article does."""
+        n = len(self.elements)
+        words, main = [0] * n, [False] * n
+        for pieces, _, _ in self.blocks:
+            for piece, element, linked in pieces:
+                if element >= 0 and not linked:
+                    words[element] += len(piece.split())
+        total = sum(words) + sum(len(piece.split()) for pieces, _, _ in self.blocks for piece, e, linked in pieces if e < 0 and not linked)
+        for i in range(n - 1, -1, -1):
+            tag, _, parent, _, _ = self.elements[i]
+            main[i] |= tag in MAIN_TAGS
+            if parent >= 0:
+                words[parent] += words[i]
+                main[parent] |= main[i]
+        marked = any(main)
+        found: list[int] = []
+        for i, (tag, attrs, parent, in_article, nested) in enumerate(self.elements):
+            most = 2 * words[i] > total if tag in FORM_TAGS else 5 * words[i] > 4 * total
+            wraps = not in_article and tag not in MAIN_TAGS and ((main[i] and tag in FORM_TAGS) if marked else most)
+            found.append(_purpose(tag, attrs, found[parent] if parent >= 0 else PLAIN, in_article, nested, wraps))
+        return found
+
+
+def _parsed(page: str) -> _Page:
+    done = _Page()
+    pieces: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
     articles = nested = links = 0
@@ -107,22 +182,14 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     raw = ""
 
     def put(piece: str) -> None:
-        inline = stack and stack[-1][0] not in BLOCK_TAGS and stack[-1][0] not in HEAD_TAGS
-        if piece and not (inline and stack[-1][1] >= FURNITURE):  # a button or a marked span inside a block
-            piece = html.unescape(piece)
-            parts.append(piece)
-            if links:
-                linked.append(piece)
+        if piece:
+            pieces.append((html.unescape(piece), stack[-1][1] if stack else -1, links > 0))
 
     def close() -> None:
-        if parts:
-            words = "".join(parts).split()
-            if words:
-                name, purpose = stack[-1] if stack else ("", PLAIN)
-                form = PARAGRAPH if name in PARAGRAPH_TAGS else heading
-                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), min(purpose, FURNITURE), form))
-            parts.clear()
-            linked.clear()
+        if pieces:
+            name, element = stack[-1] if stack else ("", -1)
+            done.blocks.append((pieces.copy(), element, PARAGRAPH if name in PARAGRAPH_TAGS else heading))
+            pieces.clear()
 
     at = 0
     while at < len(page):
@@ -143,9 +210,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if not tag:
             continue
         if tag == "br":
-            parts.append(" ")
-            if links:
-                linked.append(" ")
+            put(" ")
             continue
         if tag in RAW_TAGS:
             if not found[1] and not found[3].rstrip().endswith("/"):
@@ -164,15 +229,13 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag == "hr":
             continue
         if not found[1]:
-            within = stack[-1][1] if stack else PLAIN
             while tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
                 opened["p"] -= 1
-                within = stack[-1][1] if stack else PLAIN
-            purpose = _purpose(tag, found[3], within, articles > 0, nested > 0)
+            done.elements.append((tag, found[3], stack[-1][1] if stack else -1, articles > 0, nested > 0))
             articles += tag in MAIN_TAGS
             nested += tag == "article"
-            stack.append((tag, purpose))
+            stack.append((tag, len(done.elements) - 1))
             opened[tag] += 1
         elif opened[tag]:
             while stack:
@@ -183,32 +246,56 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 if name == tag:
                     break
     close()
+    return done
+
+
+def says(text: str, words: int) -> int:
+    """1 for the label of an advert or a button and for a line of rights, whole blocks only, otherwise 0."""
+    if words <= 4 and text.strip(" .:!|-").lower() in LABELS:
+        return 1
+    return int(words <= RIGHTS_WORDS and bool(_RIGHTS.match(text)))
+
+
+def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """Flat text blocks in page order: text, words, words in links, purpose, form, what it says."""
+    done = _parsed(page)
+    purposes = done.purposes()
+    out = []
+    for pieces, element, form in done.blocks:
+        # a button or a marked span inside a block isn't its text
+        held = [(piece, linked) for piece, e, linked in pieces if e < 0 or done.elements[e][0] in BLOCK_TAGS or done.elements[e][0] in HEAD_TAGS or purposes[e] < FURNITURE]
+        words = "".join(piece for piece, _ in held).split()
+        if words:
+            text = " ".join(words)
+            in_links = len(" ".join(piece for piece, linked in held if linked).split())
+            purpose = min(purposes[element], FURNITURE) if element >= 0 else PLAIN
+            out.append((text, len(words), min(len(words), in_links), purpose, form, says(text, len(words))))
     return out
 
 
 FEATURES = (
     "words", "link_density", "purpose", "form", "words_before", "link_density_before", "words_after", "link_density_after",
-    "main_elsewhere",
+    "main_elsewhere", "says",
 )
 
 
-def features(found: list[tuple[str, int, int, int, int]]) -> list[tuple[float, ...]]:
+def features(found: list[tuple[str, int, int, int, int, int]]) -> list[tuple[float, ...]]:
     """A row of FEATURES for each block; a missing neighbour has no words and is all link."""
     main = float(any(b[3] == MAIN for b in found))
     dense = [b[2] / b[1] for b in found]
     rows = []
-    for i, (_, words, _, purpose, form) in enumerate(found):
+    for i, (_, words, _, purpose, form, said) in enumerate(found):
         before = (found[i - 1][1], dense[i - 1]) if i else (0, 1.0)
         after = (found[i + 1][1], dense[i + 1]) if i + 1 < len(found) else (0, 1.0)
-        rows.append((words, dense[i], purpose, form, *before, *after, main))
+        rows.append((words, dense[i], purpose, form, *before, *after, main, said))
     return rows
 
 
-# The small labelled table. Each row: FEATURES in their order, then 1 for main text and 0 for the rest.
+# The small labelled table, of blocks that say nothing of themselves. Each row: FEATURES in their order but the last, then 1 for main text and 0 for the rest.
 # Inside an article (purpose 1) blocks of any length are text, unless they are link lists; furniture (purpose 2) never
 # is; elsewhere long blocks with few links are, and so are headings and short blocks between such blocks, when the
 # page marks no article.
-LABELLED = (
+_SILENT = (
     # words, link, purpose, form, before, link, after, link, main elsewhere, label
     (1, 0.0, 1, 0, 0, 1.0, 40, 0.0, 1, 1), (2, 0.0, 1, 1, 8, 0.0, 2, 0.0, 1, 1), (9, 0.0, 1, 1, 4, 1.0, 60, 0.0, 1, 1),
     (3, 0.0, 1, 0, 90, 0.0, 12, 0.0, 1, 1), (25, 0.0, 1, 0, 9, 0.0, 80, 0.0, 1, 1), (80, 0.1, 1, 0, 25, 0.0, 6, 0.2, 1, 1),
@@ -253,6 +340,14 @@ LABELLED = (
     (24, 0.35, 0, 0, 40, 0.0, 30, 0.0, 0, 1), (30, 0.4, 0, 0, 55, 0.1, 60, 0.0, 0, 1), (26, 0.38, 0, 0, 70, 0.0, 25, 0.1, 0, 1),
     (33, 0.0, 0, 0, 60, 0.0, 2, 0.0, 1, 0), (9, 0.0, 0, 1, 12, 0.0, 50, 0.0, 1, 0), (70, 0.0, 0, 0, 0, 1.0, 40, 0.0, 1, 0),
 )
+# Blocks whose words are those of a button, an advert's label or a line of rights.
+_SAYING = (
+    (1, 0.0, 1, 1, 40, 0.0, 60, 0.0, 1, 0), (2, 1.0, 1, 0, 80, 0.0, 30, 0.0, 1, 0), (2, 1.0, 1, 1, 30, 0.0, 0, 1.0, 1, 0),
+    (8, 0.0, 1, 1, 50, 0.0, 0, 1.0, 1, 0), (12, 0.0, 0, 1, 60, 0.0, 0, 1.0, 0, 0), (18, 0.1, 0, 0, 40, 0.0, 4, 1.0, 0, 0),
+    (1, 0.0, 0, 1, 60, 0.0, 50, 0.0, 0, 0), (3, 0.0, 0, 1, 30, 0.0, 20, 0.0, 0, 0), (2, 0.0, 1, 1, 70, 0.0, 90, 0.0, 1, 0),
+    (25, 0.0, 0, 0, 90, 0.0, 0, 1.0, 0, 0), (4, 1.0, 1, 0, 12, 0.0, 20, 0.0, 1, 0), (6, 0.0, 0, 1, 3, 0.0, 0, 1.0, 0, 0),
+)
+LABELLED = tuple((*r[:-1], 0, r[-1]) for r in _SILENT) + tuple((*r[:-1], 1, r[-1]) for r in _SAYING)
 
 
 def grow(rows: list[tuple[float, ...]], least: int = 1):
