@@ -9,7 +9,8 @@ Text is lower-cased, runs of other characters than letters and marks become one
 UTF-8, so every letter of every script is told apart.  A text is parsed whole, as one sequence of phrases.  To advance
 many places in step, one table lookup a byte, it is cut into blocks that are parsed as if a phrase began there; then each
 block is parsed again from the state that the block before ends in, until both parses are in one state, from where on
-they are the same.  The result doesn't depend on the size of the blocks.
+they are the same.  Texts that repeat themselves may never get in step; after a few rounds they are parsed in order, so the
+time is linear in the length of any text.  The result depends neither on the size of the blocks nor on the rounds.
 
 Learning takes a bounded sample of rows: SLOTS labelled documents a language, chosen by hashes of their ids, whole texts;
 documents of more than LONG characters only where a slot has no other.  More than MOST_LANGUAGES labels raise an error.
@@ -38,6 +39,8 @@ SLOTS = 16
 LONG = 8_000
 MOST_LANGUAGES = 256
 BLOCK = 1024
+#: Rounds in which blocks are brought in step side by side; what is in doubt afterwards is parsed in order.
+ROUNDS = 8
 _BATCH_CHARS = 1 << 20
 
 
@@ -145,7 +148,9 @@ class Parser:
         column[order] = np.arange(len(owner))
         first, last, extra = end[:, column], end[:, column], np.zeros((k, len(owner)), np.int32)
         lang, block = (x.ravel() for x in np.meshgrid(np.arange(k), np.flatnonzero(place > 0), indexing="ij"))
-        while len(block):  # from where the block before ends, next to the parse from the root, until they meet
+        rounds = 0
+        while len(block) and rounds < ROUNDS:  # from where the block before ends, next to the parse from the root, until they meet
+            rounds += 1
             real, other, more, at = last[lang, block - 1], root[lang], np.zeros(len(block), np.int32), np.arange(len(block))
             for t in range(len(steps)):
                 at = at[(real[at] != other[at]) & (t < lengths[block[at]])]
@@ -164,6 +169,20 @@ class Parser:
             lang, block = lang[moved], block[moved] + 1
             inner = place[block] > 0
             lang, block = lang[inner], block[inner]
+        table = memoryview(self.table)
+        open_ = {}  # texts that repeat themselves may never get in step; they are parsed in order from the first block in doubt
+        for g, b in zip(lang.tolist(), block.tolist()):
+            open_[g, owner[b]] = min(b, open_.get((g, owner[b]), b))
+        for (g, i), b in open_.items():
+            real = int(last[g, b - 1])
+            while b < len(owner) and owner[b] == i:
+                n = 0
+                for s in steps[:lengths[b], column[b]].tolist():
+                    got = table[real + s]
+                    n += got & 1
+                    real = got >> 1
+                extra[g, b] = n - count[g, column[b]]
+                b += 1
         total = count[:, column] + extra
         return np.add.reduceat(total, np.cumsum(blocks) - blocks, axis=1) + 1  # the last phrase has no end
 
