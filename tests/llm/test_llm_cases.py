@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,7 @@ from tarnwell.llm import chat_format, decontaminate, html_blocks, jaccard, langi
 from tarnwell.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, label string, grp int, words string, e int"
+TOLD = " ".join(["words of an article that are enough to be told as text by their number"] * 3)
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron", "en", "a", 1, 1, 1, "l", 1, "w", 1),
@@ -70,6 +72,23 @@ def test_pages(spark):
         ("<div class='siteHeader banner'><article><p>in a box by mistake</p></article></div>", "in a box by mistake"),
         ("<article><p>text</p><aside><p>aside</p></aside><footer><p>by me</p></footer><p>more</p></article>", "text\nmore"),
         ("<div class='cookie-notice'>" + "we use cookies " * 20 + "</div><article><p>short</p></article>", "short"),
+        ('<form id="aspnetForm"><article><h1>T</h1><p>a b c</p></article></form>', "T\na b c"),
+        (f'<form id="aspnetForm"><div id="x"><p>{TOLD}</p><p>{TOLD}</p></div></form>', f"{TOLD}\n{TOLD}"),
+        (f'<p>{TOLD}</p><form><p>{TOLD[:50]}</p></form>', TOLD),
+        (f'<article><p>{TOLD}</p><form action=x><p>{TOLD} {TOLD} {TOLD}</p></form></article>', TOLD),
+        (f'<div class="page-with-sidebar"><p>{TOLD}</p></div>', TOLD),
+        (f'<div class="layout"><div class="sidebar"><p>short side text</p></div><div class="main"><p>{TOLD}</p></div></div>', TOLD),
+        (f'<div id="social-network-history"><p>{TOLD}</p></div>', TOLD),
+        ('<article><h2 id="related-work">Related work</h2><p>x y</p></article>', "Related work\nx y"),
+        ('<article><section id="search"><h2>Search</h2><p>x y</p></section></article>', "Search\nx y"),
+        ('<article><section id="response"><p>x y</p></section></article>', "x y"),
+        ('<article><div class="notice-board"><p>x y</p></div></article>', "x y"),
+        (f'<article><p>{TOLD}</p><section id="comments"><p>nice one</p></section></article>', TOLD),
+        (f'<article><p>{TOLD}</p><div class="related-posts"><p>more</p></div><div class="notice">n</div><div class="search-box">q</div></article>', TOLD),
+        (f'<p>{TOLD}</p><div id="comments"><p>{TOLD}</p><p>{TOLD}</p><p>{TOLD}</p></div>', TOLD),
+        ("<article><p>x y</p><a href=u>Share this</a><p>Advertisement</p><p>z</p></article>", "x y\nz"),
+        (f"<div><p>{TOLD}</p><p>Copyright 2024 Foo Inc. All rights reserved.</p></div>", TOLD),
+        ("<article><p>Advertisement as a trade</p><p>Copyright law of 2024 is told here.</p></article>", "Advertisement as a trade\nCopyright law of 2024 is told here."),
     ],
 )
 def test_page_layouts(page, text):
@@ -219,6 +238,36 @@ def test_suffix_automaton_phrases(monkeypatch, block):
         assert got[k].tolist() == [longest_matches(known, x.tobytes()) for x in symbols]
 
 
+@pytest.mark.parametrize("block, rounds", [(3, 0), (3, 2), (16, 8), (1024, 1)])
+def test_phrases_of_periodic_texts(monkeypatch, block, rounds):
+    """Texts whose blocks never get in step, beside ordinary ones."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "ROUNDS", rounds)
+    rng = random.Random(5)
+    learnt = {"x": "a" * 50 + " abc" * 9, "y": "".join(rng.choice("abcd ") for _ in range(400)), "z": "dcb" * 7}
+    parser = langid.Parser(learnt)
+    texts = ["a" * 3001, "abc" * 700, "a" * 60 + "ab" * 900, "".join(rng.choice("abcde ") for _ in range(2500)), "b", "dcb" * 999 + "a"]
+    got = parser.phrases([langid.normalised(x) for x in texts])
+    for k, name in enumerate(parser.languages):
+        known = langid.normalised(learnt[name]).tobytes()
+        assert got[k].tolist() == [longest_matches(known, langid.normalised(x).tobytes()) for x in texts]
+
+
+def test_periodic_texts_take_linear_time():
+    parser = langid.Parser({"x": "a" * 700 + " some words", "y": "aaab other words " * 30})
+    seconds = []
+    for size in (100_000, 800_000):
+        begin = time.process_time()
+        parser.predict(["a" * size])
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 24 * max(seconds[0], 0.1)  # quadratic: 64 times
+
+
+def test_languages_tie():
+    """Equal automata: the first in alphabetical order, score 0."""
+    assert langid.Parser({"b": "one two", "a": "one two"}).predict(["one two three"])[0][:2] == ("a", 0.0)
+
+
 def test_language_learns_whole_texts(spark):
     """A language that begins late in its only document, marks without a letter, no labels, too many labels, ids of many rows."""
     late = "xx " * 3000 + "quick brown foxes jump over lazy dogs " * 20
