@@ -16,7 +16,7 @@ from tarnwell.operators import retrieval as R
 from tarnwell.operators.quantiles import quantiles, summary
 from tarnwell.sources import stores
 from tarnwell.sources.shared import new_path
-from tarnwell.streaming import windows
+from tarnwell.streaming import stateful, windows
 
 from .registry import query, table
 from .retrieval_queries import _BASE, _REL, _SHORT, _TFIDF, _pools, _strategy_sql, first_relevant_rank, ranks_of
@@ -287,6 +287,61 @@ def completed_only(spark, d):
     return log(spark, d).join(done, "user_id", "left_semi").select("event_id", "user_id")
 
 
+# -- keyed state: the log replayed as a stream; a user's week is a request, and a view a heartbeat of the server's own ------------------
+
+#: Seconds: until the first delta, between events, between heartbeats, the wait before the second attempt and the longest wait.
+_FIRST, _IDLE, _BEAT, _BASE_WAIT, _MOST_WAIT, _ATTEMPTS = 43_200, 28_800, 3600, 600, 1800, 3
+_WEEK = 604_800
+
+_STREAMS = f"""WITH k AS (SELECT concat(user_id, '-', floor(epoch(ts))::BIGINT // {_WEEK}) AS request_id, epoch_us(ts) AS us, event_id AS id, {_KIND} AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL),
+c AS (SELECT * FROM k UNION ALL SELECT DISTINCT request_id, 9000000000000000, NULL::BIGINT, 'end' FROM k),
+w AS (SELECT *, coalesce(count_if(e = 'delta') OVER p, 0)::BIGINT AS deltas, coalesce(count_if(e = 'error') OVER p, 0)::BIGINT AS errors, max(CASE WHEN e = 'error' THEN us END) OVER p AS failed_at, min(CASE WHEN e = 'delta' THEN us END) OVER p AS told,
+ lag(us) OVER o AS prior, min(us) OVER (PARTITION BY request_id) AS begun FROM c WINDOW o AS (PARTITION BY request_id ORDER BY us, id), p AS (PARTITION BY request_id ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, CASE WHEN deltas > 0 THEN prior + {_IDLE}000000 WHEN errors > 0 THEN failed_at + least({_BASE_WAIT} * pow(2, errors - 1), {_MOST_WAIT})::BIGINT * 1000000 + {_FIRST}000000 ELSE begun + {_FIRST}000000 END AS due,
+ sum(coalesce(us - prior, 0) // {_BEAT}000000) OVER (PARTITION BY request_id ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beats FROM w),
+v AS (SELECT *, CASE WHEN prior IS NOT NULL AND due < us THEN CASE WHEN deltas > 0 THEN 'idle_timeout' ELSE 'first_token_timeout' END WHEN e = 'done' THEN 'completed' WHEN e = 'error' AND (deltas > 0 OR errors >= {_ATTEMPTS} - 1) THEN 'failed' END AS outcome FROM d),
+f AS (SELECT *, CASE WHEN outcome LIKE '%timeout' THEN due ELSE us END AS ended FROM v WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY us, id) = 1)
+SELECT request_id, outcome, begun AS begin_us, ended AS ended_us, errors + 1 AS attempts, deltas AS n_deltas, told - begun AS ttft_us, (coalesce(beats, 0) + greatest(coalesce(ended - prior, 0), 0) // {_BEAT}000000)::BIGINT AS n_heartbeats FROM f"""
+
+
+@query("guarded_streams", _STREAMS)
+def guarded_streams(spark, d):
+    us = 1_000_000
+    guard = stateful.StreamGuard(_FIRST * us, _IDLE * us, _BEAT * us, _ATTEMPTS, _BASE_WAIT * us, _MOST_WAIT * us, keep=10 * _WEEK * us)
+    request = F.concat_ws("-", "user_id", F.floor(E.seconds() / _WEEK))
+    request = F.when(F.col("user_id").isNotNull(), request)
+    return stateful.replay(stateful.rows_of(log(spark, d), request, F.expr(_KIND)), guard, after=_FIRST + _MOST_WAIT + 60)
+
+
+@query("persisted_streams", f"SELECT request_id, attempts, n_deltas FROM ({_STREAMS}) WHERE outcome = 'completed'")
+def persisted_streams(spark, d):
+    """Only completed streams are kept."""
+    return guarded_streams(spark, d).where("outcome = 'completed'").select("request_id", "attempts", "n_deltas")
+
+
+_TTL = 172_800
+
+
+@query("cache_outcomes", f"""WITH RECURSIVE a AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS s, event_type <> 'error' AS finds, event_type = 'signup' AS bump,
+ count_if(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL),
+asks AS (SELECT *, {{'us': us, 'id': id}} AS place FROM a WHERE NOT bump),
+w AS (SELECT user_id, version, s, min(place) AS place FROM asks WHERE finds GROUP BY ALL
+ UNION ALL SELECT w.user_id, w.version, w.s, min(k.place) FROM w JOIN asks k ON k.user_id = w.user_id AND k.version = w.version AND k.s IS NOT DISTINCT FROM w.s AND k.finds AND k.us >= w.place.us + {_TTL}000000 GROUP BY ALL)
+SELECT k.user_id, k.id AS event_id, CASE WHEN count(w.place) > 0 THEN 'hit' ELSE 'miss' END AS outcome FROM asks k LEFT JOIN w ON k.user_id = w.user_id AND k.version = w.version AND k.s IS NOT DISTINCT FROM w.s AND w.place < k.place AND k.us - w.place.us < {_TTL}000000 GROUP BY ALL""")
+def cache_outcomes(spark, d):
+    """Requests of a user's cache: the subject is a number of props; a signup makes a new version, an error finds nothing."""
+    kind = F.when(F.col("event_type") == "signup", "bump").when(F.col("event_type") == "error", "empty").otherwise("ask")
+    subject = F.get_json_object("props", "$.k").cast("long") % 5
+    found = stateful.replay(stateful.rows_of(log(spark, d), F.col("user_id"), kind, subject), stateful.TtlCache(_TTL * 1_000_000), after=60)
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "outcome")
+
+
+@query("rate_limit_stream", "WITH s AS (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL), r AS (SELECT *, sec // 86400 AS bucket, row_number() OVER (PARTITION BY user_id, sec // 86400 ORDER BY ts, event_id) AS nth FROM s) SELECT event_id, user_id, nth <= 2 AS allowed, greatest(2 - nth, 0) AS remaining, CASE WHEN nth <= 2 THEN 0 ELSE greatest((bucket + 1) * 86400 - sec, 1) END AS retry_after FROM r")
+def rate_limit_stream(spark, d):
+    found = stateful.replay(stateful.rows_of(log(spark, d), F.col("user_id"), F.col("event_type")), stateful.RateLimiter(2, 86400), after=60)
+    return found.select(F.col("id").alias("event_id"), F.col("key").cast("long").alias("user_id"), "allowed", "remaining", "retry_after")
+
+
 @query("adjacent_dups", "SELECT user_id, count_if(dup)::BIGINT AS n_dups FROM (SELECT user_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dup FROM events) GROUP BY 1")
 def adjacent_dups(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -13,8 +13,11 @@ def rate_limit_windows(stream: DataFrame, limit: int, seconds: int = 60, late: s
 
 
 def first_token(stream: DataFrame, late: str = "10 minutes", span: str = "10 minutes") -> DataFrame:
-    """request_id, window, ttft_ms: from a request's first event to its first delta. stream: request_id, event, ts."""
-    rows = stream.withWatermark("ts", late).groupBy("request_id", F.window("ts", span))
+    """request_id, window, ttft_ms: from a request's first event to its first delta. stream: request_id, event, ts.
+
+    A request lasts until nothing has come for ``span``; one that comes back later counts as another.
+    """
+    rows = stream.withWatermark("ts", late).groupBy("request_id", F.session_window("ts", span).alias("window"))
     return rows.agg(F.min("ts").alias("begin"), F.min(F.when(F.col("event") == "delta", F.col("ts"))).alias("first")).select(
         "request_id", "window", ((F.unix_micros("first") - F.unix_micros("begin")) / 1000).alias("ttft_ms")
     )
