@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LATIN = "[a-z0-9][a-z0-9._+#/:-]*"
 CJK = "[㐀-䶿一-鿿豈-﫿]"
 #: Python's str.strip() set that occurs in practice, for trim().
 BLANKS = " \t\n\r\x0b\x0c"
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+#: Code points that the compatibility form may change, alone or by what stands before them; all others stay as they are.
+UNSETTLED = "[\\x{A0}\\x{A8}\\x{AA}\\x{AF}\\x{B2}-\\x{B5}\\x{B8}-\\x{BA}\\x{BC}-\\x{BE}\\x{132}-\\x{3040}\\x{3097}-\\x{33FF}\\x{A640}-\\x{ABFF}\\x{D7B0}-\\x{10FFFF}]"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Full compatibility form; for text that has more than full-width forms to fold."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form, by the JVM; texts without an UNSETTLED code point are passed through."""
+    formed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(UNSETTLED), formed).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
-    """Full-width forms to ASCII, then lower case. Texts without such forms are only lower-cased."""
-    return F.lower(F.when(text.rlike("[！-～　]"), F.translate(text, _WIDE, _NARROW)).otherwise(text))
+    """The compatibility form in lower case."""
+    return F.lower(nfkc(text))
 
 
 def strip(text: Column) -> Column:

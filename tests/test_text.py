@@ -1,5 +1,7 @@
 """Known answers of the text functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,20 @@ def test_nfkc_folds_ligatures(spark):
     assert one(spark, T.nfkc(F.col("s")), s="ﬁne①") == "fine1"
 
 
+def test_nfkc_of_all_code_points(spark):
+    """Every assigned code point alone, after a letter, and before marks and jamo that compose with it; null and empty text."""
+    points = [p for p in range(1, 0x110000) if unicodedata.category(chr(p)) not in ("Cn", "Cs")]
+    texts = [f"a{chr(p)}" for p in points] + [chr(p) for p in points if not 0xE000 <= p < 0xF900 and p < 0xF0000]
+    texts += [f"{chr(p)}{m}" for p in range(0x20, 0x3200) if chr(p).isprintable() for m in "\u0301\u0308\u0327\u3099\u11a8"] + [f"{chr(p)}\u11a8" for p in range(0xAC00, 0xD7A4, 7)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfkc(F.col("t")).alias("n"))
+    assert [(r.t, r.n) for r in frame.collect() if r.n != (None if r.t is None else unicodedata.normalize("NFKC", r.t))] == []
+
+
+def test_tokens_of_compatibility_forms(spark):
+    assert one(spark, T.tokenize(F.col("s")), s="ﬁne ① ㎏ ＡＢ") == ["fine", "1", "kg", "ab"]
+    assert one(spark, T.normalize(F.col("s")), s="ｶﾞ Ⅷ e\u0301") == "ガ viii é"
+
+
 def test_four_cjk_characters_give_four_unigrams_and_three_bigrams(spark):
     assert one(spark, T.cjk_tokens(F.col("s")), s="文档切分") == ["文", "档", "切", "分", "文档", "档切", "切分"]
 
