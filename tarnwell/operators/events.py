@@ -135,11 +135,12 @@ def sign_test(diffs: DataFrame) -> DataFrame:
     """up, down, p: exact two-sided binomial test of the signs. diffs: diff."""
     counts = diffs.agg(F.count_if(F.col("diff") > 0).alias("up"), F.count_if(F.col("diff") < 0).alias("down"))
     n, least = F.col("up") + F.col("down"), F.least("up", "down")
-    start = F.struct(F.pow(F.lit(0.5), n).alias("p"), F.pow(F.lit(0.5), n).alias("total"))
+    # in logarithms, as 0.5^n is no double beyond about 1,000 signs
+    start = F.struct((n * F.log(F.lit(0.5))).alias("log"), F.pow(F.lit(0.5), n).alias("total"))
 
     def step(acc: Column, i: Column) -> Column:
-        p = acc["p"] * (n - i + 1) / i
-        return F.struct(p.alias("p"), (acc["total"] + p).alias("total"))
+        log = acc["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (acc["total"] + F.exp(log)).alias("total"))
 
     steps = F.when(least >= 1, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<long>"))
     p = F.when(n == 0, 1.0).otherwise(F.least(2 * F.aggregate(steps, start, step, lambda acc: acc["total"]), F.lit(1.0)))

@@ -436,9 +436,9 @@ def paired_bootstrap(spark, d):
     return E.bootstrap(_diffs(spark, d))
 
 
-@query("sign_test", f"WITH {_SHORT}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) SELECT count_if(diff > 0)::BIGINT AS up, count_if(diff < 0)::BIGINT AS down FROM j")
+@query("sign_test", f"WITH {_SHORT}, {_TFIDF}, {_strategy_sql('bm25', 'ranked', 'a')}, {_strategy_sql('dense', 'dense', 'b')}, j AS (SELECT coalesce(1 / fr_a.first_rank, 0) - coalesce(1 / fr_b.first_rank, 0) AS diff FROM fr_a JOIN fr_b USING (query_id) WHERE fr_a.answerable) , c AS (SELECT count_if(diff > 0)::BIGINT AS up, count_if(diff < 0)::BIGINT AS down, up + down AS n FROM j) SELECT up, down, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(up, down) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 6) AS p FROM c")
 def sign_test(spark, d):
-    return E.sign_test(_diffs(spark, d)).select("up", "down")
+    return E.sign_test(_diffs(spark, d))
 
 
 @query("scan_text")

@@ -1,5 +1,6 @@
 """Ranking, fusion, chunking and statistics against known answers and plain Python."""
 
+import math
 import random
 
 import pytest
@@ -192,6 +193,14 @@ def test_sign_test(spark):
     assert (r.up, r.down, r.p) == (8, 2, round(2 * sum(comb(10, i) for i in range(3)) / 2**10, 6))
 
 
+@pytest.mark.parametrize("up, down", [(1600, 1600), (1700, 1500), (0, 0), (3, 0), (2000, 10)])
+def test_sign_test_of_many_signs(spark, up, down):
+    n = up + down
+    exact = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(up, down) + 1)) / 2**n)
+    rows = spark.range(n).select(F.when(F.col("id") < up, 1.0).otherwise(-1.0).alias("diff"))
+    assert E.sign_test(rows).first().p == pytest.approx(exact, abs=1e-6)
+
+
 def test_bootstrap(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([0.5] * 30 + [-0.1] * 10)], "id int, diff double")
     r = E.bootstrap(rows, 400).first()
