@@ -14,6 +14,7 @@ from tarnwell.functions import text as T
 from tarnwell.operators import events as E
 from tarnwell.operators import retrieval as R
 from tarnwell.operators.quantiles import quantiles, summary
+from tarnwell.operators.sessions import SessionStore
 from tarnwell.sources import stores
 from tarnwell.sources.shared import new_path
 from tarnwell.streaming import stateful, windows
@@ -204,6 +205,35 @@ def qa_pairs(spark, d):
     return E.question_answers(turns(spark, d))
 
 
+#: Changes of session tables: a user's turn is a turn, another role's opens the session, every seventh session is deleted at its third turn.
+_CHANGES = """c AS (SELECT concat('s', conv_id) AS session_id, turn, text, role, CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN 'delete' WHEN role = 'user' THEN 'turn' ELSE 'open' END AS op, 60 * turn + conv_id % 50 AS at
+ FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+cut AS (SELECT session_id, max(turn) AS cut FROM c WHERE op = 'delete' GROUP BY 1), live AS (SELECT c.* FROM c LEFT JOIN cut USING (session_id) WHERE cut IS NULL OR turn > cut)"""
+
+
+def session_store(spark, d) -> SessionStore:
+    """The store after three batches of changes, the second of them sent twice."""
+    op = F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 2), "delete").when(F.col("role") == "user", "turn").otherwise("open")
+    rows = turns(spark, d).select(
+        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), op.alias("op"), F.timestamp_seconds(60 * F.col("turn") + F.col("conv_id") % 50).alias("at"), F.col("turn").alias("id"),
+        F.col("text").alias("question"), F.col("role").alias("answer"), F.lit("rag").alias("mode"),
+    )
+    store = SessionStore.create(spark, new_path(spark, "sessions"))
+    for batch, part in enumerate(("id < 2", "id between 2 and 3", "id between 2 and 3", "id > 3")):
+        store = store.apply(rows.where(part), "log", max(batch - 1, 0) if batch > 1 else batch)
+    return store
+
+
+@query("session_tables", f"WITH {_CHANGES} SELECT session_id, min(at)::BIGINT AS created_s, coalesce(max(CASE WHEN op = 'turn' THEN at END), min(at))::BIGINT AS updated_s FROM live GROUP BY 1")
+def session_tables(spark, d):
+    return session_store(spark, d).sessions().select("session_id", F.unix_timestamp("created_at").alias("created_s"), F.unix_timestamp("updated_at").alias("updated_s"))
+
+
+@query("session_turns", f"WITH {_CHANGES} SELECT session_id, turn AS id, at::BIGINT AS at_s, coalesce(text, '') AS question, coalesce(role, '') AS answer, 'rag' AS mode FROM live WHERE op = 'turn'")
+def session_turns(spark, d):
+    return session_store(spark, d).turns().select("session_id", "id", F.unix_timestamp("at").alias("at_s"), "question", "answer", "mode")
+
+
 # -- request log ------------------------------------------------------------------------------------------------------
 
 
