@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tarnwell.functions.text import normalize_mode, normalize_session
-from tarnwell.operators.segments import Conflict, Folder
+from tarnwell.sources.shared import Conflict, Folder
 
 FORMAT = 1
 #: Buckets of sessions, and parts of a bucket from which ``compact`` writes it anew.
@@ -72,7 +72,7 @@ class SessionStore:
             found = json.loads(folder.read(f"manifest/{names[-1]}")) if names else {}
         except ValueError:
             return None
-        return cls(spark, path, Manifest(**found)) if found and found.pop("format") == FORMAT else None
+        return cls(spark, path, Manifest(**found)) if found and found.pop("format", None) == FORMAT else None
 
     def _commit(self, manifest: Manifest) -> SessionStore:
         after = replace(manifest, generation=self.manifest.generation + 1)

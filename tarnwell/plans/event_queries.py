@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
+from tarnwell.functions.prompts import content_text
 from tarnwell.operators import events as E
 from tarnwell.operators import retrieval as R
 from tarnwell.operators.quantiles import quantiles, summary
@@ -206,7 +207,7 @@ def qa_pairs(spark, d):
 
 
 #: Changes of session tables: a user's turn is a turn, another role's opens the session, every seventh session is deleted at its third turn.
-_CHANGES = """c AS (SELECT concat('s', conv_id) AS session_id, turn, text, role, CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN 'delete' WHEN role = 'user' THEN 'turn' ELSE 'open' END AS op, 60 * turn + conv_id % 50 AS at
+_CHANGES = """c AS (SELECT concat('s', conv_id) AS session_id, turn, text, role, CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN 'delete' WHEN role = 'user' THEN 'turn' ELSE 'open' END AS op, 60 * turn + conv_id % 50 AS sec
  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 cut AS (SELECT session_id, max(turn) AS cut FROM c WHERE op = 'delete' GROUP BY 1), live AS (SELECT c.* FROM c LEFT JOIN cut USING (session_id) WHERE cut IS NULL OR turn > cut)"""
 
@@ -224,16 +225,27 @@ def session_store(spark, d) -> SessionStore:
     return store
 
 
-@query("session_tables", f"WITH {_CHANGES} SELECT session_id, min(at)::BIGINT AS created_s, coalesce(max(CASE WHEN op = 'turn' THEN at END), min(at))::BIGINT AS updated_s FROM live GROUP BY 1")
+@query("session_tables", f"WITH {_CHANGES} SELECT session_id, min(sec)::BIGINT AS created_s, coalesce(max(CASE WHEN op = 'turn' THEN sec END), min(sec))::BIGINT AS updated_s FROM live GROUP BY 1")
 def session_tables(spark, d):
     return session_store(spark, d).sessions().select("session_id", F.unix_timestamp("created_at").alias("created_s"), F.unix_timestamp("updated_at").alias("updated_s"))
 
 
-@query("session_turns", f"WITH {_CHANGES} SELECT session_id, turn AS id, at::BIGINT AS at_s, coalesce(text, '') AS question, coalesce(role, '') AS answer, 'rag' AS mode FROM live WHERE op = 'turn'")
+@query("session_turns", f"WITH {_CHANGES} SELECT session_id, turn AS id, sec::BIGINT AS at_s, coalesce(text, '') AS question, coalesce(role, '') AS answer, 'rag' AS mode FROM live WHERE op = 'turn'")
 def session_turns(spark, d):
     return session_store(spark, d).turns().select("session_id", "id", F.unix_timestamp("at").alias("at_s"), "question", "answer", "mode")
 
 
+@query("message_content", "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN concat(role, text) WHEN 2 THEN coalesce(text, '') ELSE '' END AS content FROM conversations")
+def message_content(spark, d):
+    """Texts sent as a string, a list, an object with and one without a text."""
+    rows = turns(spark, d)
+    as_json = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    listed = F.concat(F.lit("["), as_json("role"), F.lit(', {"type": "text", "text": '), as_json("text"), F.lit('}, {"type": "image"}, 5]'))
+    shape = F.col("conv_id") % 4
+    sent = F.when(shape == 0, as_json("text")).when(shape == 1, listed).otherwise(F.concat(F.when(shape == 2, '{"text": ').otherwise('{"other": '), as_json("text"), F.lit("}")))
+    return rows.select("conv_id", "turn", content_text(F.try_parse_json(sent)).alias("content"))
+
+
 # -- request log ------------------------------------------------------------------------------------------------------
 
 
@@ -484,3 +496,16 @@ def scan_csv_docs(spark, d):
     path = new_path(spark, "csv")
     table(spark, d, "benchmark").select("item_id", "text").write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
     return stores.read_csv_documents(spark, path).select("content")
+
+
+@query("detail_files", "SELECT event_id, event_type, CASE WHEN event_type = 'view' THEN json_extract_string(props, '$.k')::BIGINT END AS k, CASE WHEN event_type = 'purchase' THEN value END AS value FROM events")
+def detail_files(spark, d):
+    """Details with other keys by type, written as CSV files with the union of the keys and read back."""
+    pairs = lambda *p: F.create_map(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
+    kind = F.col("event_type")
+    more = F.when(kind == "view", pairs("k", F.get_json_object("props", "$.k"))).when(kind == "purchase", pairs("value", F.col("value"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = log(spark, d).select("event_id", F.map_concat(pairs("event_type", kind), more).alias("detail"))
+    path = new_path(spark, "details")
+    stores.write_details(rows, path, "detail", ("event_id",))
+    found = spark.read.option("header", "true").csv(path)
+    return found.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("k").cast("long").alias("k"), F.col("value").cast("double").alias("value"))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
+from tarnwell.functions.prompts import messages
 from tarnwell.operators import chunking
+from tarnwell.operators import events as E
 from tarnwell.operators import retrieval as R
 from tarnwell.operators.segments import SegmentedIndex
 from tarnwell.operators.vectors import VectorIndex
@@ -661,3 +663,26 @@ def build_context(spark, d):
     rows = idx.search(batch(spark, d), 4).join(idx.documents.select("doc_id", "text"), "doc_id")
     parts = F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("context"))
+
+
+#: The last turns of a session that a question is asked after.
+HISTORY = 10
+_QA = "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
+
+
+@query("prompt_messages", f"""WITH {_BASE}, ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN d USING (doc_id) WHERE rank <= 4 AND query_id % 5 <> 0 GROUP BY 1),
+qa AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM ({_QA})),
+hist AS (SELECT conv_id AS query_id, count(*) AS n, string_agg(concat('user: ', question, chr(10), 'assistant: ', answer, chr(10)), '' ORDER BY turn) AS said FROM qa WHERE back <= {HISTORY} GROUP BY 1)
+SELECT b.item_id AS query_id, 2 + 2 * coalesce(n, 0) AS n_messages, concat('system: ', CASE WHEN item_id % 3 = 1 THEN 'Talk.' ELSE 'Answer by the sources.' END, chr(10), said, 'user: ', CASE WHEN item_id % 3 = 1 THEN b.text ELSE concat('【参考资料】', chr(10), coalesce(context, '（未检索到知识库相关内容）'), chr(10), chr(10), '【用户问题】', chr(10), b.text) END) AS prompt
+FROM benchmark b LEFT JOIN ctx ON ctx.query_id = b.item_id LEFT JOIN hist ON hist.query_id = b.item_id""")
+def prompt_messages(spark, d):
+    """Each passage asked after the session of its number, with the texts found for it; every fifth finds nothing, every third is a chat."""
+    idx = index(spark, d)
+    rows = idx.search(batch(spark, d), 4).where("query_id % 5 <> 0").join(idx.documents.select("doc_id", "text"), "doc_id")
+    parts = F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t"))))
+    found = rows.groupBy("query_id").agg(F.transform(parts, lambda p: p["t"]).alias("sources"))
+    pairs = E.recent(E.question_answers(table(spark, d, "conversations")), HISTORY).groupBy(F.col("conv_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("history"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 1, "chat").otherwise("rag").alias("mode"))
+    all_ = asked.join(found, "query_id", "left").join(pairs, "query_id", "left")
+    made = all_.select("query_id", messages(F.col("question"), F.col("history"), F.col("sources"), F.col("mode"), "Answer by the sources.", "Talk.").alias("m"))
+    return made.select("query_id", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.sources import files
+from tarnwell.sources.shared import Folder
+
 #: Extensions that are read.
 EXTENSIONS = (".txt", ".md", ".csv")
 INDEX_VERSION = 1
@@ -19,9 +24,10 @@ def allowed(path: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
     return extension(path).isin(*extensions)
 
 
-def read_text(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
-    """source, content: each file is one document; source is the file's name."""
+def read_text(spark: SparkSession, path: str, glob: str = "*.{txt,md}", ordered: bool = False) -> DataFrame:
+    """source, content: each file is one document; source is the file's name. ``ordered``: by path."""
     rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    rows = rows.orderBy("_metadata.file_path") if ordered else rows
     return rows.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("content"))
 
 
@@ -39,6 +45,9 @@ def load_document(spark: SparkSession, path: str) -> DataFrame:
         return read_csv_documents(spark, path)
     if end in ("txt", "md"):
         return read_text(spark, path, f"*.{path.rpartition('.')[2]}")
+    if end == "docx":
+        files.register(spark)
+        return spark.read.format("docx").load(path)
     raise ValueError(f"no reader for .{end}")
 
 
@@ -68,8 +77,9 @@ def load_index(spark: SparkSession, path: str) -> DataFrame | None:
     return rows.drop("version")
 
 
-def write_details(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").csv(path)
+def write_details(rows: DataFrame, path: str, column: str | None = None, order: tuple[str, ...] = (), name: str = "evaluation_details") -> None:
+    """CSV files with a byte order mark; of a map column, the union of its keys in order of appearance (see ``files.spread``)."""
+    files.write_result(files.spread(rows, column, *order) if column else rows, path, name, bom=True, order=order)
 
 
 def write_summary(rows: DataFrame, path: str) -> None:
@@ -77,8 +87,17 @@ def write_summary(rows: DataFrame, path: str) -> None:
 
 
 def read_rounds(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Result files named <side>_r<round>_<scenario>.csv, with these parts as columns."""
-    rows = spark.read.schema(schema).option("header", "true").csv(path)
-    name = F.col("_metadata.file_name")
-    part = lambda i: F.regexp_extract(name, r"^([a-z]+)_r(\d+)_(.+)\.csv$", i)
+    """Result files named <side>_r<round>_<scenario>.csv in a folder, with these parts as columns; of each side and scenario, rounds from 1 to the first that is missing.
+
+    The files' names are listed by the driver: they are as many as there were test runs.
+    """
+    named = [m for m in (re.fullmatch(r"([a-z]+)_r([1-9]\d*)_(.+)\.csv", n) for n in Folder(spark, path).names("")) if m]
+    rounds: dict[tuple[str, str], set[int]] = {}
+    for m in named:
+        rounds.setdefault((m[1], m[3]), set()).add(int(m[2]))
+    kept = [m[0] for m in named if rounds[m[1], m[3]].issuperset(range(1, int(m[2])))]
+    if not kept:
+        return spark.createDataFrame([], f"{schema}, side string, round int, scenario string")
+    rows = spark.read.schema(schema).option("header", "true").csv([f"{path.rstrip('/')}/{n}" for n in kept])
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_name"), r"^([a-z]+)_r(\d+)_(.+)\.csv$", i)
     return rows.select("*", part(1).alias("side"), part(2).cast("int").alias("round"), part(3).alias("scenario"))

@@ -4,8 +4,8 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from tarnwell.operators.segments import Conflict
 from tarnwell.operators.sessions import SessionStore, follow
+from tarnwell.sources.shared import Conflict
 
 ZERO = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "session_id string, op string, at timestamp, id long, question string, answer string, mode string, bucket string"
