@@ -5,7 +5,7 @@
     engine.evaluate(questions, k=5)                      # query_id, query, evidence, answerable -> Hit@K, MRR
 
 Extension points are callables over DataFrames: ``dense`` (terms batch, k) -> ranked rows, ``rerank`` ranked rows -> ranked
-rows, ``rewrite`` (index, batch) -> (query_id, term).  One that raises when it is called is logged and done without: a
+rows, ``rewrite`` (index, batch) -> (query_id, term); ``predict`` list of (query, text) -> scores reranks a pool of hits.  One that raises when it is called is logged and done without: a
 search without rewriting, the order before reranking, BM25 alone instead of hybrid.  What fails later, when Spark runs
 the plan, is raised by Spark.
 
@@ -16,7 +16,7 @@ the plan, is raised by Spark.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,9 @@ log = logging.getLogger("tarnwell")
 class Retriever:
     def __init__(self, spark: SparkSession, config: R.BM25 = R.BM25(), feedback: R.Feedback | None = R.Feedback(),
                  dense: Callable[[DataFrame, int], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None,
-                 rewrite: Callable[[R.TextIndex, DataFrame], DataFrame] | None = None):
+                 rewrite: Callable[[R.TextIndex, DataFrame], DataFrame] | None = None, predict: Callable[[list[tuple[str, str]]], Sequence[float]] | None = None):
         self.spark, self.config, self.feedback, self.dense, self.rerank = spark, config, feedback, dense, rerank
+        self.predict = predict
         self.rewrite = rewrite or ((lambda index, batch: R.feedback_terms(index, batch, feedback)) if feedback else None)
         self.index: R.TextIndex | None = None
 
@@ -104,6 +105,13 @@ class Retriever:
         """query_id, doc_id, rank, score, retrieved_by. Blank queries find nothing."""
         if self.index is None:
             raise ValueError("nothing has been ingested")
+        if not self.predict:
+            return self._found(queries, k, mode)
+        found = self._found(queries, max(POOL, k), mode)
+        pool = found.join(queries.select("query_id", "query"), "query_id").join(self.index.documents.select("doc_id", "text"), "doc_id")
+        return R.model_rerank(pool, self.predict).where(F.col("rank") <= k).select(*found.columns)
+
+    def _found(self, queries: DataFrame, k: int, mode: str) -> DataFrame:
         mode = mode.strip().lower() if mode.strip().lower() in MODES else "bm25"
         batch = R.query_terms(queries.where(T.strip(F.col("query")) != ""), ngram=self.config.ngram)
         dense = self.dense or self.index.tfidf_search
@@ -158,3 +166,13 @@ class Retriever:
         rows = hits.join(self.index.documents.select("doc_id", "text"), "doc_id")
         parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
         return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("context"))
+
+
+def rewriter(mode: str | None, terms: Callable[[R.TextIndex, DataFrame], DataFrame] | None = None, feedback: R.Feedback = R.Feedback()) -> Callable[[R.TextIndex, DataFrame], DataFrame] | None:
+    """A ``rewrite`` by name: prf or rm3 is feedback, llm the given terms (index, batch) -> (query_id, term); anything else, or llm without them, none."""
+    name = (mode or "").strip().lower()
+    if name in ("prf", "rm3"):
+        return lambda index, batch: R.feedback_terms(index, batch, feedback)
+    if name == "llm" and terms is None:
+        log.warning("no terms to rewrite with, queries as they are")
+    return terms if name == "llm" else None

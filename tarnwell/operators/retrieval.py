@@ -8,9 +8,13 @@ Scores are rounded to six digits before anything is ranked by them, and ties go
 
 from __future__ import annotations
 
+import logging
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -255,6 +259,35 @@ def mmr(candidates: DataFrame, lam: float = 0.7) -> DataFrame:
 # -- expansion by feedback --------------------------------------------------------------------------------------------
 
 
+def model_rerank(hits: DataFrame, predict: Callable[[list[tuple[str, str]]], Sequence[float]], batch: int = 16) -> DataFrame:
+    """The hits (query_id, doc_id, rank, score, query, text, ..) without their texts, in the order of a model's scores, the smaller id first among equals; and reranked.
+
+    ``predict`` gets up to ``batch`` pairs (query, text) of one query, null texts as empty ones.  A query keeps its ranks and scores, and reranked is
+    false, if predict raises, answers with another number of scores, or with one that is no finite number, and if it has but one hit.
+    A query's hits are the pool of a search, so they are taken into memory.
+    """
+    kept = [f for f in hits.schema.fields if f.name not in ("query", "text", "reranked")]
+    names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", reranked boolean"
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[names].assign(reranked=False)
+        pairs = [(q or "", t or "") for q, t in zip(rows["query"], rows["text"])]
+        if len(pairs) < 2:
+            return out
+        try:
+            scores = [float(s) for i in range(0, len(pairs), batch) for s in predict(pairs[i : i + batch])]
+        except Exception:
+            logging.getLogger("tarnwell").warning("reranking failed, order kept", exc_info=True)
+            return out
+        if len(scores) != len(pairs) or not all(map(math.isfinite, scores)):
+            return out
+        out = out.assign(score=scores, reranked=True).sort_values(["score", "doc_id"], ascending=[False, True])
+        return out.assign(rank=range(1, len(out) + 1))
+
+    return hits.select(*names, "query", "text").groupBy("query_id").applyInPandas(order, schema)
+
+
 @dataclass(frozen=True)
 class Feedback:
     docs: int = 3

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.api import Retriever
+from tarnwell.api import Retriever, rewriter
+from tarnwell.operators import retrieval as R
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,38 @@ def test_save_load_clear_and_fallbacks(spark, tmp_path):
     assert found(Retriever(spark, feedback=None, dense=broken).load(path), mode="hybrid") == expected
     loaded.clear()
     assert not loaded.stats()["ready"] and not (tmp_path / "index").exists()
+
+
+def test_model_reranks_or_is_done_without(spark):
+    schema = "query_id int, doc_id int, rank int, score double, query string, text string, source string"
+    rows = [(1, 1, 1, 9.0, "q", "a", "s"), (1, 2, 2, 8.0, "q", "ccc", "s"), (1, 3, 3, 7.0, "q", "bbb", "s"), (1, 4, 4, 6.0, "q", None, "s"), (2, 1, 1, 5.0, "few", "a", "s"), (2, 2, 2, 4.0, "few", "aa", "s"), (3, 1, 1, 3.0, "nan", "a", "s"), (3, 2, 2, 2.0, "nan", "aa", "s"), (4, 1, 1, 1.0, "fails", "a", "s"), (4, 2, 2, 0.5, "fails", "aa", "s"), (5, 1, 1, 7.0, "q", "aaaa", "s")]
+
+    def predict(pairs):
+        assert len(pairs) <= 2
+        if pairs[0][0] == "fails":
+            raise RuntimeError("no model")
+        scores = [len(t) for _, t in pairs]
+        return {"few": scores[1:], "nan": [float("nan")] * len(pairs)}.get(pairs[0][0], scores)
+
+    got = R.model_rerank(spark.createDataFrame(rows, schema), predict, batch=2)
+    assert got.columns == ["query_id", "doc_id", "rank", "score", "source", "reranked"]
+    assert sorted((r.query_id, r["rank"], r.doc_id, r.score, r.reranked) for r in got.collect()) == [
+        (1, 1, 2, 3.0, True), (1, 2, 3, 3.0, True), (1, 3, 1, 1.0, True), (1, 4, 4, 0.0, True), (2, 1, 1, 5.0, False), (2, 2, 2, 4.0, False), (3, 1, 1, 3.0, False), (3, 2, 2, 2.0, False),
+        (4, 1, 1, 1.0, False), (4, 2, 2, 0.5, False), (5, 1, 1, 7.0, False),
+    ]
+    assert R.model_rerank(spark.createDataFrame([], schema), predict).count() == 0
+
+
+def test_search_with_a_model(spark, engine):
+    asked = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
+    by_length = Retriever(spark, feedback=None, predict=lambda pairs: [-len(t) for _, t in pairs])
+    by_length.index = engine.index
+    assert [(r.doc_id, r.score) for r in by_length.search(asked, 1).collect()] == [(1, -10.0)]
+
+
+def test_rewriters(spark, engine):
+    assert rewriter("off") is rewriter(None) is rewriter("llm") is None
+    own = lambda index, batch: batch.select("query_id", "term")
+    assert rewriter(" LLM ", own) is own and rewriter("off", own) is None
+    asked = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
+    assert Retriever(spark, rewrite=rewriter("RM3")).ingest(engine.index.documents).search(asked).count() == 2
