@@ -3,7 +3,8 @@
 1.  Each text becomes its set of hashed shingles.  Texts with the same set are one node, named by a hash of the set.
 2.  Sets that can link.  A set of n members links at similarity t only if at most (1 - t) n of its members stand in no other
     set.  Tokens are dealt by ranges of their hashes, as packed arrays; a token that a chunk of texts has several times is
-    known to be shared and sent once, so a token of a third of all texts is a few rows.  The first pass counts over a
+    known to be shared and sent once, so a token of a third of all texts is a few rows.  Only one text of each set takes part, as
+    the tokens of a text that has copies in other tasks would all seem shared.  The first pass counts over a
     share of all tokens chosen by hash (PROBE times 1 - t), the second over all tokens of what is left.  Either can
     only leave out sets that link with nothing.
 3.  Groups.  Two linked sets of which the larger has n members share one of their n - ceil(t n) + 1 first tokens in any
@@ -16,7 +17,9 @@
     then of sets, whose maximum possible overlap is too small, and pairs that are connected already; what remains is
     compared exactly.  For a group of several leaves, each leaf is linked first, then one set of each component that the
     leaves found (again in leaves, until that no longer helps).  Groups that are one component by then are
-    done; in the others pairs of leaves are traversed over their tops, then over their sets' bitmaps.
+    done; in the others pairs of leaves are traversed over their tops, then, in tiles of TILE by TILE leaves, over their sets'
+    bitmaps.  Of two components' sets that may link, the CANDIDATES pairs with most in common in a tile are compared; all pairs
+    are only where none of these links and nothing else connects the two.
 5.  Links make components; every text gets the least id of its component.
 
 Equal sets are never expanded into pairs, and a near copy is compared until it is connected.
@@ -29,6 +32,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,11 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
+from .common import FEW, blocks, few, joined_hashes, lowered, mixed, row_key, run_starts, small_batches, span_hashes, stash, text_bytes, word_spans
 from .components import components, spanning
 
 #: Sets of a leaf, sets of a lowest node, children of a node.
 LEAF, BLOCK, FANOUT = 512, 16, 8
+#: Leaves of a side of a tile, and pairs of sets compared at first for two components that meet in it.
+TILE, CANDIDATES = 8, 8
+#: Pairs of components that a tile holds before it hands them on.
+_HELD = 100_000
 #: Bits of a bitmap for each member of a set: enough that nodes over unlike families have few bits in common.
 BITS = 16
 #: Share of all tokens that the first pass looks at, as a multiple of 1 - t.
@@ -399,6 +407,7 @@ class Sets:
 
     def __init__(self, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, slack: np.ndarray, labels: np.ndarray):
         self.names, self.sizes, self.bits, self.slack, self.labels = names, sizes, bits, slack, labels
+        self.root: Node | None = None
 
     @classmethod
     def of(cls, names: list[int], sets: list[np.ndarray], width: int, labels: list[int] | None = None) -> Sets:
@@ -413,23 +422,32 @@ class Sets:
 
     def tree(self) -> Node:
         """Lowest nodes are blocks of BLOCK sets."""
+        if self.root is not None:
+            return self.root
         level = []
         for i in range(0, len(self.names), BLOCK):
             part = slice(i, min(len(self.names), i + BLOCK))
             size, label = self.sizes[part], self.labels[part]
             level.append(Node(np.bitwise_or.reduce(self.bits[part]), int(size.min()), int(size.max()), int(self.slack[part].max()), int(label[0]) if len(label) > 1 and (label == label[0]).all() else None, (), (part.start, part.stop)))
-        return tree(level)
+        self.root = tree(level)
+        return self.root
 
     def close(self, other: Sets, num: int, den: int) -> Iterator[tuple[int, int]]:
         """Places of the sets here and there that may link, by traversing both trees together."""
+        for i, j, _ in self.near(other, num, den):
+            yield from zip(i.tolist(), j.tolist())
+
+    def near(self, other: Sets, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same in arrays, with the greatest possible share of common members."""
         root = self.tree()
         for x, y in traverse(root, root if other is self else other.tree(), num, den):
             (a, b), (c, d) = x.item, y.item
             size, there = self.sizes[a:b, None], other.sizes[None, c:d]
             overlap = np.bitwise_count(self.bits[a:b, None] & other.bits[None, c:d]).sum(2, dtype=np.int64) + np.minimum(self.slack[a:b, None], other.slack[None, c:d])
             near = (size * den >= there * num) & (there * den >= size * num) & (overlap * (num + den) >= num * (size + there)) & (self.labels[a:b, None] != other.labels[None, c:d])
-            for i, j in zip(*np.nonzero(np.triu(near, 1) if x is y else near)):
-                yield a + int(i), c + int(j)
+            i, j = np.nonzero(np.triu(near, 1) if x is y else near)
+            if len(i):
+                yield a + i, c + j, (overlap / (size + there))[i, j]
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -498,45 +516,71 @@ def _summaries(width: int):
     return run
 
 
-def _leaf_pairs(num: int, den: int):
-    """Pairs of leaves of a group that may link, from their top nodes alone."""
+def _tiles(num: int, den: int):
+    """The tiles that each leaf of a group is needed in, from the top nodes alone: those in which it may link with another leaf."""
 
     def run(batch: pa.Table) -> pa.Table:
-        tops = [Node(np.frombuffer(r["top"], np.uint64), r["low"], r["high"], r["slack"], r["one"], (), r["leaf"]) for r in batch.to_pylist()]
-        root = tree(tops)
-        out = [(batch["grp"][0].as_py(), x.item, y.item) for x, y in traverse(root, root, num, den) if x is not y]
-        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["grp", "leaf_a", "leaf_b"])
+        rows = sorted(batch.to_pylist(), key=lambda r: r["leaf"])
+        tops = [Node(np.frombuffer(r["top"], np.uint64), r["low"], r["high"], r["slack"], r["one"], (), (r["leaf"], k // TILE)) for k, r in enumerate(rows)]
+        root, out = tree(tops), set()
+        for x, y in traverse(root, root, num, den):
+            if x is not y:
+                tile = sorted((x.item[1], y.item[1]))
+                out |= {(*x.item, *tile), (*y.item, *tile)}
+        grp = pa.array([rows[0]["grp"]] * len(out), pa.int64())
+        return pa.table([grp, *(pa.array([r[k] for r in out], pa.int64()) for k in range(4))], names=["grp", "leaf", "tile", "tile_a", "tile_b"])
 
     return run
 
 
-def _close_sets(num: int, den: int):
-    """Sets of two leaves that may link, from their bitmaps."""
+def _close_sets(num: int, den: int, most: int):
+    """Sets of a tile's leaves that may link, from their bitmaps: of two labels the ``most`` pairs with most in common (0: all); cut where there were more."""
 
-    def side(row: dict, s: str) -> Sets:
-        names, sizes, slack, labels = (np.frombuffer(row[f"{c}_{s}"], np.int64) for c in _SUMMARY[:4])
-        return Sets(names, sizes, np.frombuffer(row[f"bitmaps_{s}"], np.uint64).reshape(len(sizes), -1), slack, labels)
+    def run(batch: pa.Table) -> pa.Table:
+        rows, out = batch.to_pylist(), []
+        best: dict[tuple[int, int], list] = {}
+        over: set[tuple[int, int]] = set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                a, b = side(row, "a"), side(row, "b")
-                if pairs := list(a.close(b, num, den)):
-                    i, j = np.array(pairs).T
-                    yield pa.RecordBatch.from_arrays([pa.array(a.names[i]), pa.array(b.names[j])], names=["a", "b"])
+        def hand_on() -> None:
+            out.extend((rows[0]["grp"], a, b, labels in over) for labels, pairs in best.items() for _, a, b in pairs)
+            best.clear()
+            over.clear()
+
+        leaves = []
+        for r in rows:
+            names, sizes, slack, labels = (np.frombuffer(r[c], np.int64) for c in _SUMMARY[:4])
+            leaves.append((r["tile"], Sets(names, sizes, np.frombuffer(r["bitmaps"], np.uint64).reshape(len(sizes), -1), slack, labels)))
+        one = rows[0]["tile_a"] == rows[0]["tile_b"]
+        for k, (tile, x) in enumerate(leaves):
+            for other, y in leaves[k + 1:]:
+                if not one and tile == other:
+                    continue
+                for i, j, share in x.near(y, num, den):
+                    for a, b, p, q, c in zip(x.names[i].tolist(), y.names[j].tolist(), x.labels[i].tolist(), y.labels[j].tolist(), share.tolist()):
+                        labels = (p, q) if p < q else (q, p)
+                        held = best.setdefault(labels, [])
+                        if not most or len(held) < most:
+                            heapq.heappush(held, (c, a, b))
+                        else:
+                            over.add(labels)
+                            heapq.heappushpop(held, (c, a, b))
+                if len(best) > _HELD:
+                    hand_on()
+        hand_on()
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["grp", "a", "b", "cut"])
 
     return run
 
 
 def _verified(width: int, num: int, den: int):
-    """The pairs that link, from their texts."""
+    """The pairs (grp, a, b, cut, t_a, t_b), with whether their texts link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([one for _, _, members, cuts in sets_of(batch.column(c), width) for one in separate(members, cuts)] for c in (2, 3))
-            keep = pa.array([len(p) > 0 and len(q) > 0 and linked(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            x, y = ([one for _, _, members, cuts in sets_of(batch.column(c), width) for one in separate(members, cuts)] for c in (4, 5))
+            yes = pa.array([len(p) > 0 and len(q) > 0 and linked(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], yes], names=["grp", "a", "b", "cut", "linked"])
 
     return run
 
@@ -581,21 +625,38 @@ def group_links(held: DataFrame, groups: DataFrame, sets: DataFrame, width: int,
         found = stash(_by_leaf(joined, now).groupBy("grp", "leaf").applyInArrow(_leaf_links(width, num, den), "grp long, a long, b long"), "links")
         links = links.unionByName(found.where("b is not null").select("a", "b"))
         reps, before = found.where("b is null").select("grp", F.col("a").alias("node")), now
-    known = components(links)
-    labelled = texts.where("several").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = labelled.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.avg("n").alias("size"), F.count(F.lit(1)).alias("m")).where("x <> y")
+    tried = None
+    for most in (CANDIDATES, 0):
+        known = components(links)
+        if tried is not None:  # groups where components that may link have only been compared in part
+            side = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+            left = tried.where("cut and not linked").join(side("a"), "a", "left").join(side("b"), "b", "left")
+            large = stash(left.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("grp").distinct(), "large")
+            if not large.limit(1).count():
+                break
+        tried = _tried(texts.where("several").join(few(large), "grp", "left_semi"), known, n, width, num, den, most)
+        if tried is None:
+            break
+        links = links.unionByName(tried.where("linked").select("a", "b"))
+    return links
+
+
+def _tried(texts: DataFrame, known: DataFrame, n: int, width: int, num: int, den: int, most: int) -> DataFrame | None:
+    """Pairs of sets (grp, a, b, cut) of different components and leaves that may link, with whether they do; None if every group is one component."""
+    labelled = texts.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = labelled.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.avg("n").alias("size")).where("x <> y")
     bits = F.least(F.lit(_MOST_BITS), F.greatest(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(F.col("size") * BITS))))).cast("long")
     members = labelled.join(open_.select("grp", bits.alias("bits")), "grp").select("grp", "leaf", "node", "t", "label", "bits")
     told = stash(_by_leaf(members, n).groupBy("grp", "leaf").applyInArrow(_summaries(width), _SUMMARY_SCHEMA), "summaries")
     if not told.limit(1).count():
-        return links
-    pairs = stash(told.select("grp", "leaf", "low", "high", "slack", "one", "top").groupBy("grp").applyInArrow(_leaf_pairs(num, den), "grp long, leaf_a long, leaf_b long"), "pairs")
-    side = lambda s: told.select("grp", F.col("leaf").alias(f"leaf_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SUMMARY))
-    met = pairs.repartition(max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 16), "grp", "leaf_a", "leaf_b").join(side("a"), ["grp", "leaf_a"]).join(side("b"), ["grp", "leaf_b"])
-    close = stash(met.mapInArrow(_close_sets(num, den), "a long, b long"), "close")
+        return None
+    tiles = stash(told.select("grp", "leaf", "low", "high", "slack", "one", "top").groupBy("grp").applyInArrow(_tiles(num, den), "grp long, leaf long, tile long, tile_a long, tile_b long"), "tiles")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles.count() // (2 * TILE))
+    met = told.select("grp", "leaf", *_SUMMARY).join(few(tiles), ["grp", "leaf"]).repartition(tasks, "grp", "tile_a", "tile_b")
+    close = stash(met.groupBy("grp", "tile_a", "tile_b").applyInArrow(_close_sets(num, den, most), "grp long, a long, b long, cut boolean"), "close")
     text = lambda s: texts.select(F.col("node").alias(s), F.col("t").alias(f"t_{s}"))
-    both = close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
-    return links.unionByName(both.mapInArrow(_verified(width, num, den), "a long, b long"))
+    both = close.join(text("a"), "a").join(text("b"), "b").select("grp", "a", "b", "cut", "t_a", "t_b")
+    return stash(both.mapInArrow(_verified(width, num, den), "grp long, a long, b long, cut boolean, linked boolean"), "tried")
 
 
 def _texts_of(documents: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -608,6 +669,16 @@ def _texts_of(documents: DataFrame, sets: DataFrame, id_col: str, text_col: str)
     return once.unionByName(texts.join(few(several), "key").select("node", "t").dropDuplicates(["node"]))
 
 
+def _one_of_each(documents: DataFrame, keys: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """t: the text of one row of each set, and texts without a set."""
+    gone = stash(keys.join(sets, "key", "left_anti").select("key").unionByName(sets.where("rows > 1").select("key")).distinct(), "copies")
+    if gone.limit(FEW + 1).count() > FEW:
+        return _texts_of(documents, sets, id_col, text_col).select("t")
+    texts = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    once, several = texts.join(F.broadcast(gone), "key", "left_anti").select("t"), sets.where("rows > 1").select("key")
+    return once.unionByName(texts.join(few(several), "key").dropDuplicates(["key"]).select("t")) if several.limit(1).count() else once
+
+
 def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component of each row: links are pairs of texts with den * |both| >= num * |either|.
 
@@ -618,10 +689,10 @@ def join(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id
     found = described.where("n_shingles > 0")
     keys = found.groupBy("node", "key").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("lead").alias("lead"), F.count(F.lit(1)).alias("rows"))
     sets = keys.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("key", "rows")).alias("k"), F.max("n").alias("n"), F.max("lead").alias("lead"))
-    sets = sets.select("node", "id", "n", "lead", "k.key", "k.rows")
+    sets = stash(sets.select("node", "id", "n", "lead", "k.key", "k.rows"), "nodes")
     share = PROBE * (den - num) / den
-    total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    alone = own_tokens(documents.select(F.col(text_col).cast("string").alias("t")), width, share, total)
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    alone = own_tokens(_one_of_each(documents, keys, sets, id_col, text_col), width, share, total)
     first = stash(may_have_links(sets.select("node", "key", "rows", "n", "lead"), alone, num, den), "possible")
     some = stash(_texts_of(documents, first, id_col, text_col), "texts")
     left = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
