@@ -30,10 +30,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.operators.dense import SLACK
+from tarnwell.operators.dense import first_of_ties as _first_of_ties
 from tarnwell.operators.retrieval import rounded, top
 from tarnwell.operators.segments import Folder, SegmentedIndex
 
@@ -41,8 +42,6 @@ FORMAT = 1
 #: Rows that the centroids are fitted on, rows asked to calibrate, most cells, rounds, rows of a file, queries of a block.
 SAMPLE, CALIBRATION, MOST_CELLS, ROUNDS, FILE_ROWS, QUERY_BLOCK = 20_000, 200, 4096, 10, 500_000, 5_000
 TARGET, NEIGHBOURS = 0.95, 10
-#: More than what rounding to six digits and sums of floats can move a score by.
-SLACK = 1e-5
 
 
 @dataclass(frozen=True)
@@ -88,20 +87,6 @@ def calibrated(sample: np.ndarray, c: np.ndarray, target: float = TARGET, k: int
     return int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
 
 
-def _first_of_ties(scores: np.ndarray, ids: pa.Array, among: np.ndarray, k: int) -> np.ndarray:
-    """Of rows with one score (copies of a vector) only the k with the smallest ids can be among the k best."""
-    at = np.flatnonzero(among)
-    level = np.round(scores[at], 10)
-    rank = np.empty(len(ids), np.int64)
-    rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-    order = np.lexsort((rank[at], level))
-    first = np.concatenate(([True], level[order][1:] != level[order][:-1]))
-    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    out = np.zeros(len(scores), bool)
-    out[at[order[np.arange(len(order)) - start < k]]] = True
-    return out
-
-
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, cells: Cells):
         self.spark, self.path, self.cells = spark, path.rstrip("/"), cells
