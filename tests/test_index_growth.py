@@ -26,3 +26,12 @@ def test_tasks_follow_blocks(spark, tmp_path, monkeypatch, docs):
     # a term's documents of a block are one row
     blocks = idx.blocks()
     assert blocks.count() == blocks.select("block", "term").distinct().count()
+
+
+@pytest.mark.parametrize("few, least", [(500_000, 1), (20, 4), (10, 32), (0, 256)])
+def test_norms_of_common_and_rare_terms(spark, tmp_path, monkeypatch, docs, few, least):
+    monkeypatch.setattr(segments, "FEW_TERMS", few)
+    idx = segments.SegmentedIndex.create(spark, f"file://{tmp_path}/i", docs, block_docs=16)
+    assert idx._common_from(idx.frequencies()) == least
+    want = {r.doc_id: r.norm for r in R.TextIndex(docs).tfidf_norms().collect()}
+    assert {r.doc_id: r.norm for r in idx.tfidf_norms().collect()} == pytest.approx(want)
