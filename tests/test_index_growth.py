@@ -35,3 +35,16 @@ def test_norms_of_common_and_rare_terms(spark, tmp_path, monkeypatch, docs, few,
     assert idx._common_from(idx.frequencies()) == least
     want = {r.doc_id: r.norm for r in R.TextIndex(docs).tfidf_norms().collect()}
     assert {r.doc_id: r.norm for r in idx.tfidf_norms().collect()} == pytest.approx(want)
+
+
+def test_texts_of_few_hits_are_not_shuffled(spark, tmp_path, monkeypatch, docs):
+    idx = segments.SegmentedIndex.create(spark, f"file://{tmp_path}/i", docs)
+    hits = spark.createDataFrame([(q, 2 * q) for q in range(5)] + [(9, 999)], "query_id long, doc_id long")
+    found = {}
+    for few in (500_000, 0):
+        monkeypatch.setattr(R, "FEW_HITS", few)
+        df = R.with_documents(idx, hits, "text")
+        found[few] = sorted(map(tuple, df.select("query_id", "doc_id", "text").collect()))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == (few > 0)
+    assert found[0] == found[500_000] and [r[1] for r in found[0]] == [0, 2, 4, 6, 8]
