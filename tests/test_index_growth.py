@@ -1,6 +1,7 @@
 """Building and reading the text index: what one task holds, and what is shuffled, doesn't grow with texts or postings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.operators import retrieval as R
 from tarnwell.operators import segments
@@ -48,3 +49,22 @@ def test_texts_of_few_hits_are_not_shuffled(spark, tmp_path, monkeypatch, docs):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert ("broadcast" in plan) == (few > 0)
     assert found[0] == found[500_000] and [r[1] for r in found[0]] == [0, 2, 4, 6, 8]
+
+
+def test_no_task_has_more_than_its_share_of_blocks(spark, tmp_path, monkeypatch, docs):
+    """Neither when blocks are made nor when they are searched, in one segment or in several."""
+    monkeypatch.setattr(segments, "TASK_BLOCKS", 2)
+    idx = segments.SegmentedIndex.create(spark, f"file://{tmp_path}/i", docs, block_docs=8)
+    held = {}
+    for p in tmp_path.rglob("segments/*/blocks/*/part-*.parquet"):
+        held.setdefault(p.name.split("-")[1], set()).update(r.block for r in spark.read.parquet(f"file://{p}").select("block").distinct().collect())
+    assert sorted(map(len, held.values())) == [2] * 10
+    batch = spark.createDataFrame([(1, "all", 1.0), (2, "some3", 1.0)], "query_id long, term string, qtf double")
+    both = idx.add(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    assert len(both.manifest.segments) == 2
+    for index, tasks in ((idx, 10), (both, 20)):
+        weighted = batch.join(index.term_stats(), "term").select("query_id", "term", F.col("idf").alias("w"))
+        for found in (index.scores(batch), index._ranked(weighted, None, 1000, index.config)):
+            block = F.struct(F.col("doc_id") >= 1000, F.pmod(F.xxhash64("doc_id"), F.lit(20)))
+            shares = found.groupBy(F.spark_partition_id()).agg(F.count_distinct(block).alias("n")).collect()
+            assert sorted(r.n for r in shares) == [2] * tasks
