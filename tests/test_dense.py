@@ -45,6 +45,35 @@ def test_search_plan_has_no_row_for_each_pair(spark):
     assert handed <= 100 * parts * 12 < 100 * 2000
 
 
+def written(plan) -> int:
+    """Rows that a finished plan wrote to shuffles; an exchange that is used again counts once."""
+    name = plan.getClass().getSimpleName()
+    if name.startswith("Reused"):
+        return 0
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return (own.get().value() if own.isDefined() else 0) + sum(map(written, below))
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 2_000])
+def test_all_cosines_shuffle_each_row_once(spark, monkeypatch, sent):
+    """Whatever the number of blocks of queries, what is written grows with the rows, not with the pairs; cosines are those of all pairs."""
+    monkeypatch.setattr(dense, "SENT", sent, raising=False)
+    rng = np.random.default_rng(8)
+    v = [(i, [float(c) for c in rng.integers(-9, 9, 4)]) for i in range(1000)]
+    q, rows = frames(spark, v, v[::5])
+    pairs = R.cosine_pairs(q, rows)
+    x = np.array([y for _, y in v])
+    length = np.sqrt((x * x).sum(1))
+    length[length == 0] = 1
+    want = (x / length[:, None]) @ (x / length[:, None])[::5].T
+    got = pairs.collect()
+    assert {(r.query_id, r.doc_id) for r in got} == {(a, b) for a, _ in v for b, _ in v[::5] if a != b} and len(got) == 1000 * 200 - 200
+    assert all(abs(r.cosine - want[r.query_id, r.doc_id // 5]) <= 6e-7 for r in got)
+    assert written(pairs._jdf.queryExecution().executedPlan()) <= len(v[::5]) + 3
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     v = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [0.0, 0.0]), (None, [1.0, 1.0])]
